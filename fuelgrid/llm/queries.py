@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import classifier, mixing, quality_rules, simhash
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": quality_rules.op9_quality_rules}
+    return {
+        "op2_simhash": simhash.op2_simhash,
+        "op4_mixing": mixing.op4_mixing,
+        "op7_classifier": classifier.op7_classifier,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_mixing": mixing.OP4_SQL}

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out = rows.select("_id", "_text", "_y").mapInArrow(run, f"_id {kind}, _y int, idx array<int>, val array<float>").toArrow()
     out = out.sort_by("_id").combine_chunks()
     flat = lambda c, kind: np.concatenate([np.asarray(x.flatten()) for x in out[c].chunks] or [np.zeros(0)]).astype(kind)
-    sizes = np.asarray(pa.compute.list_value_length(out["idx"]).combine_chunks()) if len(out) else np.zeros(0, int)
+    sizes = np.asarray(pc.list_value_length(out["idx"]).combine_chunks()) if len(out) else np.zeros(0, int)
     return fit(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), flat("idx", np.int64), flat("val", np.float32), np.asarray(out["_y"].combine_chunks() if len(out) else [], np.float64))
 
 
@@ -176,6 +177,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", at: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``at`` or more, whole."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Buckets()
+        for b in batches:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                yield part.filter(pa.array(shared.value.score(*features((t.as_py() for t in part.column(column)), memo)) >= at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted; rows of the held-out remainder teach nothing."""
     model = train(docs, labels.filter(remainder(F.col("doc_id"), parts) != held))

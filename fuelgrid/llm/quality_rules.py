@@ -8,7 +8,7 @@ Everything on the main path is DataFrame functions. Only the counts of vote patt
 number of documents) come to the driver, where EM runs over them.
 
 Cases: a null or blank text has no words, so the base rule rejects it. Repeated rows are each judged. An empty table
-gives an empty result. Further columns are ignored by :func:`features` and kept by :func:`judge`.
+gives an empty result. Further columns are ignored by :func:`quality_rules` and kept by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from .common import only, words, written
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 WINDOW = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_shouts", "n_stutters", "n_distinct", "n_plain")
 #: A word of letters, with inner apostrophes or hyphens and one closing mark at most.
 PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}'’-]*+[.,;:!?]?+(?![^\x20\x09-\x0D])"
 
@@ -49,16 +50,21 @@ def rules() -> dict[str, Column]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts that the rules read, from every whole text: id, n_words, word_chars, n_symbols, n_dup_lines,
+    """The id and the counts of :func:`counts` for each row."""
+    return counts(only(docs, id_col, text_col), text_col).select(F.col("row")[id_col].alias(id_col), *COUNTS)
+
+
+def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row of ``docs`` as a struct, row, with what the rules read from its whole text: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_capitals, n_shouts, n_stutters, n_distinct, n_plain (letters, then a closing mark at most).
 
     Windows of eight words are first compared by hashes, built by doubling (2, 4, 8 words) without forming their
     text. Texts where two hashes agree, few of all, then compare the windows' very words, sorted, in n log n.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = only(docs, id_col, text_col).toDF(id_col, "text")
+    df = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
     df = df.select(
-        id_col,
+        "row",
         words(F.col("text")).alias("w"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
@@ -86,7 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     step = lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))
     covered = F.aggregate(F.zip_with("at", F.slice("at", F.lit(2), F.size("at")), step), F.lit(0), lambda s, x: s + x)
     return df.select(
-        id_col,
+        "row",
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -135,24 +141,34 @@ def posterior_log_odds(votes: Sequence[int], prior: float, right: Sequence[float
     return math.log(prior / (1 - prior)) + sum(weigh[v] * math.log(a / (1 - a)) for v, a in zip(votes, right))
 
 
-def judge(counted: DataFrame, votes: dict[str, Column] | None = None, prior: float = 0.85, keep_at: float = 0.5) -> DataFrame:
-    """``counted`` (from :func:`features`) with base_failed, quality (the posterior probability) and kept."""
+def learn(counted: DataFrame, votes: dict[str, Column] | None = None, prior: float = 0.85) -> Column:
+    """The posterior probability of good, as an expression over the columns of :func:`counts`."""
     votes = rules() if votes is None else votes
     code = sum((v.cast("int") * 3**i for i, v in enumerate(votes.values())), F.lit(0))
-    found = counted.groupBy(code.alias("code")).agg(F.count("*").alias("n")).collect()
+    found = counted.groupBy(code.alias("code")).agg(F.count("*").alias("n")).collect()  # 3 ** rules rows at most
     patterns = [([row["code"] // 3**i % 3 for i in range(len(votes))], row["n"]) for row in found]
-    right = estimate(sorted(patterns), len(votes), prior)
     total = F.lit(math.log(prior / (1 - prior)))
-    for vote, a in zip(votes.values(), right):
+    for vote, a in zip(votes.values(), estimate(sorted(patterns), len(votes), prior)):
         weight = math.log(a / (1 - a))
         total = total + F.when(vote == GOOD, weight).when(vote == BAD, -weight).otherwise(0.0)
-    quality = 1 / (1 + F.exp(-total))
+    return 1 / (1 + F.exp(-total))
+
+
+def judge(counted: DataFrame, quality: Column, keep_at: float = 0.5) -> DataFrame:
+    """``counted`` with base_failed, quality and kept."""
     return counted.withColumns({"base_failed": base_failed(), "quality": quality, "kept": ~base_failed() & (quality >= keep_at)})
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whole. Reads the texts twice, and shuffles none."""
+    quality = learn(features(docs))
+    return judge(counts(docs), quality).filter("kept").select("row.*")
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, quality and kept for each row of ``docs`` (doc_id, text)."""
-    return judge(written(features(docs)))
+    counted = written(features(docs))
+    return judge(counted, learn(counted))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import classifier, mixing, quality_rules, simhash
+import corpus_pipeline
+
+from . import classifier, mixing, pieces, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_mixing": mixing.op4_mixing,
         "op7_classifier": classifier.op7_classifier,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
+BROADCAST_IDS = 2_000_000
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 
 
@@ -114,6 +115,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints.fp == classes["of"]).select(id_col, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id names their class, whole: one document of each class.
+
+    The ids that go are broadcast up to ``BROADCAST_IDS`` of them (8 bytes each); beyond, a shuffle joins them. Rows
+    that repeat an id are one document and leave one row. A row without an id stays unless its class has a row with one.
+    """
+    classes = written(near_duplicates(docs, id_col, text_col, width))
+    go = classes.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    if go.count() <= BROADCAST_IDS:
+        go = F.broadcast(go)
+    kept = docs.join(go, docs[id_col] == F.col("_gone"), "left_anti")
+    if not classes.filter(F.col(id_col).isNull() & F.col("component_id").isNotNull()).isEmpty():
+        named = classes.filter(F.col("component_id").isNotNull()).select(F.col("fp").alias("_fp")).distinct()
+        bare = fingerprints(docs.filter(F.col(id_col).isNull()).select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", width)
+        alone = bare.join(named, F.col("fp") == F.col("_fp"), "left_anti").select("_row.*")
+        kept = kept.filter(F.col(id_col).isNotNull()).unionByName(alone)
+    again = classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if not again.isEmpty():
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    return kept
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import classifier, mixing, pieces, quality_rules, simhash
+from . import chat, classifier, fingerprints, licenses, lm, mixing, pieces, quality_rules, simhash, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_simhash": simhash.op2_simhash,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_mixing": mixing.op4_mixing,
+        "op5_chat": chat.op5_chat,
+        "op6_licenses": licenses.op6_licenses,
         "op7_classifier": classifier.op7_classifier,
+        "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_lm": lm.op10_lm,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -1,7 +1,8 @@
 """Token ids in Arrow stream files of fixed-size lists, for random access without copying.
 
 A part is two files in the shared folder. ``ids`` holds record batches of two columns, both fixed-size lists of
-``LENGTH``: sequence (unsigned 32-bit ids) and mask (1 for an id, 0 for the padding at the part's end). ``index`` has a
+``LENGTH``: sequence (unsigned ids, of 16 bits where the vocabulary allows) and mask (true for an id, false for the
+padding at the part's end). ``index`` has a
 row for each document: its id, where it starts in the part, and its number of ids. Any sequence or document is a
 slice of a memory map.
 
@@ -16,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import only, partitions, shared_dir, written
 
 LENGTH, SEQUENCES, END = 2048, 128, 0
-REMEMBERED, TEXT_AT_ONCE = 400_000, 1 << 22
+REMEMBERED, TEXT_AT_ONCE = 1_000_000, 1 << 22
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema({"sequence": pa.list_(pa.uint32(), length), "mask": pa.list_(pa.uint8(), length)})
+def schema(length: int, vocabulary: int) -> pa.Schema:
+    """Ids of up to 65,536 pieces take two bytes each."""
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema({"sequence": pa.list_(kind, length), "mask": pa.list_(pa.bool_(), length)})
 
 
 INDEX = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64()})
@@ -43,65 +47,94 @@ class Encoder:
     """Encodes texts unit by unit with the tokenizers library, and remembers the units it has met.
 
     A unit starts at each space that stands before a character other than white space. The tokenizer's own splitting
-    always cuts there, so the units' ids in a row are the text's ids.
+    always cuts there, so the units' ids in a row are the text's ids. New units are laid end to end and encoded in
+    one call; the bytes that each id stands for tell whose it is.
     """
 
+    odd = re.compile(r" (?=\s|$)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        # a byte-level vocabulary spells each byte as one character; added tokens are spelt as they are
+        self.width = np.array([len((self.tokenizer.id_to_token(i) or "").encode("utf-8") if i in self.tokenizer.get_added_tokens_decoder() else self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.flat, self.count, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    @staticmethod
-    def units(text: str) -> list[str]:
+    @classmethod
+    def units(cls, text: str) -> list[str]:
+        """The text's units; all but the first are without the space that they start with."""
         parts = text.split(" ")
+        if not cls.odd.search(text):
+            return parts
         out = parts[:1]
         for p in parts[1:]:
             if p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] += " " + p
         return out
 
+    def learn(self, fresh: list[str]) -> None:
+        ids, ends = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(fresh), 20_000):
+            own = fresh[at : at + 20_000]
+            got = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            spelt = np.cumsum(self.width[got])
+            wanted = np.cumsum(np.fromiter((len(u.encode("utf-8", "surrogatepass")) + 1 for u in own), np.int64, len(own)))
+            last = np.searchsorted(spelt, wanted)
+            if not len(got) or not np.array_equal(spelt[last], wanted):
+                raise ValueError("an id crosses two units; this tokenizer doesn't cut before spaces")
+            ends.append(np.diff(last + 1, prepend=0))
+            ids.append(got)
+        self.seen.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.count = np.concatenate([self.count, *ends])
+        self.start = np.cumsum(self.count) - self.count
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > REMEMBERED:
             self.forget()
-        seen, fresh, rows = self.seen, [], []
-        for t in texts:
-            found = self.units(t) if t else []
-            for u in found:
-                if u not in seen:
-                    seen[u] = len(seen)
-                    fresh.append(u)
-            rows.append(np.fromiter(map(seen.__getitem__, found), np.int64, len(found)))
+        rows = [self.units(t) for t in texts]
+        firsts = [e.ids for e in self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)]
+        fresh = set().union(*(r[1:] for r in rows)) - self.seen.keys()
         if fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.count = np.concatenate([self.count, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32)])
-            self.start = np.cumsum(self.count) - self.count
+            self.learn(list(fresh))
         out = []
-        for r in rows:
-            n = self.count[r]
+        for r, first in zip(rows, firsts):
+            places = np.fromiter(map(self.seen.__getitem__, r[1:]), np.int64, len(r) - 1)
+            n = self.count[places]
             ends = np.cumsum(n)
-            pick = np.repeat(self.start[r] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
-            out.append(self.flat[pick])
+            pick = np.repeat(self.start[places] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
+            out.append(np.concatenate([np.array(first, np.uint32), self.flat[pick]]))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: tasks that run in it one after another share what it has met."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class PartWriter:
     """Fills fixed-size sequences with the ids of one document after another."""
 
-    def __init__(self, folder: str, length: int):
-        self.length, name = length, uuid.uuid4().hex
+    def __init__(self, folder: str, length: int, vocabulary: int):
+        self.length, self.schema, name = length, schema(length, vocabulary), uuid.uuid4().hex
         self.store, base = fs.FileSystem.from_uri(folder)
         self.store.create_dir(base, recursive=True)
         self.names = [f"{folder}/{name}.ids.arrow", f"{folder}/{name}.index.arrow"]
         self.files = [self.store.open_output_stream(f"{base}/{name}.{kind}.arrow") for kind in ("ids", "index")]
-        self.out = [pa.ipc.new_stream(f, s) for f, s in zip(self.files, (schema(length), INDEX))]
+        self.out = [pa.ipc.new_stream(f, s) for f, s in zip(self.files, (self.schema, INDEX))]
         self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = self.n_docs = 0
         self.index: list[tuple] = []
@@ -132,10 +165,10 @@ class PartWriter:
 
     def _batch(self, ids: np.ndarray) -> None:
         short = -len(ids) % self.length
-        mask = np.concatenate([np.ones(len(ids), np.uint8), np.zeros(short, np.uint8)])
-        ids = np.concatenate([ids, np.zeros(short, np.uint32)])
+        mask = np.arange(len(ids) + short) < len(ids)
+        ids = np.concatenate([ids, np.zeros(short, np.uint32)]).astype(self.schema.field("sequence").type.value_type.to_pandas_dtype())
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.out[0].write_batch(pa.record_batch(cols, schema=schema(self.length)))
+        self.out[0].write_batch(pa.record_batch(cols, schema=self.schema))
 
     def close(self) -> None:
         self.flush(True)
@@ -157,7 +190,7 @@ class PartReader:
         """The ids and the mask of the n-th sequence."""
         k = int(np.searchsorted(self.ends, n * self.length, "right"))
         at = n * self.length - (int(self.ends[k - 1]) if k else 0)
-        view = lambda c: self.batches[k].column(c).flatten().to_numpy()[at : at + self.length]
+        view = lambda c: self.batches[k].column(c).flatten().slice(at, self.length).to_numpy(zero_copy_only=c == "sequence")
         return view("sequence"), view("mask")
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
@@ -177,16 +210,16 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = rows.sortWithinPartitions(F.col("id").asc_nulls_first(), "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, out, part = Encoder(tokenizer), np.array([END], np.uint32), None, 0
+        encode, end, out, part = encoder(tokenizer), np.array([END], np.uint32), None, 0
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1)
-            out, part, at = out or PartWriter(folder, length), b.column(2)[0].as_py() if b.num_rows else part, 0
+            out, part, at = out or PartWriter(folder, length, encode.size), b.column(2)[0].as_py() if b.num_rows else part, 0
             while at < b.num_rows:
                 own, size = [], 0
                 while at + len(own) < b.num_rows and size < TEXT_AT_ONCE:
                     own.append(texts[at + len(own)].as_py() or "")
                     size += len(own[-1])
-                for key, ids in zip(keys[at:], encoder.encode(own)):
+                for key, ids in zip(keys[at:], encode.encode(own)):
                     out.add(key, np.concatenate([ids, end]))
                 at += len(own)
         if out:
@@ -216,7 +249,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         for at, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist()):
                             c = 0
                             for view in ids.span(at, n):
-                                c = zlib.crc32(view.astype("<u4", copy=False), c)
+                                c = zlib.crc32(view.astype("<u4"), c)
                             crc.append(c)
                         began = pa.array(docs.column("start").to_numpy() + f["before"])
                         yield pa.record_batch([docs.column("doc_id"), began, docs.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -34,7 +34,8 @@ def _composed(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """NFKC, case-folded, NFKC again, white space folded. Texts of ASCII alone are spared the normalizer."""
     text = F.coalesce(text, F.lit(""))
-    folded = lambda c: F.lower(F.upper(c))
+    # by way of capitals, as ß and ss are one; without a step between, the optimizer takes lower(upper(x)) for lower(x)
+    folded = lambda c: F.lower(F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS")))
     plain = F.octet_length(text) == F.length(text)
     return F.btrim(F.regexp_replace(F.when(plain, F.lower(text)).otherwise(_composed(folded(_composed(text)))), WHITE, " "))
 

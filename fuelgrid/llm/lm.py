@@ -39,7 +39,7 @@ from .common import only, partitions, written
 #: Slots of the four predictors' tables: a power of two each, whatever the size of the corpus.
 SLOTS = (1 << 16, 1 << 18, 1 << 19, 1 << 21)
 FIRST = np.concatenate(([0], np.cumsum(SLOTS))).astype(np.int64)
-CHUNK, WORDS_AT_ONCE, BLOCK_BYTES, SEGMENT = 1 << 14, 4096, 16 << 20, 8192
+CHUNK, BLOCK_BYTES, SEGMENT = 1 << 14, 16 << 20, 8192
 GATES, INPUTS, PRIOR = 4 * 3 * 3, len(SLOTS) + 1, 0.4
 
 
@@ -47,49 +47,72 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def _spellings(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, bytes) for words of one length each: a matrix of their bytes and the closing space."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    order = np.argsort(size, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-        for at in range(0, len(rows), WORDS_AT_ONCE):
-            own = rows[at : at + WORDS_AT_ONCE]
-            yield own, np.frombuffer(b"".join(words[i] + b" " for i in own.tolist()), np.uint8).reshape(len(own), -1)
-
-
-def _bits(spelt: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place in the word, slot of each predictor, bit) for each bit of words of one length."""
-    n = len(spelt)
-    one = two = three = np.full(n, 32, np.uint64)
-    prefix = np.zeros(n, np.uint64)
-    for place in range(spelt.shape[1]):
-        now = spelt[:, place].astype(np.uint64)
-        contexts = (one, one << np.uint64(8) | two, one << np.uint64(16) | two << np.uint64(8) | three, prefix)
-        for k in range(7, -1, -1):
-            node = (now | np.uint64(256)) >> np.uint64(k + 1)
-            slots = [(contexts[0] << np.uint64(8) | node).astype(np.int64)]
-            for c, s, first in zip(contexts[1:], SLOTS[1:], FIRST[1:]):
-                h = (c * np.uint64(256) + node) * np.uint64(0x9E3779B97F4A7C15)
-                slots.append((h >> np.uint64(65 - s.bit_length())).astype(np.int64) + first)
-            yield place, np.stack(slots), ((now >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-        one, two, three = now, one, two
-        prefix = (prefix ^ (now + np.uint64(1))) * np.uint64(0x100000001B3) + np.uint64(0x9E37)
+def _runs(words: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Cuts a sorted list so that a run's words, padded to the longest, take some megabytes at most."""
+    at, widest = 0, 0
+    for i, w in enumerate(words):
+        width = max(widest, len(w) + 1)
+        if i > at and (i - at + 1) * width > 1 << 21:
+            yield at, i
+            at, width = i, len(w) + 1
+        widest = width
+    if words:
+        yield at, len(words)
+
+
+def _nodes(words: list[bytes]) -> Iterator[tuple]:
+    """(place, rows, node of each row, byte and contexts of each node), place by place, for sorted, different words.
+
+    A word's bytes and the closing space are a path in a tree. Words next to one another share the nodes of what they
+    have in common, so these are worked out once: ``rows`` are the words that reach the place, each at one node.
+    """
+    text = np.array([w + b" " for w in words], f"S{max(map(len, words)) + 1}")
+    text = text.view(np.uint8).reshape(len(words), -1)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    common = np.append(-1, np.argmin(text[1:] == text[:-1], axis=1))
+    prefix = np.zeros(len(words), np.uint64)
+    for place in range(text.shape[1]):
+        rows = np.flatnonzero(size > place)
+        new = common[rows] <= place
+        new[:1] = True
+        first = rows[new]
+        back = [text[first, place - d].astype(np.uint64) if place >= d else np.full(len(first), 32, np.uint64) for d in (1, 2, 3)]
+        now = text[first, place].astype(np.uint64)
+        shift = np.uint64(8)
+        two = back[0] << shift | back[1]
+        yield place, rows, np.cumsum(new) - 1, now, (back[0], two, two << shift | back[2], prefix[first])
+        prefix[rows] = (prefix[rows] ^ (text[rows, place] + np.uint64(1))) * np.uint64(0x100000001B3) + np.uint64(0x9E37)
+
+
+def _bits(now: np.ndarray, contexts: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slot of each predictor, bit) for each bit of the nodes' bytes, highest first."""
+    for k in range(7, -1, -1):
+        node = (now | np.uint64(256)) >> np.uint64(k + 1)
+        slots = [(contexts[0] << np.uint64(8) | node).astype(np.int64)]
+        for c, s, first in zip(contexts[1:], SLOTS[1:], FIRST[1:]):
+            h = (c * np.uint64(256) + node) * np.uint64(0x9E3779B97F4A7C15)
+            slots.append((h >> np.uint64(65 - s.bit_length())).astype(np.int64) + first)
+        yield np.stack(slots), ((now >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
 
 
 def _mixed(counts: np.ndarray, w: np.ndarray, place: int, slots: np.ndarray, bit: np.ndarray, less: int = 0):
     """(inputs, gate, probability of a one); ``less`` sights of the bit itself are left out of the counts."""
-    n0, n1 = counts[0][slots] - less * (bit == 0), counts[1][slots] - less * (bit == 1)
+    n = counts[slots]  # predictor, node, zeros and ones
+    if less:
+        n[:, np.arange(len(bit)), bit] -= less
     x = np.empty((INPUTS, len(bit)), np.float32)
-    x[:-1] = np.log((n1 + PRIOR) / (n0 + PRIOR))
+    logs = np.log(n + np.float32(PRIOR))
+    x[:-1] = logs[..., 1] - logs[..., 0]
     x[-1] = 0.3
-    seen, three = n0[3] + n1[3], n0[2] + n1[2]
-    gate = np.searchsorted([1, 4, 32], seen, "right") * 9 + np.searchsorted([1, 32], three, "right") * 3 + min(place, 2)
-    z = np.einsum("in,in->n", x, w[:, gate])
+    seen, three = n[3].sum(1), n[2].sum(1)
+    level = (seen >= 1).astype(np.int64) + (seen >= 4) + (seen >= 32)
+    gate = level * 9 + ((three >= 1).astype(np.int64) + (three >= 32)) * 3 + min(place, 2)
+    z = (x * w[:, gate]).sum(0)
     return x, gate, 1 / (1 + np.exp(-np.clip(z, -16, 16)))
 
 
 def token_counts(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
-    """(token binary, c): every token of ``docs`` and how often the documents to learn from have it."""
+    """(token binary, c): every token of ``docs`` and how often the documents to learn from have it, in order."""
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,24 +132,34 @@ def token_counts(docs: DataFrame, learn: Column, text_col: str = "text") -> Data
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    sums = rows.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return sums.repartitionByRange(partitions(docs.sparkSession), "token").sortWithinPartitions("token")
+
+
+def sorted_words(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """A batch's tokens in order and their counts. Read from files its order may be another one than it was written in."""
+    words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return [words[i] for i in order], c[order]
 
 
 def predictor_counts(counts: DataFrame) -> np.ndarray:
-    """The two rows of bit counts (zeros, ones) over all slots, from (token, c)."""
+    """Each slot's counts of zeros and ones, from (token, c)."""
     total = int(FIRST[-1])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, total), np.int64)
+        table = np.zeros((total, 2), np.int64)
         for b in batches:
-            c = b.column(1).to_numpy()
-            for rows, spelt in _spellings(b.column(0).to_pylist()):
-                own = c[rows]
-                for _, slots, bit in _bits(spelt):
-                    for s in slots:
-                        np.add.at(table.reshape(-1), bit * total + s, own)
+            words, every = sorted_words(b)
+            for at, end in _runs(words):
+                c = every[at:end]
+                for _, rows, node, now, contexts in _nodes(words[at:end]):
+                    own = np.bincount(node, c[rows]).astype(np.int64)
+                    for slots, bit in _bits(now, contexts):
+                        for s in slots:
+                            np.add.at(table.reshape(-1), 2 * s + bit, own)
         for k in range(0, total, CHUNK):
-            part = np.ascontiguousarray(table[:, k : k + CHUNK])
+            part = table[k : k + CHUNK]
             if part.any():
                 yield pa.record_batch([pa.array([k]), pa.array([part.tobytes()], pa.binary())], ["chunk", "data"])
 
@@ -141,10 +174,10 @@ def predictor_counts(counts: DataFrame) -> np.ndarray:
 
     known = counts.filter("c > 0").select("token", "c")
     parts = known.mapInArrow(add, "chunk long, data binary").repartition(partitions(counts.sparkSession), "chunk")
-    out = np.zeros((2, total), np.float32)
+    out = np.zeros((total, 2), np.float32)
     for row in parts.mapInArrow(merge, "chunk long, data binary").toLocalIterator():  # SLOTS bounds them
-        x = np.frombuffer(bytes(row["data"]), np.float32).reshape(2, -1)
-        out[:, row["chunk"] : row["chunk"] + x.shape[1]] = x
+        x = np.frombuffer(bytes(row["data"]), np.float32).reshape(-1, 2)
+        out[row["chunk"] : row["chunk"] + len(x)] = x
     return out
 
 
@@ -156,17 +189,19 @@ def mixing_weights(counts: DataFrame, shared) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, norm, total = start.copy(), np.full((INPUTS, GATES), 1e-2), 0
         for b in batches:
-            c = b.column(1).to_numpy()
-            total += int(c.sum())
-            for rows, spelt in _spellings(b.column(0).to_pylist()):
-                own = c[rows]
-                for place, slots, bit in _bits(spelt):
-                    x, gate, p = _mixed(shared.value, w, place, slots, bit, 1)
-                    err, weight = (bit - p) * own, np.bincount(gate, own, GATES)
-                    for i in range(INPUTS):
-                        g = np.bincount(gate, err * x[i], GATES) / np.maximum(weight, 1)
-                        norm[i] += g**2
-                        w[i] += 0.02 * g / np.sqrt(norm[i])
+            words, every = sorted_words(b)
+            total += int(every.sum())
+            for at, end in _runs(words):
+                c = every[at:end]
+                for place, rows, node, now, contexts in _nodes(words[at:end]):
+                    own = np.bincount(node, c[rows])
+                    for slots, bit in _bits(now, contexts):
+                        x, gate, p = _mixed(shared.value, w, place, slots, bit, 1)
+                        err, weight = (bit - p) * own, np.bincount(gate, own, GATES)
+                        for i in range(INPUTS):
+                            g = np.bincount(gate, err * x[i], GATES) / np.maximum(weight, 1)
+                            norm[i] += g**2
+                            w[i] += 0.02 * g / np.sqrt(norm[i])
         if total:
             yield pa.record_batch([pa.array([total]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
@@ -182,12 +217,16 @@ def spelt_log2(counts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros(b.num_rows)
-            for rows, spelt in _spellings(b.column(0).to_pylist()):
-                for place, slots, bit in _bits(spelt):
-                    p = _mixed(shared.value, weights, place, slots, bit)[2]
-                    out[rows] += np.log2(np.where(bit == 1, p, 1 - p))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out)], ["token", "c", "spelt"])
+            words, c = sorted_words(b)
+            out = np.zeros(len(words))
+            for at, end in _runs(words):
+                for place, rows, node, now, contexts in _nodes(words[at:end]):
+                    own = np.zeros(len(now))
+                    for slots, bit in _bits(now, contexts):
+                        p = _mixed(shared.value, weights, place, slots, bit)[2]
+                        own += np.log2(np.where(bit == 1, p, 1 - p))
+                    out[at + rows] += own[node]
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(out)], ["token", "c", "spelt"])
 
     return counts.select("token", "c").mapInArrow(run, "token binary, c long, spelt double")
 
@@ -239,8 +278,9 @@ def _score_block(docs: pa.Table, known: pa.Table, n: int, v: int) -> pa.Table:
     begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(rows)), size)
     fresh = np.arange(len(ids)) - begin[doc]
-    order = np.lexsort((ids, doc))  # stable: places of one token in one document stay in order
-    key = doc[order] * len(c) + ids[order]
+    key = doc * len(c) + ids
+    order = np.argsort(key, kind="stable")  # places of one token in one document stay in order
+    key = key[order]
     heads = np.flatnonzero(np.append(True, np.diff(key) != 0))
     before = np.empty(len(ids), np.int64)
     before[order] = np.arange(len(ids)) - np.repeat(heads, np.diff(np.append(heads, len(ids))))
@@ -290,7 +330,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 yield from flush()
         yield from flush()
 
-    met = rows.mapInArrow(distinct, "block long, token binary").distinct().join(table, "token")
+    met = rows.mapInArrow(distinct, "block long, token binary").join(table, "token")
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(
         lambda d, k: _score_block(d, k, n, v),

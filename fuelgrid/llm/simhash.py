@@ -15,7 +15,7 @@ An empty table gives an empty result. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,26 +115,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints.fp == classes["of"]).select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id names their class, whole: one document of each class.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """One row of ``docs``, whole, of each class that ``classes`` finds: that of the least id, then text hash.
 
-    The ids that go are broadcast up to ``BROADCAST_IDS`` of them (8 bytes each); beyond, a shuffle joins them. Rows
-    that repeat an id are one document and leave one row. A row without an id stays unless its class has a row with one.
+    Rows without an id come last. Rows are told apart by id and text hash, so one id may stand at several texts, and
+    only copies go. The rows that go are broadcast up to ``BROADCAST_IDS`` of them; beyond, a shuffle joins them.
     """
-    classes = written(near_duplicates(docs, id_col, text_col, width))
-    go = classes.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    row = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    found = written(classes(docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_row", "_text").select("_row", "component_id"))
+    go = found.filter(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("_gone")).distinct()
     if go.count() <= BROADCAST_IDS:
         go = F.broadcast(go)
-    kept = docs.join(go, docs[id_col] == F.col("_gone"), "left_anti")
-    if not classes.filter(F.col(id_col).isNull() & F.col("component_id").isNotNull()).isEmpty():
-        named = classes.filter(F.col("component_id").isNotNull()).select(F.col("fp").alias("_fp")).distinct()
-        bare = fingerprints(docs.filter(F.col(id_col).isNull()).select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", width)
-        alone = bare.join(named, F.col("fp") == F.col("_fp"), "left_anti").select("_row.*")
-        kept = kept.filter(F.col(id_col).isNotNull()).unionByName(alone)
-    again = classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
-    if not again.isEmpty():
-        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
-    return kept
+    kept = docs.withColumn("_row", row).join(go, F.col("_row").eqNullSafe(F.col("_gone")), "left_anti")
+    if not found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.drop("_row")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -298,3 +298,10 @@ def test_pipeline_keeps_ids_and_drops_copies(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "simhash_near_dedup", "mixing", "sentencepiece"]
     rows = got.collect()
     assert rows and all(r.round_trip for r in rows)
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "some other words stand here and go on"
+    rows = [(1, one), (2, one), (2, two), (None, "no id at all here"), (None, "no id at all here"), (4, two), (4, two), (5, "five five"), (5, "five five")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, two), (None, "no id at all here"), (5, "five five")], key=str)

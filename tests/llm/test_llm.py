@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fuelgrid.llm import chat, classifier, fingerprints, licenses, lm, mixing, pieces, quality_rules, simhash, token_files
+from fuelgrid.llm import chat, classifier, fingerprints, licenses, lm, mixing, pieces, quality_rules, shingles, simhash, token_files
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -305,3 +305,36 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     rows = [(1, one), (2, one), (2, two), (None, "no id at all here"), (None, "no id at all here"), (4, two), (4, two), (5, "five five"), (5, "five five")]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, two), (None, "no id at all here"), (5, "five five")], key=str)
+
+
+def shingle_set(t):
+    w = t.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_stage_finds_planted_pairs_from_similarity_08(spark):
+    rng = np.random.default_rng(5)
+    own, near = [], []
+    for k in range(120):
+        w = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 400))]
+        if k % 3 == 0:  # passages that many have
+            w[10:40] = [f"boiler{x}" for x in range(30)]
+        edit, d = list(w), rng.uniform(0.01, 0.04)
+        for at in rng.choice(len(w), max(1, int(d * len(w))), replace=False):
+            edit[at] = f"new{at}"
+        own += [" ".join(w), " ".join(edit)]
+    family = [f"v{x}" for x in range(200)]
+    own += [" ".join(["x" + str(k) if at == 3 * k else v for at, v in enumerate(family)]) for k in range(60)] + ["", "  ", "two words", "Two  words"]
+    sets, root = [shingle_set(t) for t in own], list(range(len(own)))
+    for b in range(len(own)):
+        for a in range(b):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1
+            if j >= 0.8:
+                near.append(j)
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert sum(0.8 <= j < 0.95 for j in near) > 50
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    assert got == dict(enumerate(root))
+    assert {r.doc_id for r in corpus_pipeline.deduplicated(spark, df, SF).collect()} == set(root)

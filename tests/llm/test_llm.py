@@ -338,3 +338,11 @@ def test_stage_finds_planted_pairs_from_similarity_08(spark):
     got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
     assert got == dict(enumerate(root))
     assert {r.doc_id for r in corpus_pipeline.deduplicated(spark, df, SF).collect()} == set(root)
+
+
+@pytest.mark.parametrize("other", ["Licensed under the Elastic License", "Licensed under the Frobnicate Public License, version 3", "Released under the Acme Zebra Quux license"])
+def test_notices_of_unknown_licenses_are_no_template(spark, other):
+    rows = [(k, f"s/{k}", "plain prose about nothing at all under the sun") for k in range(200)]
+    rows += [(200, "s/200", other), (201, "s/201", "Licensed under the MIT license")]
+    got = {r.id: r.license for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got[200] is None and got[201] == "MIT"

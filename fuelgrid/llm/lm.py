@@ -3,25 +3,36 @@
 Texts are sequences of tokens: words with A-Z lower-cased, then one end. A token is coded in bits, and every bit is
 predicted before it is seen:
 
-* its *source* is a hidden bit: the document so far, where a token has its share of the tokens seen, or its spelling.
-  Several adaptive bit predictors, each in a context of its own (the last answers, the place in the text, the recent
-  share), are combined in the logistic domain by weights that a gate selects. After each token predictors and weights
-  are corrected towards what the token says of its source, online, for each document.
+* its *source* is a run of hidden bits, each a yes or a no: is it drawn from what followed the two tokens before it,
+  from what followed the one before it, from the document so far, from the corpus at large? After four noes it is
+  spelt. A source gives each token its share of the source's counts, so the token's probability is the sum over the
+  sources. Each bit has several predictors in contexts of their own: how much the source knows here, how well the token
+  before was known, the hash of the token before. They are combined in the logistic domain by weights that a gate
+  selects, and the mix is refined by an adaptive map of its own value. Predictors, weights and map are corrected towards
+  what the tokens say of their sources, online within each document, ``STEP`` tokens at a time, from a start that is the
+  same for every document.
 * its *spelling* is its bytes and a closing space, eight bits each (an end is the space alone). Four predictors, of
   the last one, two, three bytes and of all bytes of the word so far, look up the bit counts of their hashed context.
   A gate of their evidence and the place in the word selects the weights of the mix. These weights are learned online,
-  each word predicted from the counts without one sight of it, over all words.
+  each word predicted from the counts without one sight of it, in lessons: sets of words fixed by their hashes.
 
-So every text has a probability, and its logarithm over its bytes is its bits per byte.
+What the corpus teaches are exact counts of one, two and three tokens in a row, over all documents to learn from. A
+document that is itself learned from is scored by what the others teach: its own counts are taken off, and come back
+one by one as its text goes on. So scores of known and held-out documents compare, and a copy of a document shows.
 
-Spark does the corpus work: tokens are counted, spelt and joined to blocks of documents by shuffles. Only tables of a
-fixed size (``SLOTS``) and the weights (a few hundred numbers for each task) reach the driver, and are broadcast.
-Tokens of documents that aren't learned from are in the table with count 0.
+So every text has a probability, and its logarithm over its bytes is its bits per byte. The result doesn't depend on
+partitions, as counts are sums of whole numbers, lessons are fixed by the words and a document needs no other's state.
 
-Cases: a null or empty text is the end alone. Repeated rows score alike. A null id isn't held out. Without documents to
-learn from, counts and predictors are empty and every bit costs about one bit. Texts of any length are scored whole:
-adaptation starts anew every ``SEGMENT`` tokens, the memory of earlier tokens doesn't. An empty table gives an empty
-result. Further columns are ignored.
+Spark does the corpus work. Documents are dealt to blocks; a block asks for the counts of its different rows of
+tokens by 48-bit hashes, in sorted lists cut into cells of the hash range; a cell adds up what all blocks bring and
+answers each of them, in the order that it was asked. Cells and blocks are of bounded size and their numbers follow the
+input; a frequent word is one number for each block. Only the spelling's tables, of a fixed size (``SLOTS``), and its
+weights reach the driver, and are broadcast.
+
+Cases: a null or empty text is the end alone. Repeated rows score alike, and come into one block. A null id isn't held
+out. Without documents to learn from, counts and predictors are empty and every bit of a spelling costs about one bit.
+Texts of any length are scored whole and adapt from end to end. An empty table gives an empty result. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
 
-#: Slots of the four predictors' tables: a power of two each, whatever the size of the corpus.
+#: Slots of the spelling's four tables: a power of two each. What grows with the corpus are the counts of tokens.
 SLOTS = (1 << 16, 1 << 18, 1 << 19, 1 << 21)
 FIRST = np.concatenate(([0], np.cumsum(SLOTS))).astype(np.int64)
-CHUNK, BLOCK_BYTES, SEGMENT = 1 << 14, 16 << 20, 8192
+#: Slots a row of the tables' sums, bytes of a block's texts, hashes of a cell, words of a lesson, tokens of a step.
+CHUNK, BLOCK_BYTES, CELL, LESSON, STEP = 1 << 14, 8 << 20, 2_000_000, 20_000, 16
 GATES, INPUTS, PRIOR = 4 * 3 * 3, len(SLOTS) + 1, 0.4
+HASH_BITS = 48
+#: What a source is thought to be worth at first: at most, and the evidence at which it is worth half of that.
+SOURCES = ((0.9, 4.0), (0.6, 40.0), (0.3, 60.0), (0.97, 0.0))
+PLACES, BEFORE, HASHED, GATE, MAPPED = 8, 16, 32, 3, 12
+START, RATE, HOLD, HOLD_MAP = (0.1, 0.4, 0.25, 0.25, 0.0), 0.004, 8.0, 20.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -182,34 +200,49 @@ def predictor_counts(counts: DataFrame) -> np.ndarray:
 
 
 def mixing_weights(counts: DataFrame, shared) -> np.ndarray:
-    """Weights by input and gate: each task learns online over its words, then tasks are averaged by their tokens."""
+    """Weights by input and gate. Words are dealt to lessons of about ``LESSON`` by their hashes; each lesson is learned
+    online in the words' order, and lessons are averaged by their tokens, so tasks make no difference."""
     start = np.full((INPUTS, GATES), 0.3, np.float32)
     start[-1] = 0
+    known = counts.filter("c > 0").select("token", "c")
+    lessons = -(-known.count() // LESSON) or 1
+
+    def learned(words: list[bytes], every: np.ndarray) -> pa.RecordBatch:
+        w, norm = start.copy(), np.full((INPUTS, GATES), 1e-2)
+        for at, end in _runs(words):
+            c = every[at:end]
+            for place, rows, node, now, contexts in _nodes(words[at:end]):
+                own = np.bincount(node, c[rows])
+                for slots, bit in _bits(now, contexts):
+                    x, gate, p = _mixed(shared.value, w, place, slots, bit, 1)
+                    err, weight = (bit - p) * own, np.bincount(gate, own, GATES)
+                    for i in range(INPUTS):
+                        g = np.bincount(gate, err * x[i], GATES) / np.maximum(weight, 1)
+                        norm[i] += g**2
+                        w[i] += 0.02 * g / np.sqrt(norm[i])
+        return pa.record_batch([pa.array([int(every.sum())]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, norm, total = start.copy(), np.full((INPUTS, GATES), 1e-2), 0
+        lesson, words, every = None, [], []
         for b in batches:
-            words, every = sorted_words(b)
-            total += int(every.sum())
-            for at, end in _runs(words):
-                c = every[at:end]
-                for place, rows, node, now, contexts in _nodes(words[at:end]):
-                    own = np.bincount(node, c[rows])
-                    for slots, bit in _bits(now, contexts):
-                        x, gate, p = _mixed(shared.value, w, place, slots, bit, 1)
-                        err, weight = (bit - p) * own, np.bincount(gate, own, GATES)
-                        for i in range(INPUTS):
-                            g = np.bincount(gate, err * x[i], GATES) / np.maximum(weight, 1)
-                            norm[i] += g**2
-                            w[i] += 0.02 * g / np.sqrt(norm[i])
-        if total:
-            yield pa.record_batch([pa.array([total]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
-
-    found = counts.filter("c > 0").select("token", "c").mapInArrow(run, "n long, w binary").collect()  # one a task
-    if not found:
-        return start
-    total = sum(r["n"] for r in found)
-    return sum(np.frombuffer(bytes(r["w"]), np.float32).reshape(INPUTS, GATES) * (r["n"] / total) for r in found).astype(np.float32)
+            for k, word, c in zip(*(x.to_pylist() for x in b.columns)):
+                if k != lesson and words:
+                    yield learned(words, np.array(every, np.int64))
+                    words, every = [], []
+                lesson = k
+                words.append(word)
+                every.append(c)
+        if words:
+            yield learned(words, np.array(every, np.int64))
+
+    dealt = known.select(F.pmod(F.xxhash64("token"), F.lit(lessons)).alias("lesson"), "token", "c")
+    dealt = dealt.repartition(partitions(counts.sparkSession), "lesson").sortWithinPartitions("lesson", "token")
+    found = dealt.mapInArrow(run, "n long, w binary").orderBy("n", "w")
+    out, total = np.zeros((INPUTS, GATES)), 0
+    for r in found.toLocalIterator():  # a row at a time
+        out += np.frombuffer(bytes(r["w"]), np.float32).reshape(INPUTS, GATES) * float(r["n"])
+        total += r["n"]
+    return (out / total).astype(np.float32) if total else start
 
 
 def spelt_log2(counts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
@@ -231,71 +264,277 @@ def spelt_log2(counts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
     return counts.select("token", "c").mapInArrow(run, "token binary, c long, spelt double")
 
 
-def token_log2(share: np.ndarray, spelt: np.ndarray, starts: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """The log2 probability of each token from its share of the document so far and its spelling's probability.
+class _Ids(dict):
+    """Numbers tokens as they come."""
+
+    def __missing__(self, token: bytes) -> int:
+        n = self[token] = len(self)
+        return n
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)
+
+
+def hash_of(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token) >> (64 - HASH_BITS)
 
-    ``starts`` are the first places of the segments, which run in lockstep, and ``fresh`` is each place's number of
-    tokens before it in the document.
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(number of tokens of each text, text of each token, hashes of each token: alone, after one, after two).
+
+    What comes before a text is an end, and before that something that no text has.
     """
-    size = np.diff(np.append(starts, len(share)))
+    ids = _Ids()
+    rows = [np.fromiter(map(ids.__getitem__, tokens(t)), np.int64) for t in texts]
+    size = np.array([len(r) for r in rows], np.int64)
+    one = np.fromiter(map(hash_of, ids), np.uint64, len(ids))[np.concatenate(rows)]
+    begin = np.cumsum(size) - size
+
+    def before(x: np.ndarray, first: int) -> np.ndarray:
+        out = np.append(np.uint64(first), x[:-1])
+        out[begin] = first
+        return out
+
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    two = _mix((before(one, hash_of(b"")) + np.uint64(1)) * odd + one)
+    three = _mix((before(two, 0) + np.uint64(2)) * odd + one)
+    return size, np.repeat(np.arange(len(rows)), size), [one, two, three]
+
+
+def ranked(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different hashes in order, which of them each place has, how often its document has it, and had it before)."""
+    order = np.argsort(h, kind="stable")  # one hash's places stay in order, and so do its documents
+    s, d = h[order], doc[order]
+    new = np.append(True, s[1:] != s[:-1])
+    heads = np.flatnonzero(new | np.append(True, d[1:] != d[:-1]))
+    size = np.diff(np.append(heads, len(h)))
+    which, own, earlier = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    own[order] = np.repeat(size, size)
+    earlier[order] = np.arange(len(h)) - np.repeat(heads, size)
+    return s[new], which, own, earlier
+
+
+def packed(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes as steps and a whole number for each, in few bytes."""
+    step = np.diff(h, prepend=np.uint64(0))
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(n.max(initial=0)) <= np.iinfo(k).max)
+    return b"".join([kind[1:].encode(), (step & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (step >> np.uint64(32)).astype("<u2").tobytes(), n.astype(kind).tobytes()])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind = "<" + data[:2].decode()
+    m = (len(data) - 2) // (6 + np.dtype(kind).itemsize)
+    step = np.frombuffer(data, "<u4", m, 2).astype(np.uint64) | np.frombuffer(data, "<u2", m, 2 + 4 * m).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(step, dtype=np.uint64), np.frombuffer(data, kind, m, 2 + 6 * m).astype(np.int64)
+
+
+def cut(h: np.ndarray, cells: int) -> Iterator[tuple[int, slice]]:
+    """(cell, slice) for each cell of the hash range that sorted hashes touch."""
+    at = 0
+    while at < len(h):
+        cell = int(h[at]) * cells >> HASH_BITS
+        end = int(np.searchsorted(h, np.uint64(-(-((cell + 1) << HASH_BITS) // cells)))) if cell + 1 < cells else len(h)
+        yield cell, slice(at, end)
+        at = end
+
+
+ASKED = "cell long, block long, kind int, data binary"
+
+
+def asked(rows: DataFrame, cells: int) -> DataFrame:
+    """(cell, block, kind, data): the different hashes of one, two and three tokens (kind 0, 1, 2) of each block of
+    ``rows`` (block, learn, text), and how often the texts to learn from have each."""
+
+    def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        heads = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        return h[order][heads], np.add.reduceat(n[order], heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for b in batches:
+            blocks, learn = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks):
+                mine = np.flatnonzero(blocks == block)
+                _, doc, hashes = grams(b.column(2).take(pa.array(mine)).to_pylist())
+                taught = learn[mine][doc].astype(np.int64)
+                for kind, h in enumerate(hashes):
+                    parts = found.setdefault((int(block), kind), [])
+                    parts.append(tally([(h, taught)]))
+                    if len(parts) >= 8:
+                        parts[:] = [tally(parts)]
+        for (block, kind), parts in found.items():
+            h, n = tally(parts)
+            out = [(cell, packed(h[k], n[k])) for cell, k in cut(h, cells)]
+            cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())]
+            yield pa.record_batch(cols, ["cell", "block", "kind", "data"])
+
+    return rows.select("block", "learn", "text").mapInArrow(run, ASKED)
+
+
+def spelt_cells(spelt: DataFrame, cells: int) -> DataFrame:
+    """The spellings' log2 probabilities as further rows of what is asked: block -1, each a number of 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.fromiter(map(hash_of, b.column(0).to_pylist()), np.uint64, b.num_rows)
+            order = np.argsort(h, kind="stable")
+            h, bits = h[order], b.column(1).to_numpy().astype("<f4")[order].view("<u4")
+            out = [(cell, packed(h[k], bits[k])) for cell, k in cut(h, cells)]
+            cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([-1] * len(out), pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())]
+            yield pa.record_batch(cols, ["cell", "block", "kind", "data"])
+
+    return spelt.select("token", "spelt").mapInArrow(run, ASKED)
+
+
+ANSWERS = "block long, kind int, cell long, counts binary, spelt binary"
+
+
+def answered(cell: pa.Table) -> pa.Table:
+    """(block, kind, cell, counts, spelt) for each question of a cell: the sums over all blocks, in the order asked."""
+    blocks, kinds, data = cell["block"].to_numpy(), cell["kind"].to_numpy(), cell["data"]
+    out = []
+    for kind in range(3):
+        rows = np.flatnonzero((kinds == kind) & (blocks >= 0))
+        if not len(rows):
+            continue
+        parts = [unpacked(data[int(r)].as_py()) for r in rows]
+        h, n = (np.concatenate(x) for x in zip(*parts))
+        every, which = np.unique(h, return_inverse=True)
+        total = np.bincount(which, n, len(every)).astype(np.int64)
+        bits = np.zeros(len(every), "<u4")
+        if kind == 0:
+            for r in np.flatnonzero(blocks < 0):
+                of, b = unpacked(data[int(r)].as_py())
+                bits[np.searchsorted(every, of)] = b
+        at = 0
+        for r, (own, _) in zip(rows, parts):
+            w = which[at : at + len(own)]
+            at += len(own)
+            out.append((int(blocks[r]), kind, cell["cell"][0].as_py(), packed(np.zeros(0, np.uint64), total[w]), bits[w].tobytes() if kind == 0 else b""))
+    kinds_of = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    cols = list(zip(*out)) if out else [[]] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_of)], [x.split()[0] for x in ANSWERS.split(", ")])
+
+
+def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray], history: np.ndarray, hashed: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+    """The log2 probability of each token. ``share`` and ``seen`` are, for each source, the token's share of it and how
+    much it knows here (0: nothing, its bit is skipped); ``history`` and ``hashed`` are contexts below ``BEFORE`` and
+    ``HASHED``; ``spelt`` is the spelling's log2 probability. Documents of ``size`` tokens run in lockstep."""
     order = np.argsort(-size, kind="stable")
-    starts, size = starts[order], size[order]
-    n = len(starts)
-    p = np.full((n, 8 + 24 + 16), 0.3, np.float32)  # predictors: last three answers; place; recent share
-    w = np.full((n, 4, 2), 0.4, np.float32)
-    w[:, 3] = 0
-    last, recent = np.zeros(n, np.int64), np.full(n, 0.3, np.float32)
-    out = np.zeros(len(share))
-    every = np.arange(n)
-    for i in range(int(size[0]) if n else 0):
-        live = int(np.searchsorted(-size, -i))  # segments longer than i
-        k, at = every[:live], starts[:live] + i
-        place = np.minimum(23, (2 * np.log2(fresh[at] + 1)).astype(np.int64))
-        slots = np.stack([last[:live], 8 + place, 32 + np.minimum(15, (recent[:live] * 16).astype(np.int64))])
-        q = p[k, slots]
-        x = np.concatenate([np.log(q / (1 - q)), np.full((1, live), 0.3, np.float32)])
-        gate = last[:live] & 1
-        mine = w[k, :, gate].T
-        m = 1 / (1 + np.exp(-np.clip((x * mine).sum(0), -12, 12)))
-        inside = m * share[at]
-        total = inside + (1 - m) * spelt[at]
-        out[at] = np.log2(total)
-        y = inside / total  # how likely the source was the document
-        w[k, :, gate] += (0.03 * (y - m) * x).T
-        p[k, slots] = np.clip(q + (y - q) * (0.02 + 0.4 / (i + 1.5)), 0.002, 0.998)
-        last[:live] = (last[:live] * 2 + (y > 0.5)) & 7
-        recent[:live] += (y - recent[:live]) * 0.05
+    starts, size = (np.cumsum(size) - size)[order], size[order]
+    n, k = len(size), len(SOURCES)
+    slots = (PLACES, BEFORE, HASHED)
+    yes, all_ = [np.zeros((n, k, m)) for m in slots], [np.zeros((n, k, m)) for m in slots]
+    map_yes, map_all = np.zeros((n, k, MAPPED)), np.zeros((n, k, MAPPED))
+    w = np.tile(np.array(START), (n, k, GATE, 1))
+    out = np.zeros(len(spelt))
+    stretch = lambda p: np.log(p / (1 - p))
+    for i in range(0, int(size[0]) if n else 0, STEP):
+        live = int(np.searchsorted(-size, -i))  # documents longer than i
+        place = i + np.arange(STEP)
+        valid = place < size[:live, None]
+        at = np.where(valid, starts[:live, None] + place, starts[:live, None])
+        lane = np.broadcast_to(np.arange(live)[:, None], at.shape)
+        total, steps = spelt[at], []
+        for s in range(k - 1, -1, -1):
+            top, half = SOURCES[s]
+            known = seen[s][at]
+            start = np.clip(top * known / (known + half), 1e-4, 0.999) if half else np.full(at.shape, top)
+            level = np.minimum(PLACES - 1, np.log2(known + 1).astype(np.int64))
+            spots = (level, history[at], hashed[at])
+            x = [stretch(start)]
+            for y, a, spot in zip(yes, all_, spots):
+                x.append(stretch(np.clip((y[lane, s, spot] + HOLD * start) / (a[lane, s, spot] + HOLD), 1e-4, 1 - 1e-4)))
+            x = np.stack([*x, np.full(at.shape, 0.3)], axis=-1)
+            gate = np.minimum(GATE - 1, level // 2)
+            z = np.clip((x * w[lane, s, gate]).sum(-1), -8, 8)
+            mixed = 1 / (1 + np.exp(-z))
+            cell = np.clip(np.floor(z * 1.5).astype(np.int64) + MAPPED // 2, 0, MAPPED - 1)
+            fine = (map_yes[lane, s, cell] + HOLD_MAP * mixed) / (map_all[lane, s, cell] + HOLD_MAP)
+            m = np.where(known > 0, np.clip((mixed + fine) / 2, 1e-6, 1 - 1e-6), 0.0)
+            with np.errstate(divide="ignore"):
+                inside = np.log2(m * share[s][at])
+            total = np.logaddexp2(inside, np.log2(1 - m) + total)
+            steps.append((s, x, gate, spots, cell, mixed, np.exp2(inside - total)))
+        out[at[valid]] = total[valid]
+        reach = valid.astype(float)
+        for s, x, gate, spots, cell, mixed, y in reversed(steps):
+            weigh = np.where(seen[s][at] > 0, reach, 0.0)
+            add = lambda table, spot, v: table[:live, s].reshape(-1) + np.bincount((lane * table.shape[2] + spot).ravel(), v.ravel(), live * table.shape[2])
+            for t_yes, t_all, spot in [*zip(yes, all_, spots), (map_yes, map_all, cell)]:
+                t_yes[:live, s] = add(t_yes, spot, y * weigh).reshape(live, -1)
+                t_all[:live, s] = add(t_all, spot, weigh).reshape(live, -1)
+            pull = RATE * weigh * (y - mixed)
+            for j in range(x.shape[-1]):
+                w[:live, s, :, j] += np.bincount((lane * GATE + gate).ravel(), (pull * x[..., j]).ravel(), live * GATE).reshape(live, GATE)
+            reach = reach * (1 - y)
     return out
 
 
-def _score_block(docs: pa.Table, known: pa.Table, n: int, v: int) -> pa.Table:
-    place_of = {t: i for i, t in enumerate(known["token"].to_pylist())}
-    c = known["c"].to_numpy().astype(np.float64)
-    spelt = known["spelt"].to_numpy()
-    rows = [np.fromiter(map(place_of.__getitem__, tokens(t.as_py())), np.int64) for t in docs["text"]]
-    size = np.array([len(r) for r in rows], np.int64)
-    ids = np.concatenate(rows)
+def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], spelt: np.ndarray, learn: np.ndarray, n: int) -> tuple:
+    """(:func:`source_log2`'s arguments, the corpus's counts of each token) from a block's tokens and the answers."""
+    begin = np.cumsum(size) - size
+    fresh = np.arange(len(doc)) - begin[doc]
+    mine, whole, less, back = learn[doc].astype(np.int64), [], [], []
+    for h, c in zip(hashes, counts):
+        _, which, own, earlier = ranked(h, doc)
+        whole.append(c[which])
+        less.append(c[which] - own * mine)
+        back.append(earlier)
+        if h is hashes[0]:
+            ends = spelt[which]
+
+    def before(x: np.ndarray, first: np.ndarray | int) -> np.ndarray:
+        out = np.append(x[:1], x[:-1])
+        out[begin] = first
+        return out
+
+    # every document ends once: the end before its first token is known as often as there are other documents
+    one, two, three = (a + b for a, b in zip(less, back))
+    last = begin + size - 1
+    seen = [before(two, 0), before(one, less[0][last]), fresh, np.maximum(n - size * learn, 0)[doc]]
+    parts = [three, two, back[0], less[0]]
+    share = [p / np.maximum(s, 1) for p, s in zip(parts, seen)]
+    known = (three > 0) * 8 + (two > 0) * 4 + (back[0] > 0) * 2 + (less[0] > 0)
+    hashed = before(hashes[0], hash_of(b"")) & np.uint64(HASHED - 1)
+    return (size, share, seen, before(known, 0), hashed.astype(np.int64), ends), whole[0]
+
+
+def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
+    texts, learn = docs["text"].to_pylist(), docs["learn"].to_numpy(zero_copy_only=False)
+    if not texts:
+        return pa.table({c: pa.array([], k) for c, k in (("id", docs["id"].type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))})
+    size, doc, hashes = grams(texts)
+    kinds, cells = answers["kind"].to_numpy(), answers["cell"].to_numpy()
+    counts, spelt = [], np.zeros(0)
+    for kind in range(3):
+        rows = np.flatnonzero(kinds == kind)
+        rows = rows[np.argsort(cells[rows])]
+        counts.append(np.concatenate([unpacked_counts(answers["counts"][int(r)].as_py()) for r in rows]))
+        if kind == 0:
+            spelt = np.concatenate([np.frombuffer(answers["spelt"][int(r)].as_py(), "<f4") for r in rows]).astype(float)
+    args, c = contexts(size, doc, hashes, counts, spelt, learn, n)
     begin = np.cumsum(size) - size
-    doc = np.repeat(np.arange(len(rows)), size)
-    fresh = np.arange(len(ids)) - begin[doc]
-    key = doc * len(c) + ids
-    order = np.argsort(key, kind="stable")  # places of one token in one document stay in order
-    key = key[order]
-    heads = np.flatnonzero(np.append(True, np.diff(key) != 0))
-    before = np.empty(len(ids), np.int64)
-    before[order] = np.arange(len(ids)) - np.repeat(heads, np.diff(np.append(heads, len(ids))))
-    starts = np.flatnonzero(fresh % SEGMENT == 0)
-    log2 = token_log2(before / np.maximum(fresh, 1), np.exp2(np.maximum(spelt[ids], -1000)), starts, fresh)
     total = lambda x: np.add.reduceat(x, begin)
-    base = np.log10((c[ids] + 1) / (n + (v + 1)))
-    length = np.array([len((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in docs["text"]])
-    score = total(log2)
+    score = total(source_log2(*args))
+    length = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts])
     return pa.table({
-        "id": docs["id"], "held_out": docs["held_out"], "n_tokens": size, "n_known": total((c[ids] > 0).astype(np.int64)),
-        "base_score": total(base), "score": score * np.log10(2), "bits_per_byte": -score / np.maximum(length, 1),
+        "id": docs["id"], "held_out": ~learn, "n_tokens": size, "n_known": total((c > 0).astype(np.int64)),
+        "base_score": total(np.log10((c + 1) / (n + (v + 1)))), "score": score * np.log10(2), "bits_per_byte": -score / np.maximum(length, 1),
     })
 
 
+def unpacked_counts(data: bytes) -> np.ndarray:
+    kind = "<" + data[:2].decode()
+    return np.frombuffer(data, kind, -1, 2).astype(np.int64)
+
+
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row; ``learn`` says
     which rows of ``docs`` to learn from, and the others are held out."""
@@ -303,37 +542,20 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     counts = written(token_counts(docs, learn, text_col))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     shared = spark.sparkContext.broadcast(predictor_counts(counts))
-    weights = mixing_weights(counts, shared)
-    table = written(spelt_log2(counts, shared, weights))
+    spelt = spelt_log2(counts, shared, mixing_weights(counts, shared))
 
     size = only(docs, text_col).agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) + 1
+    blocks, cells = -(-size // BLOCK_BYTES) + 1, -(-3 * n // CELL) + 1
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
-        (~F.coalesce(learn, F.lit(False))).alias("held_out"),
+        F.coalesce(learn, F.lit(False)).alias("learn"),
         F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(blocks)).alias("block"),
-    ).repartition(partitions(spark), "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, x in seen.items():
-                yield pa.record_batch([pa.array([k] * len(x), pa.int64()), pa.array(list(x), pa.binary())], ["block", "token"])
-            seen.clear()
-
-        for b in batches:
-            for text, k in zip(b.column("text"), b.column("block").to_pylist()):
-                seen.setdefault(k, set()).update(tokens(text.as_py()))
-            if sum(map(len, seen.values())) > 1_000_000:
-                yield from flush()
-        yield from flush()
-
-    met = rows.mapInArrow(distinct, "block long, token binary").join(table, "token")
+    ).repartition(max(partitions(spark), blocks), "block")
+    answers = asked(rows, cells).union(spelt_cells(spelt, cells)).groupBy("cell").applyInArrow(answered, ANSWERS)
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(
-        lambda d, k: _score_block(d, k, n, v),
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        lambda d, a: _score_block(d, a, n, v),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double",
     )
     return out.withColumn("train_tokens", F.lit(n).cast("long")).withColumnRenamed("id", id_col)

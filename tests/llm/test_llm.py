@@ -287,6 +287,103 @@ def test_lm_spellings_are_a_distribution():
     assert sum(2.0 ** heads[k] for k in range(256) if k != 32) + 2.0**closing == pytest.approx(1, abs=1e-4)
 
 
+def slow_lm(sequence, taught, n, spelt):
+    """log2 of one text's probability, token by token; ``taught`` are the counts of the other documents' tokens."""
+    hist = [Counter(), Counter(), Counter()]
+    names = [lambda i: (sequence[i],), lambda i: ((sequence[i - 1] if i else b""), sequence[i]), lambda i: ((sequence[i - 2] if i > 1 else b"" if i else None), (sequence[i - 1] if i else b""), sequence[i])]
+    known = lambda kind, i: taught[names[kind](i)] + hist[kind][names[kind](i)]
+    states, weights, out, queue, last = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: list(lm.START)), 0.0, [], 0
+    stretch = lambda p: math.log(p / (1 - p))
+    clip = lambda v, a, b: min(max(v, a), b)
+    for i, token in enumerate(sequence):
+        one, two, three, cached = known(0, i), known(1, i), known(2, i), hist[0][(token,)]
+        seen = [queue_two if i else 0, queue_one if i else taught[(b"",)], i, max(n, 0)]
+        share = [x / max(y, 1) for x, y in zip((three, two, cached, taught[(token,)]), seen)]
+        spots = [None, last, lm.hash_of(sequence[i - 1] if i else b"") % lm.HASHED]
+        bits, log2 = [], spelt[token]
+        for s in range(3, -1, -1):
+            top, half = lm.SOURCES[s]
+            start = clip(top * seen[s] / (seen[s] + half), 1e-4, 0.999) if half else top
+            level = min(lm.PLACES - 1, int(math.log2(seen[s] + 1)))
+            where = [(s, k, level if k == 0 else spots[k]) for k in range(3)]
+            x = [stretch(start)] + [stretch(clip((states[a][0] + lm.HOLD * start) / (states[a][1] + lm.HOLD), 1e-4, 1 - 1e-4)) for a in where] + [0.3]
+            gate = (s, min(lm.GATE - 1, level // 2))
+            z = clip(sum(a * b for a, b in zip(x, weights[gate])), -8, 8)
+            mixed = 1 / (1 + math.exp(-z))
+            cell = (s, "map", int(clip(math.floor(z * 1.5) + lm.MAPPED // 2, 0, lm.MAPPED - 1)))
+            fine = (states[cell][0] + lm.HOLD_MAP * mixed) / (states[cell][1] + lm.HOLD_MAP)
+            m = clip((mixed + fine) / 2, 1e-6, 1 - 1e-6) if seen[s] > 0 else 0.0
+            inside, rest = m * share[s], math.log2(1 - m) + log2
+            log2 = float(np.logaddexp2(math.log2(inside), rest)) if inside > 0 else rest
+            bits.append((where + [cell], gate, x, mixed, 2 ** (math.log2(inside) - log2) if inside > 0 else 0.0, seen[s] > 0))
+        out += log2
+        queue.append(bits[::-1])
+        if (i + 1) % lm.STEP == 0:
+            for token_bits in queue:
+                reach = 1.0
+                for where, gate, x, mixed, y, on in token_bits:
+                    if on:
+                        for a in where:
+                            states[a] = [states[a][0] + y * reach, states[a][1] + reach]
+                        weights[gate] = [w + lm.RATE * reach * (y - mixed) * v for w, v in zip(weights[gate], x)]
+                    reach *= 1 - y
+            queue = []
+        last = (three > 0) * 8 + (two > 0) * 4 + (cached > 0) * 2 + (taught[(token,)] > 0)
+        queue_one, queue_two = one, two
+        for kind in range(3):
+            hist[kind][names[kind](i)] += 1
+    return out
+
+
+def rows_of(sequence):
+    yield from ((t,) for t in sequence)
+    yield from zip([b"", *sequence], sequence)
+    yield from zip([None, b"", *sequence], [b"", *sequence], sequence)
+
+
+def test_lm_scores_equal_a_slow_scorer_whatever_the_partitions(spark, docs):
+    own = texts(docs)
+    learn = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in own}
+    seq = {i: lm.tokens(t) for i, t in own}
+    every = Counter(x for i, q in seq.items() if learn[i] for x in rows_of(q))
+    n = sum(len(q) for i, q in seq.items() if learn[i])
+    counts = lm.token_counts(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).cache()
+    shared = spark.sparkContext.broadcast(lm.predictor_counts(counts))
+    spelt = {bytes(r.token): float(np.float32(r.spelt)) for r in lm.spelt_log2(counts, shared, lm.mixing_weights(counts, shared)).collect()}
+    got = {r.doc_id: r.score for r in lm.op10_lm(spark, SF).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    again = {r.doc_id: r.score for r in lm.op10_lm(spark, SF).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == pytest.approx(again, rel=1e-9)
+    held = [i for i, _ in own if not learn[i]]
+    for i in [i for i, _ in own if learn[i]][::12] + held[::4]:
+        taught = every - Counter(rows_of(seq[i])) if learn[i] else every
+        want = slow_lm(seq[i], taught, n - len(seq[i]) * learn[i], spelt)
+        assert got[i] == pytest.approx(want * math.log10(2), rel=1e-6)
+
+
+def test_lm_tells_texts_that_occur_twice_and_beats_the_base(spark):
+    sf = "/root/testdata/sf0.01"
+    text = dict(texts(spark.read.parquet(f"{sf}/documents.parquet")))
+    times = Counter(text.values())
+    got = [r for r in lm.op10_lm(spark, sf).collect() if r.n_tokens > 20]
+    once = sorted(r.bits_per_byte for r in got if times[text[r.doc_id]] == 1)
+    twice = [r.bits_per_byte for r in got if times[text[r.doc_id]] == 2]
+    tenth = once[len(once) // 10]
+    assert sum(x <= tenth for x in twice) > 0.7 * len(twice)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_counts_come_back_as_they_were_asked():
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << lm.HASH_BITS, 5000).astype(np.uint64))
+    n = np.arange(len(h)) * 7
+    for cells in (1, 3, 700):
+        parts = [(c, *lm.unpacked(lm.packed(h[k], n[k]))) for c, k in lm.cut(h, cells)]
+        assert [c for c, *_ in parts] == sorted({int(x) * cells >> lm.HASH_BITS for x in h})
+        assert np.array_equal(np.concatenate([x for _, x, _ in parts]), h) and np.array_equal(np.concatenate([x for *_, x in parts]), n)
+
+
 def test_lm_takes_odd_rows(odd):
     assert lm.score(odd, F.col("doc_id") == 9).count() == len(ODD)
     assert lm.score(odd, F.lit(False)).filter("score < 0").count() == len(ODD)

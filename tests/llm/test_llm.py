@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -227,10 +228,76 @@ def base_counts(t):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit))
 
 
-def test_quality_counts_equal_brute_force(docs, odd):
+@pytest.mark.parametrize("bits", [64, 4])
+def test_quality_counts_equal_brute_force(docs, odd, bits):
     for df in (docs, odd):
-        got = Counter((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(df).collect())
-        assert got == Counter(base_counts(t) for _, t in texts(df))
+        got = Counter((r.row.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.counts(df.select("doc_id", "text"), hash_bits=bits).collect())
+        assert got == Counter((r.doc_id, *base_counts(r.text or "")) for r in df.collect())
+
+
+def votes_of(t):
+    """The production rules' votes on a text, from their definitions."""
+    n, chars, symbols, _, repeats = base_counts(t)
+    w = words(t)
+    plain = len(regex.findall(r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}'’-]*+[.,;:!?]?+(?![^\x20\x09-\x0D])", t))
+    capitals, shouts, distinct = len(regex.findall(r"\p{Lu}", t)), t.count("!"), len(set(w))
+    stutters = sum(a == b for a, b in zip(w, w[1:]))
+    vote = lambda bad, good: 0 if bad else 1 if good else 2
+    return (
+        vote(symbols > 0.1 * n, symbols <= 0.01 * n), vote(plain < 0.7 * n, plain >= 0.95 * n), vote(capitals > 0.4 * chars, capitals <= 0.15 * chars),
+        vote(shouts > 0.15 * n, shouts <= 0.02 * n), vote(stutters > 0.1 * n, stutters <= 0.03 * n), vote(n >= 20 and distinct < 2 * n**0.5, n >= 20 and distinct >= 3.5 * n**0.5),
+        vote(repeats > 0.3 * n, repeats <= 0.1 * n), vote(n > 0 and not 2 * n <= chars <= 15 * n, 3 * n <= chars <= 10 * n),
+    )
+
+
+def slow_em(votes, prior=0.85, hold=0.02):
+    """The probability of good of each row of votes; every document counts by itself."""
+    v = np.array(votes)
+    n, rules = v.shape
+    start = np.array([[[0.03, 0.80, 0.17]] * rules] + [[[0.80, 0.05, 0.15] if r == k else [0.15, 0.60, 0.25] for r in range(rules)] for k in range(rules)])
+    first = np.array([prior] + [(1 - prior) / rules] * rules)
+    share, habit, weight = first, start, 5 + hold * n
+    one = np.eye(3)[v]
+    for _ in range(200):
+        p = share * np.prod(np.einsum("nrv,krv->nkr", one, habit), axis=2)
+        p /= p.sum(1, keepdims=True)
+        mass = weight * first + p.sum(0)
+        new = (weight * first[:, None, None] * start + np.einsum("nk,nrv->krv", p, one)) / mass[:, None, None]
+        moved, share, habit = np.abs(new - habit).max(), mass / mass.sum(), new
+        if moved < 1e-7:
+            break
+    p = share * np.prod(np.einsum("nrv,krv->nkr", one, habit), axis=2)
+    return p[:, 0] / p.sum(1)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_quality_verdicts_equal_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    own = texts(df)
+    good = slow_em([votes_of(t) for _, t in own])
+    base = [base_counts(t) for _, t in own]
+    want = [(i, bool(b[0] < 20 or 100 * b[4] > 30 * b[0]), g) for (i, _), b, g in zip(own, base, good)]
+    got = [(r.doc_id, r.base_failed, r.quality, r.kept) for r in quality_rules.quality_rules(df).collect()]
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6) and a[3] == (not b[1] and b[2] >= 0.5)
+
+
+def test_a_lone_bad_vote_of_a_rule_that_errs_is_outvoted():
+    """Rule 2 alone condemns what rules 0 and 1 call good; they condemn together. Not all must pass."""
+    patterns = [((1, 1, 1), 700), ((1, 1, 0), 120), ((0, 0, 1), 60), ((0, 0, 0), 60), ((0, 0, 2), 20)]
+    classes = quality_rules.estimate(patterns, 3)
+    good = {v: quality_rules.posterior(v, classes)[0] for v, _ in patterns}
+    alone = quality_rules.estimate([((1, 1, 1), 900), ((1, 1, 0), 3), ((0, 0, 1), 60)], 3)
+    assert good[(1, 1, 1)] > 0.9 and max(good[v] for v in ((0, 0, 1), (0, 0, 0), (0, 0, 2))) < 0.5
+    assert quality_rules.posterior((1, 1, 0), alone)[0] > 0.5
+
+
+def test_quality_rules_take_empty_tables_and_clashing_columns(spark, docs):
+    assert quality_rules.quality_rules(docs.limit(0)).count() == 0 and quality_rules.keep_good(docs.limit(0)).count() == 0
+    more = docs.withColumns({"row": F.lit(1), "w": F.lit("x"), "kept": F.lit("y"), "quality": F.lit(None)})
+    got = quality_rules.keep_good(more)
+    assert got.columns == more.columns and got.count() == quality_rules.keep_good(docs).count() > 0
 
 
 def test_quality_rules_keep_what_labels_call_good(spark):
@@ -243,12 +310,6 @@ def test_quality_rules_keep_what_labels_call_good(spark):
     assert np.mean([r.kept for r in seen if r.quality == 1]) > 0.95
 
 
-def test_em_finds_the_rule_that_errs():
-    patterns = [((0, 0, 2), 100), ((2, 2, 2), 800), ((2, 2, 0), 100), ((0, 0, 0), 10)]
-    right = quality_rules.estimate(patterns, 3)
-    assert right[0] > right[2] and right[1] > right[2]
-
-
 def test_lm_base_equals_brute_force_and_probabilities_sum(spark, docs):
     got = {r.doc_id: r for r in lm.op10_lm(spark, SF).collect()}
     own = texts(docs)

@@ -24,9 +24,10 @@ So every text has a probability, and its logarithm over its bytes is its bits pe
 partitions, as counts are sums of whole numbers, lessons are fixed by the words and a document needs no other's state.
 
 Spark does the corpus work. Documents are dealt to blocks; a block asks for the counts of its different rows of
-tokens by 48-bit hashes, in sorted lists cut into cells of the hash range; a cell adds up what all blocks bring and
-answers each of them, in the order that it was asked. Cells and blocks are of bounded size and their numbers follow the
-input; a frequent word is one number for each block. Only the spelling's tables, of a fixed size (``SLOTS``), and its
+tokens by hashes, in sorted lists cut into cells of the hash range; a cell adds up what all blocks bring and
+answers each of them, in the order that it was asked. Hashes have as many bits as make one row of tokens in a thousand
+share its hash with another, whatever the corpus's size (``SPARE_BITS`` more than count its tokens). Cells and blocks
+are of bounded size and their numbers follow the input; a frequent word is one number for each block. Only the spelling's tables, of a fixed size (``SLOTS``), and its
 weights reach the driver, and are broadcast.
 
 Cases: a null or empty text is the end alone. Repeated rows score alike, and come into one block. A null id isn't held
@@ -51,10 +52,11 @@ from .common import only, partitions, written
 #: Slots of the spelling's four tables: a power of two each. What grows with the corpus are the counts of tokens.
 SLOTS = (1 << 16, 1 << 18, 1 << 19, 1 << 21)
 FIRST = np.concatenate(([0], np.cumsum(SLOTS))).astype(np.int64)
-#: Slots a row of the tables' sums, bytes of a block's texts, hashes of a cell, words of a lesson, tokens of a step.
-CHUNK, BLOCK_BYTES, CELL, LESSON, STEP = 1 << 14, 8 << 20, 2_000_000, 20_000, 16
+#: Slots a row of the tables' sums, bytes of a block's texts, hashes of a cell, words of a lesson, most
+#: lessons, tokens of a step.
+CHUNK, BLOCK_BYTES, CELL, LESSON, LESSONS, STEP = 1 << 14, 8 << 20, 2_000_000, 20_000, 4096, 16
 GATES, INPUTS, PRIOR = 4 * 3 * 3, len(SLOTS) + 1, 0.4
-HASH_BITS = 48
+SPARE_BITS = 10
 #: What a source is thought to be worth at first: at most, and the evidence at which it is worth half of that.
 SOURCES = ((0.9, 4.0), (0.6, 40.0), (0.3, 60.0), (0.97, 0.0))
 PLACES, BEFORE, HASHED, GATE, MAPPED = 8, 16, 32, 3, 12
@@ -200,12 +202,13 @@ def predictor_counts(counts: DataFrame) -> np.ndarray:
 
 
 def mixing_weights(counts: DataFrame, shared) -> np.ndarray:
-    """Weights by input and gate. Words are dealt to lessons of about ``LESSON`` by their hashes; each lesson is learned
-    online in the words' order, and lessons are averaged by their tokens, so tasks make no difference."""
+    """Weights by input and gate. Words are dealt to lessons by their hashes, about ``LESSON`` to each but no more
+    than ``LESSONS`` in all; each lesson is learned online in the words' order. Lessons are averaged by their tokens, in
+    whole numbers, so that neither tasks nor their order make a difference."""
     start = np.full((INPUTS, GATES), 0.3, np.float32)
     start[-1] = 0
     known = counts.filter("c > 0").select("token", "c")
-    lessons = -(-known.count() // LESSON) or 1
+    lessons = min(LESSONS, -(-known.count() // LESSON) or 1)
 
     def learned(words: list[bytes], every: np.ndarray) -> pa.RecordBatch:
         w, norm = start.copy(), np.full((INPUTS, GATES), 1e-2)
@@ -237,12 +240,12 @@ def mixing_weights(counts: DataFrame, shared) -> np.ndarray:
 
     dealt = known.select(F.pmod(F.xxhash64("token"), F.lit(lessons)).alias("lesson"), "token", "c")
     dealt = dealt.repartition(partitions(counts.sparkSession), "lesson").sortWithinPartitions("lesson", "token")
-    found = dealt.mapInArrow(run, "n long, w binary").orderBy("n", "w")
-    out, total = np.zeros((INPUTS, GATES)), 0
-    for r in found.toLocalIterator():  # a row at a time
-        out += np.frombuffer(bytes(r["w"]), np.float32).reshape(INPUTS, GATES) * float(r["n"])
+    out, total, unit = np.zeros((INPUTS, GATES), object), 0, 1 << 24
+    for r in dealt.mapInArrow(run, "n long, w binary").collect():  # LESSONS bounds them
+        w = np.frombuffer(bytes(r["w"]), np.float32).reshape(INPUTS, GATES)
+        out += np.rint(w.astype(float) * unit).astype(np.int64).astype(object) * r["n"]
         total += r["n"]
-    return (out / total).astype(np.float32) if total else start
+    return (out / (total * unit)).astype(np.float32) if total else start
 
 
 def spelt_log2(counts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
@@ -275,14 +278,10 @@ class _Ids(dict):
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)
+    return x ^ (x >> np.uint64(29))
 
 
-def hash_of(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token) >> (64 - HASH_BITS)
-
-
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(number of tokens of each text, text of each token, hashes of each token: alone, after one, after two).
 
     What comes before a text is an end, and before that something that no text has.
@@ -290,7 +289,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndar
     ids = _Ids()
     rows = [np.fromiter(map(ids.__getitem__, tokens(t)), np.int64) for t in texts]
     size = np.array([len(r) for r in rows], np.int64)
-    one = np.fromiter(map(hash_of, ids), np.uint64, len(ids))[np.concatenate(rows)]
+    one = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))[np.concatenate(rows)]
     begin = np.cumsum(size) - size
 
     def before(x: np.ndarray, first: int) -> np.ndarray:
@@ -299,15 +298,25 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndar
         return out
 
     odd = np.uint64(0x9E3779B97F4A7C15)
-    two = _mix((before(one, hash_of(b"")) + np.uint64(1)) * odd + one)
+    two = _mix((before(one, xxhash.xxh64_intdigest(b"")) + np.uint64(1)) * odd + one)
     three = _mix((before(two, 0) + np.uint64(2)) * odd + one)
-    return size, np.repeat(np.arange(len(rows)), size), [one, two, three]
+    return size, np.repeat(np.arange(len(rows)), size), [x >> np.uint64(64 - bits) for x in (one, two, three)]
+
+
+def hash_of(token: bytes, bits: int) -> int:
+    return xxhash.xxh64_intdigest(token) >> (64 - bits)
 
 
 def ranked(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(different hashes in order, which of them each place has, how often its document has it, and had it before)."""
-    order = np.argsort(h, kind="stable")  # one hash's places stay in order, and so do its documents
-    s, d = h[order], doc[order]
+    width = max(1, len(h).bit_length())
+    if int(h.max(initial=0)).bit_length() + width <= 64:  # hash and place in one number, whose sort is the fastest
+        both = np.sort(h << np.uint64(width) | np.arange(len(h), dtype=np.uint64))
+        order, s = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+    else:
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+    d = doc[order]  # one hash's places stay in order, and so do its documents
     new = np.append(True, s[1:] != s[:-1])
     heads = np.flatnonzero(new | np.append(True, d[1:] != d[:-1]))
     size = np.diff(np.append(heads, len(h)))
@@ -318,26 +327,48 @@ def ranked(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return s[new], which, own, earlier
 
 
+def squeezed(x: np.ndarray, kinds: tuple[str, ...]) -> bytes:
+    """Whole numbers as one run of bytes for each part of them, least part first, each run compressed."""
+    out, at = [], 0
+    for k in kinds:
+        width = np.dtype(k).itemsize
+        raw = (x >> np.uint64(at)).astype(k).tobytes()
+        small = pa.compress(raw, "zstd", asbytes=True)
+        out.append(len(small).to_bytes(4, "little") + small)
+        at += 8 * width
+    return len(x).to_bytes(4, "little") + b"".join(out)
+
+
+def restored(data: bytes, kinds: tuple[str, ...]) -> tuple[np.ndarray, int]:
+    """(the numbers, bytes read)."""
+    n, at, shift, out = int.from_bytes(data[:4], "little"), 4, 0, np.zeros(0, np.uint64)
+    for k in kinds:
+        width, size = np.dtype(k).itemsize, int.from_bytes(data[at : at + 4], "little")
+        part = np.frombuffer(pa.decompress(data[at + 4 : at + 4 + size], n * width, "zstd"), k, n).astype(np.uint64)
+        out = out | part << np.uint64(shift) if len(out) else part << np.uint64(shift)
+        at, shift = at + 4 + size, shift + 8 * width
+    return out, at
+
+
+STEPS, COUNTS = ("<u2", "<u1", "<u1", "<u4"), ("<u1", "<u1", "<u2", "<u4")
+
+
 def packed(h: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted hashes as steps and a whole number for each, in few bytes."""
-    step = np.diff(h, prepend=np.uint64(0))
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(n.max(initial=0)) <= np.iinfo(k).max)
-    return b"".join([kind[1:].encode(), (step & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (step >> np.uint64(32)).astype("<u2").tobytes(), n.astype(kind).tobytes()])
+    return squeezed(np.diff(h, prepend=np.uint64(0)), STEPS) + squeezed(n.astype(np.uint64), COUNTS)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    kind = "<" + data[:2].decode()
-    m = (len(data) - 2) // (6 + np.dtype(kind).itemsize)
-    step = np.frombuffer(data, "<u4", m, 2).astype(np.uint64) | np.frombuffer(data, "<u2", m, 2 + 4 * m).astype(np.uint64) << np.uint64(32)
-    return np.cumsum(step, dtype=np.uint64), np.frombuffer(data, kind, m, 2 + 6 * m).astype(np.int64)
+    step, at = restored(data, STEPS)
+    return np.cumsum(step, dtype=np.uint64), restored(data[at:], COUNTS)[0].astype(np.int64)
 
 
-def cut(h: np.ndarray, cells: int) -> Iterator[tuple[int, slice]]:
+def cut(h: np.ndarray, cells: int, bits: int) -> Iterator[tuple[int, slice]]:
     """(cell, slice) for each cell of the hash range that sorted hashes touch."""
     at = 0
     while at < len(h):
-        cell = int(h[at]) * cells >> HASH_BITS
-        end = int(np.searchsorted(h, np.uint64(-(-((cell + 1) << HASH_BITS) // cells)))) if cell + 1 < cells else len(h)
+        cell = int(h[at]) * cells >> bits
+        end = int(np.searchsorted(h, np.uint64(-(-((cell + 1) << bits) // cells)))) if cell + 1 < cells else len(h)
         yield cell, slice(at, end)
         at = end
 
@@ -345,9 +376,9 @@ def cut(h: np.ndarray, cells: int) -> Iterator[tuple[int, slice]]:
 ASKED = "cell long, block long, kind int, data binary"
 
 
-def asked(rows: DataFrame, cells: int) -> DataFrame:
+def asked(rows: DataFrame, cells: int, bits: int) -> DataFrame:
     """(cell, block, kind, data): the different hashes of one, two and three tokens (kind 0, 1, 2) of each block of
-    ``rows`` (block, learn, text), and how often the texts to learn from have each."""
+    ``rows`` (id, text, learn, block), and how often the texts to learn from have each."""
 
     def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         h, n = (np.concatenate(x) for x in zip(*parts))
@@ -358,10 +389,10 @@ def asked(rows: DataFrame, cells: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list] = {}
         for b in batches:
-            blocks, learn = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            blocks, learn = b.column(3).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks):
                 mine = np.flatnonzero(blocks == block)
-                _, doc, hashes = grams(b.column(2).take(pa.array(mine)).to_pylist())
+                _, doc, hashes = grams(b.column(1).take(pa.array(mine)).to_pylist(), bits)
                 taught = learn[mine][doc].astype(np.int64)
                 for kind, h in enumerate(hashes):
                     parts = found.setdefault((int(block), kind), [])
@@ -370,22 +401,22 @@ def asked(rows: DataFrame, cells: int) -> DataFrame:
                         parts[:] = [tally(parts)]
         for (block, kind), parts in found.items():
             h, n = tally(parts)
-            out = [(cell, packed(h[k], n[k])) for cell, k in cut(h, cells)]
+            out = [(cell, packed(h[k], n[k])) for cell, k in cut(h, cells, bits)]
             cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())]
             yield pa.record_batch(cols, ["cell", "block", "kind", "data"])
 
-    return rows.select("block", "learn", "text").mapInArrow(run, ASKED)
+    return rows.mapInArrow(run, ASKED)  # with all columns, so that the score reads the same shuffled rows
 
 
-def spelt_cells(spelt: DataFrame, cells: int) -> DataFrame:
+def spelt_cells(spelt: DataFrame, cells: int, bits: int) -> DataFrame:
     """The spellings' log2 probabilities as further rows of what is asked: block -1, each a number of 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.fromiter(map(hash_of, b.column(0).to_pylist()), np.uint64, b.num_rows)
+            h = np.fromiter((hash_of(t, bits) for t in b.column(0).to_pylist()), np.uint64, b.num_rows)
             order = np.argsort(h, kind="stable")
-            h, bits = h[order], b.column(1).to_numpy().astype("<f4")[order].view("<u4")
-            out = [(cell, packed(h[k], bits[k])) for cell, k in cut(h, cells)]
+            h, value = h[order], b.column(1).to_numpy().astype("<f4")[order].view("<u4")
+            out = [(cell, packed(h[k], value[k])) for cell, k in cut(h, cells, bits)]
             cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([-1] * len(out), pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())]
             yield pa.record_batch(cols, ["cell", "block", "kind", "data"])
 
@@ -416,7 +447,7 @@ def answered(cell: pa.Table) -> pa.Table:
         for r, (own, _) in zip(rows, parts):
             w = which[at : at + len(own)]
             at += len(own)
-            out.append((int(blocks[r]), kind, cell["cell"][0].as_py(), packed(np.zeros(0, np.uint64), total[w]), bits[w].tobytes() if kind == 0 else b""))
+            out.append((int(blocks[r]), kind, cell["cell"][0].as_py(), squeezed(total[w].astype(np.uint64), COUNTS), bits[w].tobytes() if kind == 0 else b""))
     kinds_of = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     cols = list(zip(*out)) if out else [[]] * 5
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_of)], [x.split()[0] for x in ANSWERS.split(", ")])
@@ -428,56 +459,63 @@ def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray
     ``HASHED``; ``spelt`` is the spelling's log2 probability. Documents of ``size`` tokens run in lockstep."""
     order = np.argsort(-size, kind="stable")
     starts, size = (np.cumsum(size) - size)[order], size[order]
-    n, k = len(size), len(SOURCES)
-    slots = (PLACES, BEFORE, HASHED)
-    yes, all_ = [np.zeros((n, k, m)) for m in slots], [np.zeros((n, k, m)) for m in slots]
-    map_yes, map_all = np.zeros((n, k, MAPPED)), np.zeros((n, k, MAPPED))
-    w = np.tile(np.array(START), (n, k, GATE, 1))
+    n, k, f = len(size), len(SOURCES), np.float32
+    slots = (PLACES, BEFORE, HASHED, MAPPED)
+    yes, no = [np.zeros(n * k * m, f) for m in slots], [np.zeros(n * k * m, f) for m in slots]
+    weights = [np.full(n * k * GATE, x, f) for x in START]
+    share, seen = np.stack(share).astype(f), np.stack(seen).astype(f)
+    history, hashed = history.astype(np.int32), hashed.astype(np.int32)
+    top, half = (np.array(x, f)[:, None, None] for x in zip(*SOURCES))
     out = np.zeros(len(spelt))
-    stretch = lambda p: np.log(p / (1 - p))
     for i in range(0, int(size[0]) if n else 0, STEP):
         live = int(np.searchsorted(-size, -i))  # documents longer than i
         place = i + np.arange(STEP)
         valid = place < size[:live, None]
         at = np.where(valid, starts[:live, None] + place, starts[:live, None])
-        lane = np.broadcast_to(np.arange(live)[:, None], at.shape)
-        total, steps = spelt[at], []
-        for s in range(k - 1, -1, -1):
-            top, half = SOURCES[s]
-            known = seen[s][at]
-            start = np.clip(top * known / (known + half), 1e-4, 0.999) if half else np.full(at.shape, top)
-            level = np.minimum(PLACES - 1, np.log2(known + 1).astype(np.int64))
-            spots = (level, history[at], hashed[at])
-            x = [stretch(start)]
-            for y, a, spot in zip(yes, all_, spots):
-                x.append(stretch(np.clip((y[lane, s, spot] + HOLD * start) / (a[lane, s, spot] + HOLD), 1e-4, 1 - 1e-4)))
-            x = np.stack([*x, np.full(at.shape, 0.3)], axis=-1)
-            gate = np.minimum(GATE - 1, level // 2)
-            z = np.clip((x * w[lane, s, gate]).sum(-1), -8, 8)
-            mixed = 1 / (1 + np.exp(-z))
-            cell = np.clip(np.floor(z * 1.5).astype(np.int64) + MAPPED // 2, 0, MAPPED - 1)
-            fine = (map_yes[lane, s, cell] + HOLD_MAP * mixed) / (map_all[lane, s, cell] + HOLD_MAP)
-            m = np.where(known > 0, np.clip((mixed + fine) / 2, 1e-6, 1 - 1e-6), 0.0)
-            with np.errstate(divide="ignore"):
-                inside = np.log2(m * share[s][at])
-            total = np.logaddexp2(inside, np.log2(1 - m) + total)
-            steps.append((s, x, gate, spots, cell, mixed, np.exp2(inside - total)))
-        out[at[valid]] = total[valid]
-        reach = valid.astype(float)
-        for s, x, gate, spots, cell, mixed, y in reversed(steps):
-            weigh = np.where(seen[s][at] > 0, reach, 0.0)
-            add = lambda table, spot, v: table[:live, s].reshape(-1) + np.bincount((lane * table.shape[2] + spot).ravel(), v.ravel(), live * table.shape[2])
-            for t_yes, t_all, spot in [*zip(yes, all_, spots), (map_yes, map_all, cell)]:
-                t_yes[:live, s] = add(t_yes, spot, y * weigh).reshape(live, -1)
-                t_all[:live, s] = add(t_all, spot, weigh).reshape(live, -1)
-            pull = RATE * weigh * (y - mixed)
-            for j in range(x.shape[-1]):
-                w[:live, s, :, j] += np.bincount((lane * GATE + gate).ravel(), (pull * x[..., j]).ravel(), live * GATE).reshape(live, GATE)
-            reach = reach * (1 - y)
+        # all arrays are source, document, token; a document's state of a source starts at its row times the slots
+        row = (np.arange(live)[None, :, None] * k + np.arange(k)[:, None, None]).astype(np.int32)
+        known = seen[:, at]
+        on = (known > 0) & valid
+        start = np.clip(top * known / np.maximum(known + half, f(1e-9)), f(1e-4), f(0.999))
+        level = np.minimum(PLACES - 1, np.log2(known + 1).astype(np.int32))
+        spots = [row * PLACES + level, row * BEFORE + history[at], row * HASHED + hashed[at]]
+        x = [np.log(start / (1 - start))]
+        for y, z, spot in zip(yes, no, spots):
+            x.append(np.log((y[spot] + f(HOLD) * start) / (z[spot] + f(HOLD) * (1 - start))))
+        gate = row * GATE + np.minimum(GATE - 1, level // 2)
+        z = weights[-1][gate] * f(0.3)
+        for w, v in zip(weights, x):
+            z += w[gate] * v
+        z = np.clip(z, f(-8), f(8))
+        mixed = 1 / (1 + np.exp(-z))
+        spots.append(row * MAPPED + np.clip(np.floor(z * f(1.5)).astype(np.int32) + MAPPED // 2, 0, MAPPED - 1))
+        ones = yes[-1][spots[-1]]
+        fine = (ones + f(HOLD_MAP) * mixed) / (ones + no[-1][spots[-1]] + f(HOLD_MAP))
+        m = np.where(on, np.clip((mixed + fine) / 2, f(1e-6), f(1 - 1e-6)), 0).astype(float)
+        passed = np.cumprod(1 - m, axis=0)  # none of the sources up to here
+        parts = m * share[:, at]
+        parts[1:] *= passed[:-1]
+        inside, rest, bits = parts.sum(0), passed[-1], spelt[at]
+        total = inside + rest * np.exp2(np.maximum(bits, -1000))
+        log2 = np.where(inside > 0, np.log2(total), np.log2(rest) + bits)
+        out[at[valid]] = log2[valid]
+        parts /= total
+        parts *= on
+        reach = np.empty_like(parts)  # how likely the source's bit was met at all
+        reach[0] = 1
+        np.subtract(1, np.cumsum(parts, axis=0)[:-1], out=reach[1:])
+        reach *= on
+        for y, z, spot, m_ in zip(yes, no, spots, slots):
+            end = live * k * m_
+            y[:end] += np.bincount(spot.ravel(), parts.ravel(), end)
+            z[:end] += np.bincount(spot.ravel(), (reach - parts).ravel(), end)
+        pull, end = RATE * (parts - reach * mixed), live * k * GATE
+        for w, v in zip(weights, [*x, None]):
+            w[:end] += np.bincount(gate.ravel(), (pull * (0.3 if v is None else v)).ravel(), end)
     return out
 
 
-def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], spelt: np.ndarray, learn: np.ndarray, n: int) -> tuple:
+def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], spelt: np.ndarray, learn: np.ndarray, n: int, bits: int) -> tuple:
     """(:func:`source_log2`'s arguments, the corpus's counts of each token) from a block's tokens and the answers."""
     begin = np.cumsum(size) - size
     fresh = np.arange(len(doc)) - begin[doc]
@@ -502,24 +540,24 @@ def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts
     parts = [three, two, back[0], less[0]]
     share = [p / np.maximum(s, 1) for p, s in zip(parts, seen)]
     known = (three > 0) * 8 + (two > 0) * 4 + (back[0] > 0) * 2 + (less[0] > 0)
-    hashed = before(hashes[0], hash_of(b"")) & np.uint64(HASHED - 1)
+    hashed = before(hashes[0], xxhash.xxh64_intdigest(b"") >> (64 - bits)) & np.uint64(HASHED - 1)
     return (size, share, seen, before(known, 0), hashed.astype(np.int64), ends), whole[0]
 
 
-def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
+def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int, bits: int) -> pa.Table:
     texts, learn = docs["text"].to_pylist(), docs["learn"].to_numpy(zero_copy_only=False)
     if not texts:
         return pa.table({c: pa.array([], k) for c, k in (("id", docs["id"].type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64()))})
-    size, doc, hashes = grams(texts)
+    size, doc, hashes = grams(texts, bits)
     kinds, cells = answers["kind"].to_numpy(), answers["cell"].to_numpy()
     counts, spelt = [], np.zeros(0)
     for kind in range(3):
         rows = np.flatnonzero(kinds == kind)
         rows = rows[np.argsort(cells[rows])]
-        counts.append(np.concatenate([unpacked_counts(answers["counts"][int(r)].as_py()) for r in rows]))
+        counts.append(np.concatenate([restored(answers["counts"][int(r)].as_py(), COUNTS)[0] for r in rows]).astype(np.int64))
         if kind == 0:
             spelt = np.concatenate([np.frombuffer(answers["spelt"][int(r)].as_py(), "<f4") for r in rows]).astype(float)
-    args, c = contexts(size, doc, hashes, counts, spelt, learn, n)
+    args, c = contexts(size, doc, hashes, counts, spelt, learn, n, bits)
     begin = np.cumsum(size) - size
     total = lambda x: np.add.reduceat(x, begin)
     score = total(source_log2(*args))
@@ -530,11 +568,6 @@ def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int) -> pa.Table:
     })
 
 
-def unpacked_counts(data: bytes) -> np.ndarray:
-    kind = "<" + data[:2].decode()
-    return np.frombuffer(data, kind, -1, 2).astype(np.int64)
-
-
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row; ``learn`` says
     which rows of ``docs`` to learn from, and the others are held out."""
@@ -546,16 +579,17 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     size = only(docs, text_col).agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     blocks, cells = -(-size // BLOCK_BYTES) + 1, -(-3 * n // CELL) + 1
+    bits = max(32, int(n).bit_length() + SPARE_BITS)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
         F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(blocks)).alias("block"),
     ).repartition(max(partitions(spark), blocks), "block")
-    answers = asked(rows, cells).union(spelt_cells(spelt, cells)).groupBy("cell").applyInArrow(answered, ANSWERS)
+    answers = asked(rows, cells, bits).union(spelt_cells(spelt, cells, bits)).groupBy("cell").applyInArrow(answered, ANSWERS)
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda d, a: _score_block(d, a, n, v),
+        lambda d, a: _score_block(d, a, n, v, bits),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double",
     )
     return out.withColumn("train_tokens", F.lit(n).cast("long")).withColumnRenamed("id", id_col)

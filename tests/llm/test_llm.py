@@ -348,11 +348,12 @@ def test_lm_spellings_are_a_distribution():
     assert sum(2.0 ** heads[k] for k in range(256) if k != 32) + 2.0**closing == pytest.approx(1, abs=1e-4)
 
 
-def slow_lm(sequence, taught, n, spelt):
+def slow_lm(sequence, taught, n, spelt, total):
     """log2 of one text's probability, token by token; ``taught`` are the counts of the other documents' tokens."""
     hist = [Counter(), Counter(), Counter()]
     names = [lambda i: (sequence[i],), lambda i: ((sequence[i - 1] if i else b""), sequence[i]), lambda i: ((sequence[i - 2] if i > 1 else b"" if i else None), (sequence[i - 1] if i else b""), sequence[i])]
     known = lambda kind, i: taught[names[kind](i)] + hist[kind][names[kind](i)]
+    bits_of_hash = max(32, total.bit_length() + lm.SPARE_BITS)
     states, weights, out, queue, last = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: list(lm.START)), 0.0, [], 0
     stretch = lambda p: math.log(p / (1 - p))
     clip = lambda v, a, b: min(max(v, a), b)
@@ -360,7 +361,7 @@ def slow_lm(sequence, taught, n, spelt):
         one, two, three, cached = known(0, i), known(1, i), known(2, i), hist[0][(token,)]
         seen = [queue_two if i else 0, queue_one if i else taught[(b"",)], i, max(n, 0)]
         share = [x / max(y, 1) for x, y in zip((three, two, cached, taught[(token,)]), seen)]
-        spots = [None, last, lm.hash_of(sequence[i - 1] if i else b"") % lm.HASHED]
+        spots = [None, last, lm.hash_of(sequence[i - 1] if i else b"", bits_of_hash) % lm.HASHED]
         bits, log2 = [], spelt[token]
         for s in range(3, -1, -1):
             top, half = lm.SOURCES[s]
@@ -419,8 +420,8 @@ def test_lm_scores_equal_a_slow_scorer_whatever_the_partitions(spark, docs):
     held = [i for i, _ in own if not learn[i]]
     for i in [i for i, _ in own if learn[i]][::12] + held[::4]:
         taught = every - Counter(rows_of(seq[i])) if learn[i] else every
-        want = slow_lm(seq[i], taught, n - len(seq[i]) * learn[i], spelt)
-        assert got[i] == pytest.approx(want * math.log10(2), rel=1e-6)
+        want = slow_lm(seq[i], taught, n - len(seq[i]) * learn[i], spelt, n)
+        assert got[i] == pytest.approx(want * math.log10(2), rel=1e-4)
 
 
 def test_lm_tells_texts_that_occur_twice_and_beats_the_base(spark):
@@ -437,11 +438,12 @@ def test_lm_tells_texts_that_occur_twice_and_beats_the_base(spark):
 
 
 def test_lm_counts_come_back_as_they_were_asked():
-    h = np.unique(np.random.default_rng(3).integers(0, 1 << lm.HASH_BITS, 5000).astype(np.uint64))
-    n = np.arange(len(h)) * 7
+    bits = 48
+    h = np.unique(np.random.default_rng(3).integers(0, 1 << bits, 5000).astype(np.uint64))
+    n = np.arange(len(h)) * 70000
     for cells in (1, 3, 700):
-        parts = [(c, *lm.unpacked(lm.packed(h[k], n[k]))) for c, k in lm.cut(h, cells)]
-        assert [c for c, *_ in parts] == sorted({int(x) * cells >> lm.HASH_BITS for x in h})
+        parts = [(c, *lm.unpacked(lm.packed(h[k], n[k]))) for c, k in lm.cut(h, cells, bits)]
+        assert [c for c, *_ in parts] == sorted({int(x) * cells >> bits for x in h})
         assert np.array_equal(np.concatenate([x for _, x, _ in parts]), h) and np.array_equal(np.concatenate([x for *_, x in parts]), n)
 
 

@@ -52,9 +52,9 @@ from .common import only, partitions, written
 #: Slots of the spelling's four tables: a power of two each. What grows with the corpus are the counts of tokens.
 SLOTS = (1 << 16, 1 << 18, 1 << 19, 1 << 21)
 FIRST = np.concatenate(([0], np.cumsum(SLOTS))).astype(np.int64)
-#: Slots a row of the tables' sums, bytes of a block's texts, hashes of a cell, words of a lesson, most
-#: lessons, tokens of a step.
-CHUNK, BLOCK_BYTES, CELL, LESSON, LESSONS, STEP = 1 << 14, 8 << 20, 2_000_000, 20_000, 4096, 16
+#: Slots a row of the tables' sums, bytes of a block's texts, hashes of a cell, words learned at a
+#: time, lessons, tokens of a step.
+CHUNK, BLOCK_BYTES, CELL, LESSON, LESSONS, STEP = 1 << 14, 6 << 20, 2_000_000, 20_000, 512, 16
 GATES, INPUTS, PRIOR = 4 * 3 * 3, len(SLOTS) + 1, 0.4
 SPARE_BITS = 10
 #: What a source is thought to be worth at first: at most, and the evidence at which it is worth half of that.
@@ -115,18 +115,38 @@ def _bits(now: np.ndarray, contexts: tuple) -> Iterator[tuple[np.ndarray, np.nda
         yield np.stack(slots), ((now >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
 
 
-def _mixed(counts: np.ndarray, w: np.ndarray, place: int, slots: np.ndarray, bit: np.ndarray, less: int = 0):
-    """(inputs, gate, probability of a one); ``less`` sights of the bit itself are left out of the counts."""
-    n = counts[slots]  # predictor, node, zeros and ones
+class Sights:
+    """What the counts of the tables' slots say, worked out once: for each slot, and for each slot without one sight of
+    a zero or of a one, the logarithm of ones against zeros, and how much evidence there is."""
+
+    def __init__(self, counts: np.ndarray):
+        prior = np.float32(PRIOR)
+        less = [np.maximum(counts - np.eye(2, dtype=np.float32)[bit], 0) for bit in (0, 1)]
+        ratio = lambda n: np.log(n[:, 1] + prior) - np.log(n[:, 0] + prior)
+        self.ratio, self.ratio_less = ratio(counts), np.stack([ratio(n) for n in less], axis=1)
+        self.seen, self.seen_less = self.level(counts), np.stack([self.level(n) for n in less], axis=1)
+
+    @staticmethod
+    def level(counts: np.ndarray) -> np.ndarray:
+        """The evidence of the slots of the last two tables, as the share of the gate that it stands for."""
+        n, out = counts.sum(1), np.zeros(len(counts), np.int8)
+        two, three = slice(FIRST[2], FIRST[3]), slice(FIRST[3], FIRST[4])
+        out[two] = 3 * ((n[two] >= 1).astype(np.int8) + (n[two] >= 32))
+        out[three] = 9 * ((n[three] >= 1).astype(np.int8) + (n[three] >= 4) + (n[three] >= 32))
+        return out
+
+
+def _mixed(sights: Sights, w: np.ndarray, place: int, slots: np.ndarray, bit: np.ndarray, less: bool = False):
+    """(inputs, gate, probability of a one); with ``less`` one sight of the bit itself is left out of the counts."""
+    x = np.empty((INPUTS, slots.shape[1]), np.float32)
     if less:
-        n[:, np.arange(len(bit)), bit] -= less
-    x = np.empty((INPUTS, len(bit)), np.float32)
-    logs = np.log(n + np.float32(PRIOR))
-    x[:-1] = logs[..., 1] - logs[..., 0]
+        x[:-1] = sights.ratio_less[slots, bit]
+        gate = sights.seen_less[slots[2], bit] + sights.seen_less[slots[3], bit]
+    else:
+        np.take(sights.ratio, slots, out=x[:-1])
+        gate = sights.seen[slots[2]] + sights.seen[slots[3]]
     x[-1] = 0.3
-    seen, three = n[3].sum(1), n[2].sum(1)
-    level = (seen >= 1).astype(np.int64) + (seen >= 4) + (seen >= 32)
-    gate = level * 9 + ((three >= 1).astype(np.int64) + (three >= 32)) * 3 + min(place, 2)
+    gate = gate.astype(np.intp) + min(place, 2)
     z = (x * w[:, gate]).sum(0)
     return x, gate, 1 / (1 + np.exp(-np.clip(z, -16, 16)))
 
@@ -202,43 +222,51 @@ def predictor_counts(counts: DataFrame) -> np.ndarray:
 
 
 def mixing_weights(counts: DataFrame, shared) -> np.ndarray:
-    """Weights by input and gate. Words are dealt to lessons by their hashes, about ``LESSON`` to each but no more
-    than ``LESSONS`` in all; each lesson is learned online in the words' order. Lessons are averaged by their tokens, in
-    whole numbers, so that neither tasks nor their order make a difference."""
+    """Weights by input and gate. Words are dealt to ``LESSONS`` lessons by the hashes of their beginnings; each lesson
+    is learned online in the words' order, ``LESSON`` words at a time. Lessons are averaged by their tokens, in whole
+    numbers, so that neither tasks nor their order make a difference."""
     start = np.full((INPUTS, GATES), 0.3, np.float32)
     start[-1] = 0
     known = counts.filter("c > 0").select("token", "c")
-    lessons = min(LESSONS, -(-known.count() // LESSON) or 1)
 
-    def learned(words: list[bytes], every: np.ndarray) -> pa.RecordBatch:
-        w, norm = start.copy(), np.full((INPUTS, GATES), 1e-2)
+    def learned(words: list[bytes], counts_: list[int], w: np.ndarray, norm: np.ndarray) -> None:
+        every = np.array(counts_, np.int64)
         for at, end in _runs(words):
             c = every[at:end]
             for place, rows, node, now, contexts in _nodes(words[at:end]):
                 own = np.bincount(node, c[rows])
                 for slots, bit in _bits(now, contexts):
-                    x, gate, p = _mixed(shared.value, w, place, slots, bit, 1)
+                    x, gate, p = _mixed(shared.value, w, place, slots, bit, True)
                     err, weight = (bit - p) * own, np.bincount(gate, own, GATES)
                     for i in range(INPUTS):
                         g = np.bincount(gate, err * x[i], GATES) / np.maximum(weight, 1)
                         norm[i] += g**2
                         w[i] += 0.02 * g / np.sqrt(norm[i])
-        return pa.record_batch([pa.array([int(every.sum())]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lesson, words, every = None, [], []
+        lesson, words, every, total, w, norm = None, [], [], 0, None, None
+
+        def ended() -> pa.RecordBatch:
+            learned(words, every, w, norm)
+            return pa.record_batch([pa.array([total]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
+
         for b in batches:
             for k, word, c in zip(*(x.to_pylist() for x in b.columns)):
-                if k != lesson and words:
-                    yield learned(words, np.array(every, np.int64))
+                if k != lesson:
+                    if lesson is not None:
+                        yield ended()
+                    lesson, words, every, total = k, [], [], 0
+                    w, norm = start.copy(), np.full((INPUTS, GATES), 1e-2)
+                if len(words) == LESSON:
+                    learned(words, every, w, norm)
                     words, every = [], []
-                lesson = k
                 words.append(word)
                 every.append(c)
-        if words:
-            yield learned(words, np.array(every, np.int64))
+                total += c
+        if lesson is not None:
+            yield ended()
 
-    dealt = known.select(F.pmod(F.xxhash64("token"), F.lit(lessons)).alias("lesson"), "token", "c")
+    dealt = known.select(F.pmod(F.xxhash64(F.substring("token", 1, 3)), F.lit(LESSONS)).alias("lesson"), "token", "c")
     dealt = dealt.repartition(partitions(counts.sparkSession), "lesson").sortWithinPartitions("lesson", "token")
     out, total, unit = np.zeros((INPUTS, GATES), object), 0, 1 << 24
     for r in dealt.mapInArrow(run, "n long, w binary").collect():  # LESSONS bounds them
@@ -267,14 +295,6 @@ def spelt_log2(counts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
     return counts.select("token", "c").mapInArrow(run, "token binary, c long, spelt double")
 
 
-class _Ids(dict):
-    """Numbers tokens as they come."""
-
-    def __missing__(self, token: bytes) -> int:
-        n = self[token] = len(self)
-        return n
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
@@ -286,10 +306,12 @@ def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, l
 
     What comes before a text is an end, and before that something that no text has.
     """
-    ids = _Ids()
-    rows = [np.fromiter(map(ids.__getitem__, tokens(t)), np.int64) for t in texts]
-    size = np.array([len(r) for r in rows], np.int64)
-    one = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))[np.concatenate(rows)]
+    size, parts = np.zeros(len(texts), np.int64), []
+    for k, t in enumerate(texts):
+        own = tokens(t)
+        size[k] = len(own)
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
+    one = np.concatenate(parts)
     begin = np.cumsum(size) - size
 
     def before(x: np.ndarray, first: int) -> np.ndarray:
@@ -300,7 +322,7 @@ def grams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, l
     odd = np.uint64(0x9E3779B97F4A7C15)
     two = _mix((before(one, xxhash.xxh64_intdigest(b"")) + np.uint64(1)) * odd + one)
     three = _mix((before(two, 0) + np.uint64(2)) * odd + one)
-    return size, np.repeat(np.arange(len(rows)), size), [x >> np.uint64(64 - bits) for x in (one, two, three)]
+    return size, np.repeat(np.arange(len(texts), dtype=np.int32), size), [x >> np.uint64(64 - bits) for x in (one, two, three)]
 
 
 def hash_of(token: bytes, bits: int) -> int:
@@ -312,7 +334,7 @@ def ranked(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     width = max(1, len(h).bit_length())
     if int(h.max(initial=0)).bit_length() + width <= 64:  # hash and place in one number, whose sort is the fastest
         both = np.sort(h << np.uint64(width) | np.arange(len(h), dtype=np.uint64))
-        order, s = (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+        order, s = (both & np.uint64((1 << width) - 1)).astype(np.int32), both >> np.uint64(width)
     else:
         order = np.argsort(h, kind="stable")
         s = h[order]
@@ -320,7 +342,7 @@ def ranked(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.append(True, s[1:] != s[:-1])
     heads = np.flatnonzero(new | np.append(True, d[1:] != d[:-1]))
     size = np.diff(np.append(heads, len(h)))
-    which, own, earlier = np.empty(len(h), np.int64), np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+    which, own, earlier = (np.empty(len(h), np.int32) for _ in range(3))
     which[order] = np.cumsum(new) - 1
     own[order] = np.repeat(size, size)
     earlier[order] = np.arange(len(h)) - np.repeat(heads, size)
@@ -380,7 +402,15 @@ def asked(rows: DataFrame, cells: int, bits: int) -> DataFrame:
     """(cell, block, kind, data): the different hashes of one, two and three tokens (kind 0, 1, 2) of each block of
     ``rows`` (id, text, learn, block), and how often the texts to learn from have each."""
 
-    def tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def tally(h: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = np.sort(h << np.uint64(1) | taught.astype(np.uint64))
+        h = key >> np.uint64(1)
+        heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        return h[heads], np.add.reduceat((key & np.uint64(1)).astype(np.int64), heads)
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(parts) == 1:
+            return parts[0]
         h, n = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
         heads = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
@@ -393,14 +423,14 @@ def asked(rows: DataFrame, cells: int, bits: int) -> DataFrame:
             for block in np.unique(blocks):
                 mine = np.flatnonzero(blocks == block)
                 _, doc, hashes = grams(b.column(1).take(pa.array(mine)).to_pylist(), bits)
-                taught = learn[mine][doc].astype(np.int64)
+                taught = learn[mine][doc]
                 for kind, h in enumerate(hashes):
                     parts = found.setdefault((int(block), kind), [])
-                    parts.append(tally([(h, taught)]))
+                    parts.append(tally(h, taught))
                     if len(parts) >= 8:
-                        parts[:] = [tally(parts)]
+                        parts[:] = [merged(parts)]
         for (block, kind), parts in found.items():
-            h, n = tally(parts)
+            h, n = merged(parts)
             out = [(cell, packed(h[k], n[k])) for cell, k in cut(h, cells, bits)]
             cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())]
             yield pa.record_batch(cols, ["cell", "block", "kind", "data"])
@@ -453,7 +483,7 @@ def answered(cell: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds_of)], [x.split()[0] for x in ANSWERS.split(", ")])
 
 
-def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray], history: np.ndarray, hashed: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+def source_log2(size: np.ndarray, share: np.ndarray, seen: np.ndarray, history: np.ndarray, hashed: np.ndarray, spelt: np.ndarray) -> np.ndarray:
     """The log2 probability of each token. ``share`` and ``seen`` are, for each source, the token's share of it and how
     much it knows here (0: nothing, its bit is skipped); ``history`` and ``hashed`` are contexts below ``BEFORE`` and
     ``HASHED``; ``spelt`` is the spelling's log2 probability. Documents of ``size`` tokens run in lockstep."""
@@ -463,8 +493,6 @@ def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray
     slots = (PLACES, BEFORE, HASHED, MAPPED)
     yes, no = [np.zeros(n * k * m, f) for m in slots], [np.zeros(n * k * m, f) for m in slots]
     weights = [np.full(n * k * GATE, x, f) for x in START]
-    share, seen = np.stack(share).astype(f), np.stack(seen).astype(f)
-    history, hashed = history.astype(np.int32), hashed.astype(np.int32)
     top, half = (np.array(x, f)[:, None, None] for x in zip(*SOURCES))
     out = np.zeros(len(spelt))
     for i in range(0, int(size[0]) if n else 0, STEP):
@@ -495,7 +523,7 @@ def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray
         passed = np.cumprod(1 - m, axis=0)  # none of the sources up to here
         parts = m * share[:, at]
         parts[1:] *= passed[:-1]
-        inside, rest, bits = parts.sum(0), passed[-1], spelt[at]
+        inside, rest, bits = parts.sum(0), passed[-1], spelt[at].astype(float)
         total = inside + rest * np.exp2(np.maximum(bits, -1000))
         log2 = np.where(inside > 0, np.log2(total), np.log2(rest) + bits)
         out[at[valid]] = log2[valid]
@@ -518,30 +546,35 @@ def source_log2(size: np.ndarray, share: list[np.ndarray], seen: list[np.ndarray
 def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts: list[np.ndarray], spelt: np.ndarray, learn: np.ndarray, n: int, bits: int) -> tuple:
     """(:func:`source_log2`'s arguments, the corpus's counts of each token) from a block's tokens and the answers."""
     begin = np.cumsum(size) - size
-    fresh = np.arange(len(doc)) - begin[doc]
-    mine, whole, less, back = learn[doc].astype(np.int64), [], [], []
-    for h, c in zip(hashes, counts):
-        _, which, own, earlier = ranked(h, doc)
-        whole.append(c[which])
-        less.append(c[which] - own * mine)
-        back.append(earlier)
-        if h is hashes[0]:
-            ends = spelt[which]
 
     def before(x: np.ndarray, first: np.ndarray | int) -> np.ndarray:
         out = np.append(x[:1], x[:-1])
         out[begin] = first
         return out
 
-    # every document ends once: the end before its first token is known as often as there are other documents
-    one, two, three = (a + b for a, b in zip(less, back))
-    last = begin + size - 1
-    seen = [before(two, 0), before(one, less[0][last]), fresh, np.maximum(n - size * learn, 0)[doc]]
-    parts = [three, two, back[0], less[0]]
-    share = [p / np.maximum(s, 1) for p, s in zip(parts, seen)]
-    known = (three > 0) * 8 + (two > 0) * 4 + (back[0] > 0) * 2 + (less[0] > 0)
+    n_tokens, mine = len(doc), learn[doc]
+    share, seen = np.empty((4, n_tokens), np.float32), np.empty((4, n_tokens), np.float32)
+    seen[2] = np.arange(n_tokens, dtype=np.int32) - begin[doc]
+    seen[3] = np.maximum(n - size * learn, 0)[doc]
+    known = np.zeros(n_tokens, np.int8)
+    for kind, (h, c) in enumerate(zip(hashes, counts)):
+        _, which, own, earlier = ranked(h, doc)
+        others = c[which] - own * mine  # what the other documents teach
+        now = others + earlier
+        known += ((now > 0) << (kind + 1) if kind else others > 0).astype(np.int8)
+        if kind == 0:
+            whole, ends = c[which], spelt[which]
+            share[3], share[2] = others, earlier
+            known += (earlier > 0).astype(np.int8) << 1
+            # every document ends once: the end before its first token is known as often as there are other documents
+            seen[1] = before(now, others[begin + size - 1])
+        else:
+            share[2 - kind] = now
+            if kind == 1:
+                seen[0] = before(now, 0)
+    share /= np.maximum(seen, 1)
     hashed = before(hashes[0], xxhash.xxh64_intdigest(b"") >> (64 - bits)) & np.uint64(HASHED - 1)
-    return (size, share, seen, before(known, 0), hashed.astype(np.int64), ends), whole[0]
+    return (size, share, seen, before(known, 0), hashed.astype(np.int8), ends), whole
 
 
 def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int, bits: int) -> pa.Table:
@@ -556,7 +589,7 @@ def _score_block(docs: pa.Table, answers: pa.Table, n: int, v: int, bits: int) -
         rows = rows[np.argsort(cells[rows])]
         counts.append(np.concatenate([restored(answers["counts"][int(r)].as_py(), COUNTS)[0] for r in rows]).astype(np.int64))
         if kind == 0:
-            spelt = np.concatenate([np.frombuffer(answers["spelt"][int(r)].as_py(), "<f4") for r in rows]).astype(float)
+            spelt = np.concatenate([np.frombuffer(answers["spelt"][int(r)].as_py(), "<f4") for r in rows])
     args, c = contexts(size, doc, hashes, counts, spelt, learn, n, bits)
     begin = np.cumsum(size) - size
     total = lambda x: np.add.reduceat(x, begin)
@@ -574,7 +607,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     counts = written(token_counts(docs, learn, text_col))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    shared = spark.sparkContext.broadcast(predictor_counts(counts))
+    shared = spark.sparkContext.broadcast(Sights(predictor_counts(counts)))
     spelt = spelt_log2(counts, shared, mixing_weights(counts, shared))
 
     size = only(docs, text_col).agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0

@@ -324,7 +324,7 @@ def test_lm_base_equals_brute_force_and_probabilities_sum(spark, docs):
 def test_lm_spellings_are_a_distribution():
     """Shared nodes give each word what it gets alone, and a bit's two values have the probabilities p and 1 - p."""
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 9, (int(lm.FIRST[-1]), 2)).astype(np.float32)
+    counts = lm.Sights(rng.integers(0, 9, (int(lm.FIRST[-1]), 2)).astype(np.float32))
     w = np.full((lm.INPUTS, lm.GATES), 0.3, np.float32)
 
     def spell(ws):
@@ -410,7 +410,7 @@ def test_lm_scores_equal_a_slow_scorer_whatever_the_partitions(spark, docs):
     every = Counter(x for i, q in seq.items() if learn[i] for x in rows_of(q))
     n = sum(len(q) for i, q in seq.items() if learn[i])
     counts = lm.token_counts(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).cache()
-    shared = spark.sparkContext.broadcast(lm.predictor_counts(counts))
+    shared = spark.sparkContext.broadcast(lm.Sights(lm.predictor_counts(counts)))
     spelt = {bytes(r.token): float(np.float32(r.spelt)) for r in lm.spelt_log2(counts, shared, lm.mixing_weights(counts, shared)).collect()}
     got = {r.doc_id: r.score for r in lm.op10_lm(spark, SF).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "11")

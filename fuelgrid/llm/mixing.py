@@ -4,9 +4,11 @@ Sizes are summed by source before anything is shuffled, each source gets a targe
 and rate = target / size. A document is emitted floor(rate) times, and once more if a number hashed from its id and a
 seed, even over [0, 1), is below the rate's fraction. So reruns agree, and no task depends on another.
 
-Cases: a null or blank text has size 0. A null source is a source of its own, last in order. Rows with a null id draw
-one number alike. Repeated rows draw alike, as their ids do. A source of size 0 has target and rate 0. An empty table
-gives an empty result. Further columns stay as they are.
+The targets are worked out over one row for each source, in one task: sources are meant to be fewer than millions.
+
+Cases: a null or blank text has size 0. A null source is a source of its own, last in order. A row with a null id draws
+by its text. Repeated rows draw alike, as their ids do. A source of size 0 has target and rate 0. An empty table
+gives an empty result. Further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,35 +59,33 @@ def draw(key: Column, seed: str = SEED) -> Column:
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, how often the mix takes each row."""
-    sized = docs.withColumn("_size", size_of(F.col(text_col)))
-    sums = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
-    goal = targets(sums, weights, ceiling).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    goal = written(goal)
+    """(row, size, source_size, target, copies): each row of ``docs``, whole, with how often the mix takes it."""
+    own = lambda c: F.col(f"`{c}`")
+    key = F.coalesce(own(id_col).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(own(text_col), F.lit("")))))
+    sized = docs.select(F.struct("*").alias("row"), own(source_col).alias("source"), size_of(own(text_col)).alias("size"), draw(key, seed).alias("drawn"))
+    sums = docs.groupBy(own(source_col).alias("source")).agg(F.sum(size_of(own(text_col))).alias("source_size"))
+    goal = written(targets(sums, weights, ceiling).withColumnRenamed("source", "of"))
     if goal.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
-    out = sized.join(goal, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    out = sized.join(goal, F.col("source").eqNullSafe(F.col("of")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate).cast("long")
-    return out.withColumn("_copies", whole + (draw(F.col(id_col), seed) < rate - whole).cast("long"))
+    return out.select("row", "size", "source_size", "target", (whole + (F.col("drawn") < rate - whole).cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    names = docs.columns
-    out = copies(docs, **how)
-    return out.filter("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[f"`{n}`" for n in names])
+    return copies(docs, **how).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = copies(docs)
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return copies(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), sums AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -100,7 +100,7 @@ WITH sized AS (
   SELECT source, source_size, least(coalesce(level * weight, (3 * source_size)::DOUBLE), (3 * source_size)::DOUBLE) AS target FROM weighed, level
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, '')))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
   FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source
 )
 SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) * size)::BIGINT AS taken FROM rated

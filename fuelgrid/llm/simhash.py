@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, partitions, written
 
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS, VARIANTS_A_TASK = 2_000_000, 50_000
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
 
 
@@ -68,7 +68,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b: links that join the same fingerprints as all pairs of distinct ``fp`` within two bits."""
     flips = F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(BITS)])
-    distinct = prints.select("fp").distinct()
+    # 65 variants of each: as many tasks as there are fingerprints for, since a plan that joins small partitions can't know
+    tasks = max(partitions(prints.sparkSession), -(-prints.count() // VARIANTS_A_TASK))
+    distinct = prints.select("fp").distinct().repartition(tasks, "fp")
     own = distinct.select(F.col("fp").alias("v"), F.lit(0).cast("long").alias("mask"), F.lit(1).alias("own"))
     near = distinct.select("fp", F.explode(flips).alias("bit")).select(
         F.col("fp").bitwiseXOR(F.col("bit")).alias("v"), F.col("bit").alias("mask"), F.lit(0).alias("own")
@@ -119,17 +121,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cl
     """One row of ``docs``, whole, of each class that ``classes`` finds: that of the least id, then text hash.
 
     Rows without an id come last. Rows are told apart by id and text hash, so one id may stand at several texts, and
-    only copies go. The rows that go are broadcast up to ``BROADCAST_IDS`` of them; beyond, a shuffle joins them.
+    only copies go; of rows that agree in both any one stays, whole. Further columns, whatever their names, stay. The rows that go are broadcast up to ``BROADCAST_IDS`` of them; beyond, a shuffle joins them.
     """
     row = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
     found = written(classes(docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text")), "_row", "_text").select("_row", "component_id"))
     go = found.filter(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("_gone")).distinct()
     if go.count() <= BROADCAST_IDS:
         go = F.broadcast(go)
-    kept = docs.withColumn("_row", row).join(go, F.col("_row").eqNullSafe(F.col("_gone")), "left_anti")
+    rows = docs.select(F.struct("*").alias("whole"), row.alias("row"))  # so that no column's name can clash
+    kept = rows.join(go, F.col("row").eqNullSafe(F.col("_gone")), "left_anti")
     if not found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.drop("_row")
+        kept = kept.dropDuplicates(["row"])
+    return kept.select("whole.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

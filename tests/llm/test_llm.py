@@ -127,8 +127,26 @@ def test_mix_nears_targets_and_repeats(docs):
 
 def test_mix_takes_odd_rows(odd):
     got = mixing.copies(odd).collect()
-    assert len(got) == len(ODD) and {r._target for r in got} == {float(sum(len(words(t or "")) for _, t in ODD))}
+    assert len(got) == len(ODD) and {r.target for r in got} == {float(sum(len(words(t or "")) for _, t in ODD))}
     assert mixing.mix(odd).count() == len(ODD)
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_mix_keeps_columns_of_any_name_and_draws_null_ids_by_text(spark):
+    rows = [(None, f"{k} " * 10, "a" if k % 10 else "b", k, "x", "y", "z") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int, _source string, row string, size string")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {(r._source, r.row, r.size) for r in got.distinct().collect()} == {("x", "y", "z")}
+    taken = Counter(r.source for r in got.collect())
+    target = {r.row.source: r.target / 10 for r in mixing.copies(df).collect()}
+    assert taken["a"] == pytest.approx(target["a"], rel=0.1) and taken["b"] == pytest.approx(target["b"], rel=0.1)
+
+
+def test_mix_brings_each_source_near_its_target(spark):
+    got = mixing.op4_mixing(spark, "/root/testdata/sf0.01")
+    per = got.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"))
+    for r in per.collect():
+        assert abs(r.taken - r.target) <= 0.1 * r.target + 6 * r.most ** 0.5 * r.target ** 0.5 / 2
 
 
 def test_chat_reads_back(spark):
@@ -467,6 +485,34 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, one), (2, two), (None, "no id at all here"), (5, "five five")], key=str)
 
 
+def test_keep_one_and_links_take_any_column_and_empty_tables(spark, odd):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id long, text string, _gone int, row int")
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2)]
+    assert simhash.keep_one(odd.limit(0)).count() == 0 and simhash.near_duplicates(odd.limit(0)).count() == 0
+    assert shingles.near_duplicates(odd.limit(0)).count() == 0
+    for classes in (simhash.near_duplicates, shingles.near_duplicates):
+        got = classes(odd).collect()
+        assert len(got) == len(ODD)
+        by = defaultdict(set)
+        for r in got:
+            by[r.component_id].add(r.doc_id)
+        assert {5, 3} in [x - {None} for x in by.values()]  # null and empty texts are alike
+
+
+def test_bitmaps_never_part_similar_sets():
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        gone = int(rng.integers(0, max(1, n // 6) + 1))
+        y = np.unique(np.concatenate((x[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 6 + 1))).astype(np.uint64))))
+        met = len(np.intersect1d(x, y))
+        if met >= 0.8 * (len(x) + len(y) - met):
+            assert shingles.may_be_similar(shingles.parities(x), shingles.parities(y), len(x), len(y), 0.8)
+    far = [np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not shingles.may_be_similar(*map(shingles.parities, far), *map(len, far), 0.8)
+
+
 def shingle_set(t):
     w = t.lower().split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()

@@ -16,9 +16,29 @@ BARREL_L = 158.987294928
 GALLON_L = 3.785411784
 MAD_TO_SIGMA = 1.4826
 FRENCH_MONTHS = {
-    "janv": 1, "févr": 2, "fevr": 2, "mars": 3, "avr": 4, "mai": 5, "juin": 6,
+    "janv": 1, "jan": 1, "févr": 2, "fevr": 2, "fév": 2, "fev": 2, "mars": 3, "avr": 4, "mai": 5, "juin": 6,
     "juil": 7, "août": 8, "aout": 8, "sept": 9, "oct": 10, "nov": 11, "déc": 12, "dec": 12,
 }
+#: Departments of each region of mainland France without Corsica, by their official codes.
+REGIONS = {
+    "11": "75 77 78 91 92 93 94 95",
+    "24": "18 28 36 37 41 45",
+    "27": "21 25 39 58 70 71 89 90",
+    "28": "14 27 50 61 76",
+    "32": "02 59 60 62 80",
+    "44": "08 10 51 52 54 55 57 67 68 88",
+    "52": "44 49 53 72 85",
+    "53": "22 29 35 56",
+    "75": "16 17 19 23 24 33 40 47 64 79 86 87",
+    "76": "09 11 12 30 31 32 34 46 48 65 66 81 82",
+    "84": "01 03 07 15 26 38 42 43 63 69 73 74",
+    "93": "04 05 06 13 83 84",
+}
+#: A map's colours of an excess in cents: up to each edge, beyond the last, and of what isn't a finite number.
+COLOUR_EDGES = (-5.0, 0.0, 5.0, 10.0, 20.0)
+COLOURS = ("#1a9850", "#91cf60", "#ffffbf", "#fdae61", "#f46d43", "#d73027")
+NO_COLOUR = "#9e9e9e"
+BOX = {"lat": (41.0, 52.0), "lon": (-6.0, 10.0)}
 
 
 def missing(x: Column) -> Column:
@@ -110,10 +130,13 @@ def road_type(raw: Column) -> Column:
 
 
 def text_key(raw: Column) -> Column:
-    """Equal for texts that differ in accents, case, kind of apostrophe or spacing alone."""
-    plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    x = F.translate(F.lower(raw), plain, "aaaaaaceeeeiiiinooooouuuuyy")
-    x = F.regexp_replace(F.regexp_replace(x, "[̀-ͯ]", ""), "[‘’ʼ`]", "'")
+    """Equal for texts that differ in accents, compatible forms of a letter, case, kind of apostrophe or spacing alone.
+
+    Unicode's compatible decomposition is that of the library that Spark brings along; ASCII alone is spared it."""
+    apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(raw, F.lit("")), F.lit(True))
+    x = F.when(raw.isNull() | raw.rlike(r"^[\x00-\x7F]*$"), raw).otherwise(F.regexp_replace(apart, r"\p{M}", ""))
+    for letter, folded in (("ß", "ss"), ("ς", "σ"), ("’", "'")):
+        x = F.replace(x if letter != "ß" else F.lower(x), F.lit(letter), F.lit(folded))
     return F.btrim(F.regexp_replace(x, r"\s+", " "))
 
 
@@ -128,9 +151,10 @@ def effective_date(status: Column, otherwise: Column) -> Column:
 
 
 def french_month(token: Column) -> Column:
-    """janv-26, févr. 2026 ... as the month's first day."""
-    name = F.regexp_extract(F.lower(token), r"^\s*([a-zéû]+)", 1)
-    year = F.regexp_extract(token, r"(\d{2,4})\s*$", 1).try_cast("int")
+    """janv-26, févr. 2026 ... as the month's first day; two digits of a year are of this century."""
+    parts = r"^([a-zàâäéèêëîïôöùûüç]+)[-\s]?(\d{4}|\d{2})"
+    clean = F.trim(F.replace(F.lower(token), F.lit(".")))
+    name, year = F.regexp_extract(clean, parts, 1), F.regexp_extract(clean, parts, 2).try_cast("int")
     month = F.coalesce(*[F.when(name.startswith(k), v) for k, v in FRENCH_MONTHS.items()])
     return F.make_date(F.when(year < 100, year + 2000).otherwise(year), month, F.lit(1))
 
@@ -164,15 +188,52 @@ def least_confidence(*labels: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, order)), F.least(*[rank(c) for c in labels], F.lit(3)) + 1)
 
 
-def bias_status(bias: Column, months: Column, needed: int = 12, mild: float = 3.0, strong: float = 6.0) -> Column:
-    size = F.abs(bias)
-    return F.when(months < needed, "INSUFFICIENT_HISTORY").when(size >= strong, F.when(bias > 0, "PERSISTENTLY_HIGH").otherwise("PERSISTENTLY_LOW")).when(size >= mild, F.when(bias > 0, "SOMEWHAT_HIGH").otherwise("SOMEWHAT_LOW")).otherwise("NORMAL")
+def months_confidence(months: Column, high: int = 18, medium: int = 12, low: int = 6) -> Column:
+    return unit_confidence(months, high, medium, low)
+
+
+def bias_status(bias: Column, months: Column, needed: int = 12) -> Column:
+    """How high a lasting bias in cents is; only an excess counts, and only after enough months."""
+    size = F.when(bias > 15, "VERY_HIGH").when(bias > 10, "HIGH").when(bias > 5, "ELEVATED").otherwise("NORMAL")
+    return F.when(months < needed, "PROVISIONAL").otherwise(size)
+
+
+def region_of(department: Column) -> Column:
+    """The region's code of a department's, UNKNOWN for any other."""
+    code = F.lpad(department.cast("string"), 2, "0")
+    out = F.lit("UNKNOWN")
+    for region, departments in REGIONS.items():
+        out = F.when(code.isin(departments.split()), region).otherwise(out)
+    return out
+
+
+def in_mainland(postcode: Column) -> Column:
+    """Whether a postcode lies on the mainland, without Corsica and overseas."""
+    dep = postcode_department(postcode)
+    return F.coalesce((F.length(dep) == 2) & ~dep.isin("20", "97", "98"), F.lit(False))
+
+
+def or_unknown(label: Column) -> Column:
+    return F.coalesce(label.cast("string"), F.lit("UNKNOWN"))
+
+
+def finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
 def colour(x: Column) -> Column:
-    """A map's colour of an excess in cents; grey where it isn't a finite number."""
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, "grey").otherwise(binned(x, [-4, -1, 1, 4], ["darkgreen", "green", "beige", "orange", "red"]))
+    """A map's colour of an excess in cents."""
+    return F.when(finite(x), binned(x, COLOUR_EDGES, COLOURS)).otherwise(NO_COLOUR)
+
+
+def on_map(lat: Column, lon: Column) -> Column:
+    """Whether a point lies in the map's box, edges included."""
+    return F.coalesce(lat.between(*BOX["lat"]) & lon.between(*BOX["lon"]), F.lit(False))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with that many digits after the point; n/a where it isn't finite."""
+    return F.when(finite(x), F.format_string(f"%.{digits}f", x)).otherwise("n/a")
 
 
 def html(raw: Column) -> Column:

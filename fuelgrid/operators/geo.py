@@ -1,35 +1,59 @@
 """Spatial joins on a grid: neighbours within radii, nearest neighbours, peers.
 
-Points meet only if their cells touch, so a pair is made once for each two near points, not for all. Cells are as wide
-as the radius at the latitude ``max_lat``; points beyond it aren't supported. A point with too few neighbours is looked
-up again on coarser grids, alone, until it has enough or the grid spans the data.
+Points meet only if their cells touch, so a pair is made once for each two near points, not for all. The grid has bands
+of latitude as high as the radius; each band is cut around the globe into cells as wide as the radius is there, so
+neighbours are found at any latitude and across the date line. A point with too few neighbours is looked up again, alone,
+within a larger radius, until it has enough or the radius spans the globe.
+
+Cases: points without a latitude or a longitude, or beyond 90 and 180 degrees, have no neighbours and keep their row
+with NULLs. Points at one place are 0 km apart. A null group is a group. Ids must tell a group's points apart. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuelgrid.functions.scalars import MAD_TO_SIGMA, haversine_km
+from fuelgrid.functions.scalars import EARTH_KM, MAD_TO_SIGMA, binned, haversine_km
+from fuelgrid.operators.robust import group_medians, joined, others_stats
+from fuelgrid.storage import written
+
+GLOBE_KM = math.pi * EARTH_KM + 1
+# Fixed values of the domain: the edges and names of the buckets.
+COMPETITION = ((2, 5, 15), ("VERY_LOW", "LOW", "MEDIUM", "HIGH"))
+ISOLATION = ((1.0, 3.0, 8.0), ("DENSE", "LOCAL", "ISOLATED", "VERY_ISOLATED"))
+
 
-KM_A_DEGREE = 111.19
+def placed(points: DataFrame) -> DataFrame:
+    return points.filter("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
 
 
-def pairs(points: DataFrame, others: DataFrame, group: str, radius_km: float, max_lat: float = 60.0) -> DataFrame:
-    """(group, id, other, km) for points and others (id, lat, lon and group) of one group within the radius, not itself."""
-    tall = radius_km / KM_A_DEGREE * 1.001
-    wide = tall / math.cos(math.radians(max_lat))
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("int")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select(group, "id", "lat", "lon", F.explode(steps).alias("s"))
-    a = a.withColumns({"_y": cell("lat", tall) + F.col("s.i"), "_x": cell("lon", wide) + F.col("s.j")}).drop("s")
-    b = others.filter("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(group), F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat", tall).alias("_y"), cell("lon", wide).alias("_x"))
-    met = a.join(b, [group, "_y", "_x"]).filter("id <> other").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return met.filter(F.col("km") <= radius_km).select(group, "id", "other", "km")
+def pairs(points: DataFrame, others: DataFrame, group: str, radius_km: float, *extra: str) -> DataFrame:
+    """(group, id, other, km, ``extra`` of the other) for points and others (id, lat, lon and group) of one group within
+    the radius, not itself."""
+    tall = min(180.0, math.degrees(radius_km / EARTH_KM) * 1.001)
+    half = math.sin(min(math.pi / 2, math.radians(tall) / 2))
+
+    def around(band: Column) -> Column:
+        """How many cells a band has: as wide as two points of it or of the next bands can be apart."""
+        edge = F.least(F.greatest(F.abs((band - 1) * tall - 90), F.abs((band + 2) * tall - 90)), F.lit(90.0))
+        wide = 2 * F.degrees(F.asin(F.least(F.lit(1.0), F.lit(half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12)))))
+        return F.greatest(F.floor(360 / (wide * 1.001)), F.lit(1)).cast("long")
+
+    band = F.floor((F.col("lat") + 90) / tall).cast("long")
+    spot = lambda n: F.least(F.floor((F.col("lon") + 180) / 360 * n).cast("long"), n - 1)
+    a = placed(points).select(F.col(group).alias("g"), "id", "lat", "lon", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: band + d)).alias("y"))
+    a = a.withColumn("n", around(F.col("y")))
+    near = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(spot(F.col("n")) + d, F.col("n"))))
+    a = a.select("g", "id", "lat", "lon", "y", F.explode(near).alias("x"))
+    b = placed(others).select(F.col(group).alias("g2"), F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band.alias("y2"), spot(around(band)).alias("x2"), *extra)
+    met = a.join(b, a["g"].eqNullSafe(b["g2"]) & (a["y"] == b["y2"]) & (a["x"] == b["x2"]) & (a["id"] != b["other"]))
+    met = met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("km") <= radius_km)
+    return met.select(F.col("g").alias(group), "id", "other", "km", *extra)
 
 
 def competition(points: DataFrame, group: str, radii: Sequence[float] = (2, 5, 10, 20, 50)) -> DataFrame:
@@ -37,53 +61,97 @@ def competition(points: DataFrame, group: str, radii: Sequence[float] = (2, 5, 1
 
     nearest_km is exact for every point that has another in its group, however far.
     """
+    points = written(points.select(group, "id", "lat", "lon"))
     near = pairs(points, points, group, max(radii))
-    counts = near.groupBy(group, "id").agg(F.min("km").alias("nearest_km"), *[F.count_if(F.col("km") <= r).alias(f"within_{r:g}") for r in radii])
-    out = points.select(group, "id", "lat", "lon").join(counts, [group, "id"], "left").fillna(0, [f"within_{r:g}" for r in radii])
-    lone = out.filter("nearest_km IS NULL AND lat IS NOT NULL").select(group, "id", "lat", "lon")
-    far = nearest(lone, points, group, 1, 4 * max(radii)).select(group, "id", F.col("km").alias("_far"))
-    return out.join(far, [group, "id"], "left").withColumn("nearest_km", F.coalesce("nearest_km", "_far")).drop("_far", "lat", "lon")
+    counts = written(near.groupBy(group, "id").agg(F.min("km").alias("nearest_km"), *[F.count_if(F.col("km") <= r).alias(f"within_{r:g}") for r in radii]))
+    names = ["nearest_km", *[f"within_{r:g}" for r in radii]]
+    lone = placed(points).select(group, "id", "lat", "lon").join(counts.select(F.col(group).alias("g"), F.col("id").alias("i")), F.col(group).eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
+    far = nearest(lone, points, group, 1, 4 * max(radii))
+    out = joined(points.select(group, "id", "lat", "lon"), counts, [group, "id"], **{n: n for n in names})
+    out = joined(out, far, [group, "id"], far="km")
+    known = F.expr("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
+    zero = {n: F.when(known, F.coalesce(n, F.lit(0))) for n in names[1:]}
+    return out.withColumns({"nearest_km": F.coalesce("nearest_km", "far"), **zero}).select(group, "id", *names)
+
 
+def buckets(features: DataFrame) -> DataFrame:
+    """``features`` (nearest_km, within_10, within_20) with competition_bucket, isolation_bucket and isolated."""
+    return features.withColumns({
+        "competition_bucket": binned(F.col("within_10"), *COMPETITION),
+        "isolation_bucket": binned(F.col("nearest_km"), *ISOLATION),
+        "isolated": F.coalesce(F.col("nearest_km") > 8, F.lit(False)) | F.coalesce(F.col("within_20") <= 2, F.lit(False)),
+    })
 
-def nearest(points: DataFrame, others: DataFrame, group: str, n: int, radius_km: float, widest_km: float = 6000.0) -> DataFrame:
-    """(group, id, other, km): each point's n nearest others of its group by (km, other).
+
+def nearest(points: DataFrame, others: DataFrame, group: str, n: int, radius_km: float, *extra: str) -> DataFrame:
+    """(group, id, other, km, ``extra`` of the other): each point's n nearest others of its group by (km, other).
 
     Each round looks for the points that have fewer than n within the radius again within four times it; the last
-    round takes what there is within ``widest_km``.
+    round takes what there is on the globe.
     """
-    left, done = points, None
+    left, done = written(placed(points)), None
     order = Window.partitionBy(group, "id").orderBy("km", "other")
-    while not left.isEmpty():
-        last = radius_km >= widest_km
-        found = pairs(left, others, group, min(radius_km, widest_km)).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
-        full = found.groupBy(group, "id").count().filter(F.col("count") >= (0 if last else n)).select(group, "id")
-        got = found.join(full, [group, "id"], "left_semi").drop("_k")
+    while done is None or not left.isEmpty():
+        last = radius_km >= GLOBE_KM
+        found = pairs(left, others, group, min(radius_km, GLOBE_KM), *extra).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n)
+        w = Window.partitionBy(group, "id")
+        got = written(found.withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= (1 if last else n)).drop("_k", "_n"))
         done = got if done is None else done.union(got)
         if last:
             break
-        left = left.join(full, [group, "id"], "left_anti")
+        full = got.select(F.col(group).alias("g"), F.col("id").alias("i")).distinct()
+        left = written(left.join(full, F.col(group).eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")), "left_anti"))
         radius_km *= 4
-    return done if done is not None else pairs(points, others, group, radius_km)
+    return done
+
 
+def peer_scores(points: DataFrame, group: str, value: str, least: int = 15, radii: Sequence[float] = (10, 20, 50, 100), floor: float = 2.0, ferry_least: int = 5) -> DataFrame:
+    """(group, id, method, radius_km, n_peers, peer_median, peer_mad, scale, excess, score, confidence) of every point.
 
-def peer_scores(points: DataFrame, group: str, value: str, least: int = 15, radii: Sequence[float] = (10, 20, 50, 100), floor: float = 2.0) -> DataFrame:
-    """(group, id, method, radius_km, n_peers, peer_median, excess, score) against each point's peers.
+    Peers are the points within the first radius that holds ``least`` of them, else the ``least`` nearest, whose
+    farthest gives the radius. Points of class FERRY_ISLAND, if ``points`` has accessibility_class and
+    logistics_peer_group, are compared with the others of their logistics group, if these are ``ferry_least``, else
+    of their class, and never with the mainland. A point without enough peers has the method NONE.
 
-    Peers are the points within the first radius that holds ``least`` of them, else the ``least`` nearest.
+    Radii are climbed from the smallest, and only points without enough peers go on; so few pairs are ever made.
     """
-    valid = points.filter(F.col(value).isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    near = pairs(valid, valid, group, max(radii))
-    counts = near.groupBy(group, "id").agg(*[F.count_if(F.col("km") <= r).alias(f"_{k}") for k, r in enumerate(radii)])
-    chosen = F.coalesce(*[F.when(F.col(f"_{k}") >= least, F.lit(float(r))) for k, r in enumerate(radii)])
-    radius = counts.select(group, "id", chosen.alias("radius_km")).filter("radius_km IS NOT NULL")
-    inside = near.join(radius, [group, "id"]).filter("km <= radius_km")
-    lone = valid.join(radius, [group, "id"], "left_anti").select(group, "id", "lat", "lon")
-    far = nearest(lone, valid, group, least, 4 * max(radii)).withColumn("radius_km", F.lit(None).cast("double"))
-    peers = inside.unionByName(far).join(valid.select(group, F.col("id").alias("other"), F.col(value).alias("_v")), [group, "other"])
-    w = Window.partitionBy(group, "id")
-    peers = peers.withColumn("_m", F.median("_v").over(w))
-    stats = peers.groupBy(group, "id").agg(F.first("radius_km").alias("radius_km"), F.count("*").alias("n_peers"), F.first("_m").alias("peer_median"), F.median(F.abs(F.col("_v") - F.col("_m"))).alias("_mad"))
-    out = valid.select(group, "id", value).join(stats, [group, "id"]).filter(F.col("n_peers") >= least)
-    excess = F.col(value) - F.col("peer_median")
-    method = F.when(F.col("radius_km").isNull(), "NEAREST_N").otherwise("RADIUS")
-    return out.select(group, "id", method.alias("method"), "radius_km", "n_peers", "peer_median", excess.alias("excess"), (excess / F.greatest(MAD_TO_SIGMA * F.col("_mad"), F.lit(floor))).alias("score"))
+    classes = {c: F.coalesce(F.col(c), F.lit("MAINLAND")) if c in points.columns else F.lit("MAINLAND") for c in ("accessibility_class", "logistics_peer_group")}
+    valid = placed(points).filter(F.col(value).isNotNull()).select(F.col(group), "id", "lat", "lon", F.col(value).alias("_v"), *[e.alias(c) for c, e in classes.items()])
+    valid = written(valid)
+    ferry = F.col("accessibility_class") == "FERRY_ISLAND"
+    left, found = valid.filter(~ferry).select(group, "id", "lat", "lon"), None
+    keep = lambda df, full: df.join(full.select(F.col(group).alias("g"), F.col("id").alias("i")), F.col(group).eqNullSafe(F.col("g")) & (F.col("id") == F.col("i")), "left_anti")
+
+    def stats(p: DataFrame, method: str, radius: Column) -> DataFrame:
+        p = joined(p, group_medians(p, "_v", [group, "id"]), [group, "id"], _m="median")
+        return p.groupBy(group, "id").agg(F.lit(method).alias("method"), radius.alias("radius_km"), F.count("*").alias("n_peers"), F.first("_m").alias("peer_median"), F.median(F.abs(F.col("_v") - F.col("_m"))).alias("peer_mad"))
+
+    for r in radii:
+        near = written(pairs(left, valid, group, r, "_v"))
+        full = near.groupBy(group, "id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+        enough = joined(near, full, [group, "id"], _n="_n").filter("_n IS NOT NULL").drop("_n")
+        got = written(stats(enough, "RADIUS", F.lit(float(r))))
+        found = got if found is None else found.union(got)
+        left = written(keep(left, got))
+    if not left.isEmpty():
+        far = written(nearest(left, valid, group, least, 4 * max(radii), "_v"))
+        found = found.union(stats(far, "NEAREST_N", F.max("km")).filter(F.col("n_peers") >= least))
+    if not valid.filter(ferry).isEmpty():
+        none = F.lit(None).cast("double")
+        island = valid.filter(ferry).select(group, "id", "_v", "logistics_peer_group")
+        shape = lambda df, method: df.select(group, "id", F.lit(method).alias("method"), none.alias("radius_km"), F.col("n_others").alias("n_peers"), F.col("others_median").alias("peer_median"), F.col("others_mad").alias("peer_mad"))
+        own = written(shape(others_stats(island, "_v", [group, "logistics_peer_group"]), "SAME_LOGISTICS_GROUP").filter(F.col("n_peers") >= ferry_least))
+        wide = keep(shape(others_stats(island, "_v", [group]), "FERRY_CLASS"), own).filter(F.col("n_peers") >= ferry_least)
+        found = found.union(own).union(wide)
+    out = points.select(group, "id", F.col(value).alias("_v"))
+    out = joined(out, found, [group, "id"], **{c: c for c in ("method", "radius_km", "n_peers", "peer_median", "peer_mad")})
+    n, scale, excess = F.coalesce("n_peers", F.lit(0)), F.greatest(MAD_TO_SIGMA * F.col("peer_mad"), F.when(F.col("peer_mad").isNotNull(), floor)), F.col("_v") - F.col("peer_median")
+    method, r = F.coalesce("method", F.lit("NONE")), F.col("radius_km")
+    sure = (
+        F.when(method == "NONE", "INSUFFICIENT")
+        .when(method == "SAME_LOGISTICS_GROUP", F.when(n >= least, "MEDIUM").otherwise("LOW"))
+        .when((method == "RADIUS") & (r <= 20) & (n >= 30), "HIGH")
+        .when((method == "RADIUS") & (r <= 50), "MEDIUM")
+        .otherwise("LOW")
+    )
+    return out.select(group, "id", method.alias("method"), "radius_km", n.alias("n_peers"), "peer_median", "peer_mad", scale.alias("scale"), excess.alias("excess"), (excess / scale).alias("score"), sure.alias("confidence"))

@@ -1,7 +1,12 @@
 """Medians and what is built of them: robust scores, shrunk group effects, backfitting of additive effects.
 
-Exact medians need a group's values in one place, so groups should be many or small; each value is buffered once with
-its count, so repeated values cost nothing.
+A median of a few large groups is taken from the counts of each group's different values, which every task forms of its
+own rows first; the table of groups is then joined back, so no task holds a group's rows. A join to such a table is
+Spark's to plan: adaptive execution broadcasts it if its measured size allows, else shuffles and splits skewed keys.
+
+Cases: null keys are a group of their own. Null values have no part in a median and get a null score (0 without a
+floor); a group without values has the median NULL. Columns of the input keep their values whatever their names, but
+for the output's own name, which is overwritten.
 """
 
 from __future__ import annotations
@@ -12,35 +17,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuelgrid.functions.scalars import MAD_TO_SIGMA
+from fuelgrid.storage import written
+
+
+def _apart(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that ``df`` doesn't use."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def group_medians(df: DataFrame, value: Column | str, keys: Sequence[str]) -> DataFrame:
+    """(keys, median) of each group, by the counts of its different values."""
+    v = F.col(value) if isinstance(value, str) else value
+    names = [f"k{i}" for i in range(len(keys))]
+    counts = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], v.cast("double").alias("v")).groupBy(*names, "v").agg(F.count("*").alias("n"))
+    out = counts.groupBy(*names).agg(F.percentile("v", 0.5, F.col("n")).alias("median"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "median")
+
+
+def joined(df: DataFrame, groups: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
+    """``df`` with columns of its group (new name = column of ``groups``), null keys met."""
+    if not keys:
+        return df.crossJoin(groups.select(*[F.col(c).alias(n) for n, c in columns.items()]))  # one row
+    right = [f"_key{i}" for i in range(len(keys))]
+    right = _apart(df, *right)
+    g = groups.select(*[F.col(f"`{k}`").alias(r) for k, r in zip(keys, right)], *[F.col(c).alias(n) for n, c in columns.items()])
+    on = [df[f"`{k}`"].eqNullSafe(g[r]) for k, r in zip(keys, right)]
+    return df.join(g, on, "left").drop(*right)
 
 
 def group_median(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
-    """Each row with its group's median. A window, not a join: null keys are a group."""
-    return df.withColumn(out, F.median(value).over(Window.partitionBy(*keys)))
+    """Each row with its group's median."""
+    return joined(df.drop(out) if out in df.columns else df, group_medians(df, value, keys), keys, **{out: "median"})
 
 
 def mad(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """(keys, median, mad) of each group."""
-    m = group_median(df, value, keys, "_m")
-    return m.groupBy(*keys).agg(F.first("_m").alias("median"), F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    names = [f"k{i}" for i in range(len(keys))]
+    counts = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{value}`").cast("double").alias("v")).groupBy(*names, "v").agg(F.count("*").alias("n"))
+    m = joined(counts, counts.groupBy(*names).agg(F.percentile("v", 0.5, F.col("n")).alias("m")), names, median="m")
+    out = m.groupBy(*names, "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5, F.col("n")).alias("mad"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "median", "mad")
 
 
 def robust_z(df: DataFrame, value: str, keys: Sequence[str], out: str = "z", floor: float | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD). Without ``floor`` a scale of 0 or NULL gives 0, for null values too; with it the
     scale is ``floor`` at least."""
-    w = Window.partitionBy(*keys)
-    df = df.withColumn("_m", F.median(value).over(w))
-    df = df.withColumn("_s", MAD_TO_SIGMA * F.median(F.abs(F.col(value) - F.col("_m"))).over(w))
-    off = F.col(value) - F.col("_m")
-    z = F.when(F.col("_s") > 0, off / F.col("_s")).otherwise(0.0) if floor is None else off / F.greatest("_s", F.lit(floor))
-    return df.withColumn(out, z).drop("_m", "_s")
+    m, s = _apart(df, "_median", "_mad")
+    df = joined(df, mad(df, value, keys), keys, **{m: "median", s: "mad"})
+    scale, off = MAD_TO_SIGMA * F.col(s), F.col(f"`{value}`") - F.col(m)
+    z = F.when(scale > 0, off / scale).otherwise(0.0) if floor is None else off / F.greatest(scale, F.lit(floor))
+    return df.withColumn(out, z).drop(m, s)
 
 
 def trimmed(df: DataFrame, score: str, limit: float, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with |score| <= limit; all rows of a group that would be left without any."""
-    near = F.coalesce(F.abs(F.col(score)) <= limit, F.lit(False))
-    some = F.max(near).over(Window.partitionBy(*(keys or [F.lit(0)])))
-    return df.withColumn("_near", near).withColumn("_some", some).filter("_near OR NOT _some").drop("_near", "_some")
+    near = F.coalesce(F.abs(F.col(f"`{score}`")) <= limit, F.lit(False))
+    some = _apart(df, "_some")[0]
+    groups = df.groupBy(*keys).agg(F.max(near).alias("some"))
+    return joined(df, groups, keys, **{some: "some"}).filter(near | ~F.col(some)).drop(some)
 
 
 def shrunk_effect(df: DataFrame, value: Column, keys: Sequence[str], shrink: float, unit: str | None = None) -> DataFrame:
@@ -58,44 +98,47 @@ def shrunk_effect(df: DataFrame, value: Column, keys: Sequence[str], shrink: flo
     return out.withColumn("effect", F.col("m") * F.col("n_units") / (F.col("n_units") + F.lit(float(shrink)))).drop("m")
 
 
-def backfit(df: DataFrame, value: str, group: str, factors: dict[str, float], rounds: int, unit: str | None = None) -> DataFrame:
-    """(group, factor, level, effect): additive effects of each factor on ``value``, by median backfitting.
+def backfit(df: DataFrame, value: str, group: str, factors: dict[str, float], rounds: int, unit: str | None = None, adjust=None) -> DataFrame:
+    """(group, factor, level, effect, n_obs, n_units): additive effects of each factor on ``value``, by median
+    backfitting; a null level is UNKNOWN.
 
     Factors are taken in order and ``factors`` gives each one's shrinkage. A step subtracts the others' effects and
-    re-estimates one factor for all groups in one job. What is kept between steps is the effects, a row for each level:
-    they are read into literal maps, so the plan doesn't grow with the rounds. Factors are meant to have few levels
-    (regions, road types), not one for each unit.
+    re-estimates one factor for all groups in one job. ``adjust`` (factor, effects) may change a step's effects. The rows
+    are written once, and each step's effects, a row for each level, once they are known: so neither the plan nor the
+    driver grows with rounds or levels.
     """
-    found: dict[str, dict] = {f: {} for f in factors}
-    kinds = dict(df.dtypes)
-
-    def effect(f: str) -> Column:
-        if not found[f]:
-            return F.lit(0.0)
-        pairs = [x for (g, lev), e in sorted(found[f].items(), key=str) for x in (F.struct(F.lit(g).cast(kinds[group]).alias("g"), F.lit(lev).cast(kinds[f]).alias("l")), F.lit(float(e)))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.struct(F.col(group).alias("g"), F.col(f).alias("l"))), F.lit(0.0))
-
+    names = {f: f"f{i}" for i, f in enumerate(factors)}
+    unit_col = [F.col(f"`{unit}`").alias("unit")] if unit else []
+    work = written(df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{value}`").cast("double").alias("v"), *unit_col, *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("UNKNOWN")).alias(n) for f, n in names.items()]))
+    found: dict[str, DataFrame] = {}
     for _ in range(rounds):
         for f, shrink in factors.items():
-            rest = F.col(value)
-            for other in factors:
+            rows, rest = work, F.col("v")
+            for other, effects in found.items():
                 if other != f:
-                    rest = rest - effect(other)
-            got = shrunk_effect(df, rest, [group, f], shrink, unit).filter("effect IS NOT NULL").select(group, f, "effect")
-            found[f] = {(r[0], r[1]): r[2] for r in got.collect()}  # a row for each level
-    rows = [(g, f, None if lev is None else str(lev), float(e)) for f in factors for (g, lev), e in found[f].items()]
-    return df.sparkSession.createDataFrame(rows, f"{group} {kinds[group]}, factor string, level string, effect double")
+                    e = f"e_{names[other]}"
+                    rows = joined(rows, effects, ["g", names[other]], **{e: "effect"})
+                    rest = rest - F.coalesce(F.col(e), F.lit(0.0))
+            got = shrunk_effect(rows, rest, ["g", names[f]], shrink, "unit" if unit else None).filter("effect IS NOT NULL")
+            found[f] = written((adjust(f, got.withColumnRenamed(names[f], "level")).withColumnRenamed("level", names[f]) if adjust else got).coalesce(1))
+    out = None
+    for f, effects in found.items():
+        part = effects.select(F.col("g").alias(group), F.lit(f).alias("factor"), F.col(names[f]).alias("level"), "effect", "n_obs", "n_units", *[c for c in effects.columns if c not in ("g", names[f], "effect", "n_obs", "n_units")])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def predict(df: DataFrame, effects: DataFrame, group: str, factors: Sequence[str], out: str = "predicted") -> DataFrame:
     """``df`` with the sum of its levels' effects (0 for a level never seen) and coverage, the share of levels seen."""
-    total, seen = F.lit(0.0), F.lit(0)
+    total, seen, drop = F.lit(0.0), F.lit(0), []
     for f in factors:
-        e = effects.filter(F.col("factor") == f).select(F.col(group).alias("_g"), F.col("level").alias("_l"), F.col("effect").alias(f"{f}_effect"))
-        df = df.join(e, df[group].eqNullSafe(e["_g"]) & df[f].cast("string").eqNullSafe(e["_l"]), "left").drop("_g", "_l")
-        seen = seen + F.col(f"{f}_effect").isNotNull().cast("int")
-        total = total + F.coalesce(F.col(f"{f}_effect"), F.lit(0.0))
-    return df.withColumns({out: total, "coverage": seen / len(factors)}).drop(*[f"{f}_effect" for f in factors])
+        level, e = _apart(df, f"_level_{f}", f"_effect_{f}")
+        part = effects.filter(F.col("factor") == f).select(F.col(group), F.col("level").alias(level), F.col("effect").alias(e))
+        df = joined(df.withColumn(level, F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("UNKNOWN"))), part, [group, level], **{e: e})
+        seen = seen + F.col(e).isNotNull().cast("int")
+        total = total + F.coalesce(F.col(e), F.lit(0.0))
+        drop += [level, e]
+    return df.withColumns({out: total, "coverage": seen / F.lit(len(factors) or 1)}).drop(*drop)
 
 
 def error_metrics(df: DataFrame, truth: str, guess: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -113,10 +156,60 @@ def conditional_rate(df: DataFrame, keys: Sequence[str], hit: Column, base: Colu
     return out.withColumn("rate", F.try_divide("hits", "n"))
 
 
-def group_premium(df: DataFrame, value: str, group: str, label: str, reference: str, shrink: float = 10.0) -> DataFrame:
-    """(group, label, premium): each label's median above the reference label's, shrunk by rows, 0 at least."""
-    m = df.groupBy(group, label).agg(F.median(value).alias("m"), F.count(value).alias("n"))
-    w = Window.partitionBy(group)
-    base = F.max(F.when(F.col(label) == reference, F.col("m"))).over(w)
-    up = F.greatest((F.col("m") - base) * F.col("n") / (F.col("n") + shrink), F.lit(0.0))
-    return m.withColumn("premium", F.when(F.col(label) == reference, 0.0).otherwise(up)).select(group, label, "n", "premium")
+def group_premium(df: DataFrame, value: str, group: str, label: str, reference: str, shrink: float = 10.0, floored: Sequence[str] | None = None) -> DataFrame:
+    """(group, label, n, raw, premium): each label's median above the reference label's, shrunk by rows with a value.
+
+    The reference is 0. Without it in a group, its place is taken by the median of the whole group. The labels of
+    ``floored`` (all, if it isn't given) are 0 at least. A label without values is 0.
+    """
+    by_label = df.groupBy(group, label).agg(F.count(value).alias("n"))
+    m = joined(by_label, group_medians(df, value, [group, label]), [group, label], m="median")
+    base = m.groupBy(group).agg(F.max(F.when(F.col(label) == reference, F.col("m"))).alias("base"))
+    m = joined(joined(m, base, [group], base="base"), group_medians(df, value, [group]), [group], every="median")
+    raw = F.coalesce(F.col("m") - F.coalesce("base", "every"), F.lit(0.0))
+    raw = F.when(F.col(label) == reference, 0.0).otherwise(raw)
+    up = raw * F.col("n") / (F.col("n") + F.lit(float(shrink)))
+    if floored is None:
+        up = F.greatest(up, F.lit(0.0))
+    elif floored:
+        up = F.when(F.col(label).isin(*floored), F.greatest(up, F.lit(0.0))).otherwise(up)
+    return m.select(group, label, "n", raw.alias("raw"), F.when(F.col(label) == reference, 0.0).otherwise(up).alias("premium"))
+
+
+def others_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(``df``, n_others, others_median, others_mad): for each row, of its group without the row itself.
+
+    By ranks: without one value, the middle of the others lies at one of three ranks of the whole group. So nothing is
+    paired; a group is sorted, in a window that can spill.
+    """
+    n, rank, m = _apart(df, "_n", "_rank", "others_median")
+
+    def without(rows: DataFrame, of: str, groups: list[str], out: str) -> DataFrame:
+        """The median of ``of`` of the group's other rows, from values at the ranks around the middle."""
+        w = Window.partitionBy(*groups)
+        rows = rows.withColumns({n: F.count(of).over(w), rank: F.row_number().over(w.orderBy(of))})
+        h = F.when(F.col(n) % 2 == 0, F.col(n) / 2).otherwise((F.col(n) - 1) / 2).cast("int")
+        stats = rows.groupBy(*groups).agg(*[F.max(F.when(F.col(rank) == h + k, F.col(of))).alias(f"r{k}") for k in (0, 1, 2)])
+        got = joined(rows, stats, groups, r0="r0", r1="r1", r2="r2")
+        x = F.col(of)
+        low = F.when(x > F.col("r0"), F.col("r0")).otherwise(F.col("r1"))
+        high = F.when(x > F.col("r1"), F.col("r1")).otherwise(F.col("r2"))
+        middle = F.when(F.col(n) % 2 == 0, low).otherwise((low + high) / 2)
+        return got.withColumn(out, F.when(F.col(n) > 1, middle)).drop("r0", "r1", "r2", rank)
+
+    keys = list(keys)
+    base = without(df.filter(F.col(value).isNotNull()), value, keys, "others_median").withColumnRenamed(n, "n_others").withColumn("n_others", F.col("n_others") - 1)
+    # at most three medians a group: each with the deviations of the whole group from it
+    base = written(base)
+    kinds = base.select(*keys, "others_median").distinct()
+    spread = base.select(*keys, F.col(value).alias("x")).join(kinds, keys)
+    spread = without(spread.withColumn("d", F.abs(F.col("x") - F.col("others_median"))), "d", [*keys, "others_median"], "others_mad")
+    names = [f"_found{i}" for i in range(len(keys))]
+    found = spread.select(*[F.col(k).alias(x) for k, x in zip(keys, names)], F.col("others_median").alias("_of"), F.col("x").alias("_x"), "others_mad").distinct()
+    on = [F.col(k) == F.col(x) for k, x in zip(keys, names)] + [F.col("others_median") == F.col("_of"), F.col(value) == F.col("_x")]
+    return base.join(found, on, "left").drop(*names, "_of", "_x")
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(columns, n) of each combination of values; null is a value."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))

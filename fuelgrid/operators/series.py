@@ -1,6 +1,10 @@
 """Ordered operators over series: fills, rolling statistics, as-of and interval joins, snapshots, chained indices.
 
-Each works by one shuffle on the series' key. None pairs rows of a key with one another.
+Each works by one shuffle on the series' key. None pairs rows of a key with one another. A key's series is one task's, a
+sorted stream that can spill, so keys should be series, not classes.
+
+Cases: null keys are a key; rows without a date come first in their series and never match another's date; an empty
+table gives an empty result; repeated rows stay. Helpers' columns take names that the input doesn't use.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fuelgrid.operators.robust import _apart, group_medians, joined
+
 
 def _order(keys: Sequence[str], by: str):
     return Window.partitionBy(*keys).orderBy(by)
@@ -26,6 +32,18 @@ def month_ends(first: Column, last: Column) -> Column:
     return F.transform(F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH")), lambda d: F.last_day(d))
 
 
+def fridays(first: Column, last: Column) -> Column:
+    """Every Friday from ``first`` to ``last``."""
+    start = F.date_add(first, F.pmod(F.lit(4) - F.weekday(first), F.lit(7)).cast("int"))
+    return F.when(start <= last, F.sequence(start, last, F.expr("INTERVAL 7 DAY"))).otherwise(F.array().cast("array<date>"))
+
+
+def month_starts(first: Column, last: Column) -> Column:
+    """The first days of the months whose first day lies from ``first`` to ``last``."""
+    every = F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
+    return F.filter(every, lambda d: d >= first)
+
+
 def forward_fill(df: DataFrame, keys: Sequence[str], date: str, value: str, limit: int | None = None) -> DataFrame:
     """``value`` carried forward, over ``limit`` rows at most, and <value>_date, the date it was observed."""
     w = _order(keys, date).rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
@@ -61,27 +79,35 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, r
     """
     extra = [c for c in right.columns if c not in keys]
     plain = [c for c in left.columns if c not in keys]
-    a = left.select(*keys, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*plain).alias("_l"), F.lit(None).cast(right.select(F.struct(*extra)).schema[0].dataType).alias("_r"))
-    b = right.select(*keys, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*plain)).schema[0].dataType).alias("_l"), F.struct(*extra).alias("_r"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.union(b).withColumn("_r", F.last("_r", True).over(w)).filter("_side = 1")
+    names = [f"k{i}" for i in range(len(keys))]
+    own = lambda df: [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    fields = lambda columns: F.struct(*[F.col(f"`{c}`") for c in columns])
+    none = lambda df, columns: F.lit(None).cast(df.select(fields(columns)).schema[0].dataType)
+    a = left.select(*own(left), F.col(f"`{left_on}`").alias("t"), F.lit(1).alias("side"), fields(plain).alias("l"), none(right, extra).alias("r"))
+    b = right.select(*own(right), F.col(f"`{right_on}`").alias("t"), F.lit(0).alias("side"), none(left, plain).alias("l"), fields(extra).alias("r"))
+    w = Window.partitionBy(*names).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.union(b.filter("t IS NOT NULL")).withColumn("r", F.last("r", True).over(w)).filter("side = 1")
     if tolerance_days is not None:
-        out = out.withColumn("_r", F.when(F.datediff("_t", F.col("_r")[right_on]) <= tolerance_days, F.col("_r")))
-    return out.select(*keys, *[F.col("_l")[c].alias(c) for c in plain], *[F.col("_r")[c].alias(c) for c in extra])
+        out = out.withColumn("r", F.when(F.datediff("t", F.col("r")[right_on]) <= tolerance_days, F.col("r")))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[F.col("l")[c].alias(c) for c in plain], *[F.col("r")[c].alias(c) for c in extra])
 
 
 def effective(df: DataFrame, table: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """``df`` with the one row of an effective-dated table (effective_from, effective_to or NULL) that holds at its
-    date. Fails where none or several do. The table, a schedule of a few rows, is joined by key; Spark broadcasts it
-    if its size allows."""
-    t = table.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    on = [df[k] == t[f"_{k}"] for k in keys]
-    holds = (t["effective_from"] <= df[date]) & (t["effective_to"].isNull() | (t["effective_to"] >= df[date]))
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    out = numbered.join(t, [numbered[k] == t[f"_{k}"] for k in keys] + [holds], "left") if on else numbered.join(t, holds, "left")
-    n = F.count("effective_from").over(Window.partitionBy("_row"))
-    out = out.withColumn("_n", n).withColumn("_ok", F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("not exactly one effective row")).cast("boolean")))
-    return out.filter("_ok").drop("_row", "_n", "_ok", *[f"_{k}" for k in keys])
+    date. Fails where none or several do.
+
+    A schedule is a few rows for each key. Its rows are gathered to one row a key, and each date picks among them, so the
+    table is joined by key alone, or, without keys, as one row; no row of ``df`` is ever doubled.
+    """
+    rest = [c for c in table.columns if c not in keys]
+    spans = table.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("spans"))
+    spans_col, found = _apart(df, "_spans", "_found")
+    out = joined(df, spans, keys, **{spans_col: "spans"})
+    day = F.col(f"`{date}`")
+    holds = lambda s: (s["effective_from"] <= day) & (s["effective_to"].isNull() | (s["effective_to"] >= day))
+    out = out.withColumn(found, F.filter(F.coalesce(F.col(spans_col), F.array()), holds)).drop(spans_col)
+    one = F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise(F.raise_error(F.lit("not exactly one effective row")).cast(spans.schema["spans"].dataType.elementType))
+    return out.withColumn(found, one).select(*df.columns, *[F.col(found)[c].alias(c) for c in rest])
 
 
 def snapshots(log: DataFrame, keys: Sequence[str], time: str, every: str, max_age_days: int, tie: str | None = None, last: str | None = None) -> DataFrame:
@@ -102,15 +128,17 @@ def snapshots(log: DataFrame, keys: Sequence[str], time: str, every: str, max_ag
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key; ``order`` should leave no ties."""
+    """The last row of each key by ``order``; rows that tie are told apart by their other columns, which must sort."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    by = [*order, *[c for c in rest if c not in order]]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("row")).select(*keys, "row.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both by name; where both have a key, the new one."""
-    both = old.withColumn("_p", F.lit(0)).unionByName(new.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    return latest(both, keys, ["_p"]).drop("_p")
+    mark = _apart(old.join(new.limit(0), list(keys), "left"), "_new")[0]
+    both = old.withColumn(mark, F.lit(0)).unionByName(new.withColumn(mark, F.lit(1)), allowMissingColumns=True)
+    return latest(both, keys, [mark]).drop(mark)
 
 
 def overwritten(df: DataFrame, live: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -128,23 +156,46 @@ def carried(log: DataFrame, keys: Sequence[str], time: str, start: str, tie: str
     return latest(log.filter(F.col(time) < at), keys, [time, tie]).unionByName(log.filter(F.col(time) >= at))
 
 
-def chained_index(prices: DataFrame, group: str, unit: str, date: str, value: str, base: float = 100.0, least: int = 30) -> DataFrame:
-    """(group, date, n_matched, growth, confidence, index): base times the running product of the growth between
-    successive dates, over the units that both have.
+def chained_index(prices: DataFrame, group: str, unit: str, date: str, value: str, base: float = 100.0, least: int = 30, sure: float = 0.7) -> DataFrame:
+    """(group, date, median, index, change_pct, n_units, n_matched, matched_share, method, confidence): ``base`` times
+    the running product of the growth between successive dates.
 
-    Growth is the ratio of the matched units' median prices, or below ``least`` matches, with low confidence, the median of their ratios.
+    Growth is the median of the ratios of the units that both dates have, if there are ``least`` of them (confidence
+    HIGH if they are ``sure`` of the smaller date's units or more, else MEDIUM); else the ratio of the two dates'
+    medians, with LOW confidence, or 1 where the earlier one isn't positive. The first date is the base. ``prices`` has one
+    row for each unit and date.
     """
-    dates = prices.select(group, date).distinct()
-    dates = dates.withColumn("_k", F.dense_rank().over(Window.partitionBy(group).orderBy(date)))
-    now = prices.join(dates, [group, date])
-    was = now.select(group, unit, (F.col("_k") + 1).alias("_k"), F.col(value).alias("_was"))
-    both = now.join(was, [group, unit, "_k"]).filter(F.col("_was") > 0)
-    m = both.groupBy(group, "_k").agg(F.count("*").alias("n_matched"), F.median(value).alias("_a"), F.median("_was").alias("_b"), F.median(F.col(value) / F.col("_was")).alias("_r"))
-    enough = F.col("n_matched") >= least
-    m = m.withColumns({"growth": F.when(enough, F.col("_a") / F.col("_b")).otherwise(F.col("_r")), "confidence": F.when(enough, "HIGH").otherwise("LOW")})
-    out = dates.join(m, [group, "_k"], "left")
-    w = Window.partitionBy(group).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    return out.select(group, date, F.coalesce("n_matched", F.lit(0)).cast("long").alias("n_matched"), "growth", "confidence", (F.lit(base) * F.product(F.coalesce("growth", F.lit(1.0))).over(w)).alias("index"))
+    names = {group: "g", unit: "u", date: "d", value: "v"}
+    p = prices.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    dates = joined(p.groupBy("g", "d").agg(F.count_distinct("u").alias("n")), group_medians(p, "v", ["g", "d"]), ["g", "d"], m="median")
+    w = Window.partitionBy("g").orderBy("d")
+    dates = dates.withColumns({"k": F.row_number().over(w), "m_was": F.lag("m").over(w), "n_was": F.lag("n").over(w), "d_was": F.lag("d").over(w)})
+    before = joined(p, dates, ["g", "d"], d_was="d_was").filter("d_was IS NOT NULL")
+    was = p.select(F.col("g").alias("g2"), F.col("u").alias("u2"), F.col("d").alias("d2"), F.col("v").alias("v_was"))
+    both = before.join(was, before["g"].eqNullSafe(was["g2"]) & (before["u"] == was["u2"]) & (before["d_was"] == was["d2"]))
+    both = both.filter((F.col("v_was") > 0) & F.col("v").isNotNull()).withColumn("ratio", F.col("v") / F.col("v_was"))
+    matched = both.groupBy("g", "d").agg(F.count("*").alias("matched"))
+    out = joined(joined(dates, matched, ["g", "d"], matched="matched"), group_medians(both, "ratio", ["g", "d"]), ["g", "d"], ratio="median")
+    first = F.col("k") == 1
+    n = F.when(~first, F.coalesce("matched", F.lit(0)))
+    enough = n >= least
+    plain = F.when(F.col("m_was") > 0, F.col("m") / F.col("m_was")).otherwise(1.0)
+    share = n / F.greatest(F.least("n", "n_was"), F.lit(1))
+    growth = F.when(first, 1.0).when(enough, F.col("ratio")).otherwise(plain)
+    out = out.withColumns({"n_matched": n, "matched_share": share, "growth": growth})
+    run = Window.partitionBy("g").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    return out.select(
+        F.col("g").alias(group),
+        F.col("d").alias(date),
+        F.col("m").alias("median"),
+        (F.lit(base) * F.product("growth").over(run)).alias("index"),
+        (100 * (F.col("growth") - 1)).alias("change_pct"),
+        F.col("n").alias("n_units"),
+        F.col("n_matched").cast("long").alias("n_matched"),
+        "matched_share",
+        F.when(first, "BASE").when(enough, "MATCHED_STATIONS").otherwise("MEDIAN_FALLBACK").alias("method"),
+        F.when(first, "HIGH").when(~enough, "LOW").when(share >= sure, "HIGH").otherwise("MEDIUM").alias("confidence"),
+    )
 
 
 def anchored(targets: DataFrame, anchors: DataFrame, proxy: DataFrame, keys: Sequence[str], date: str) -> DataFrame:

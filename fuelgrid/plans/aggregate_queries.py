@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fuelgrid.operators import robust as R
 
-from .adapters import LOG, PANEL, SNAPS, STATIONS
+from .adapters import LOG, PANEL, SNAPS
 from .registry import query
 
 G = "GROUP BY ALL"
@@ -54,9 +54,10 @@ def unit_effect(t):
     return df.select("fuel", "region", "n_obs", "n_units", F.round("effect", 9).alias("effect"))
 
 
-@query("g8_group_premium", f"WITH {PANEL}, m AS (SELECT fuel, road, median(relative) AS m, count(*) AS n FROM panel GROUP BY ALL), b AS (SELECT *, max(CASE WHEN road = 'b0' THEN m END) OVER (PARTITION BY fuel) AS base FROM m) SELECT fuel, road, n, round(CASE WHEN road = 'b0' THEN 0.0::DOUBLE ELSE greatest((m - base) * n / (n + 10.0), 0.0::DOUBLE) END, 9) AS premium FROM b")
+@query("g8_group_premium", f"WITH {PANEL}, m AS (SELECT fuel, road, median(relative) AS m, count(*) AS n FROM panel GROUP BY ALL), e AS (SELECT fuel, median(relative) AS every FROM panel GROUP BY ALL), b AS (SELECT m.*, coalesce(max(CASE WHEN road = 'b0' THEN m END) OVER (PARTITION BY m.fuel), every) AS base FROM m JOIN e USING (fuel)) SELECT fuel, road, n, round(CASE WHEN road = 'b0' THEN 0.0::DOUBLE ELSE m - base END, 9) AS raw, round(CASE WHEN road = 'b0' THEN 0.0::DOUBLE WHEN road = 'b1' THEN greatest((m - base) * n / (n + 10.0), 0.0::DOUBLE) ELSE (m - base) * n / (n + 10.0) END, 9) AS premium FROM b")
 def group_premium(t):
-    return R.group_premium(t.panel(), "relative", "fuel", "road", "b0").withColumn("premium", F.round("premium", 9))
+    df = R.group_premium(t.panel(), "relative", "fuel", "road", "b0", floored=["b1"])
+    return df.withColumns({"raw": F.round("raw", 9), "premium": F.round("premium", 9)})
 
 
 @query("g9_persistent_bias", f"WITH {PANEL} SELECT station_id, median(relative) AS raw_bias, count(DISTINCT date_trunc('week', date)) AS months, count(*) AS n_obs, round(median(relative) * count(DISTINCT date_trunc('week', date)) / (count(DISTINCT date_trunc('week', date)) + 6.0), 9) AS bias FROM panel GROUP BY ALL")
@@ -70,12 +71,6 @@ def ols(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"))
 
 
-@query("g11_origin_beta", "SELECT l_returnflag, round(CASE WHEN count(*) < 200 THEN 1.0 ELSE least(2.0, greatest(0.2, sum(l_tax * l_discount) / sum(l_tax * l_tax))) END, 6) AS beta FROM lineitem GROUP BY ALL")
-def origin_beta(t):
-    beta = F.sum(F.col("l_tax") * F.col("l_discount")) / F.sum(F.col("l_tax") * F.col("l_tax"))
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.when(F.count("*") < 200, 1.0).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(0.2), beta))), 6).alias("beta"))
-
-
 @query("g13_residuals", "SELECT l_shipmode_ AS k, count(e) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse FROM (SELECT l_linestatus AS l_shipmode_, l_discount - l_tax AS e FROM lineitem) GROUP BY ALL")
 def residuals(t):
     df = R.error_metrics(t.lineitem.withColumn("k", F.col("l_linestatus")), "l_discount", "l_tax", ["k"])
@@ -91,72 +86,3 @@ def flag_rate(t):
 def best_candidate(t):
     c = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.stddev_samp("l_tax"), 9).alias("rmse"))
     return c.groupBy("l_returnflag").agg(F.min_by("l_linestatus", "rmse").alias("best"), F.min("rmse").alias("rmse"))
-
-
-def _backfit_sql(source: str, group: str, value: str, factors: dict, rounds: int, unit: str | None, done: bool = True) -> str:
-    """The steps as a chain of WITH clauses, a table of effects for each."""
-    steps, last = [], {}
-    for r in range(rounds):
-        for f, shrink in factors.items():
-            others = {o: last[o] for o in factors if o != f and o in last}
-            rest = value + "".join(f" - coalesce({name}.effect, 0)" for name in others.values())
-            joins = "".join(f" LEFT JOIN {name} ON p.{group} = {name}.{group} AND p.{o} = {name}.{o}" for o, name in others.items())
-            name = f"e{r}_{f}"
-            inner = f"SELECT p.{group}, p.{f}, {'p.' + unit + ', ' if unit else ''}{rest} AS v FROM {source} p{joins}"
-            mid = f"SELECT {group}, {f}, {unit}, median(v) AS v FROM ({inner}) {G}" if unit else inner
-            steps.append(f"{name} AS MATERIALIZED (SELECT {group}, {f}, median(v) * count(*) / (count(*) + {float(shrink)}) AS effect FROM ({mid}) {G})")
-            last[f] = name
-    final = " UNION ALL ".join(f"SELECT {group}, '{f}' AS factor, {f} AS level, round(effect, 7) AS effect FROM {name}" for f, name in last.items())
-    return ", ".join(steps) + (" " + final if done else "")
-
-
-CROSS, PANELS = {"region": 40, "department": 25, "road": 40}, {"region": 80, "road": 100}
-
-
-@query("d8_backfit_cross", f"WITH {STATIONS}, " + _backfit_sql("stations", "fuel", "excess", CROSS, 3, None))
-def backfit_cross(t):
-    return R.backfit(t.stations(), "excess", "fuel", CROSS, 3).withColumn("effect", F.round("effect", 7))
-
-
-@query("d14_backfit_panel", f"WITH {PANEL}, " + _backfit_sql("panel", "fuel", "relative", PANELS, 3, "station_id"))
-def backfit_panel(t):
-    return R.backfit(t.panel(), "relative", "fuel", PANELS, 3, "station_id").withColumn("effect", F.round("effect", 7))
-
-
-_TRAIN = f"WITH {PANEL}, train AS (SELECT * FROM panel WHERE date < DATE '2024-01-21'), " + _backfit_sql("train", "fuel", "relative", PANELS, 2, "station_id", False)
-_TEST = " FROM panel p LEFT JOIN e1_region a ON p.fuel = a.fuel AND p.region = a.region LEFT JOIN e1_road b ON p.fuel = b.fuel AND p.road = b.road WHERE date >= DATE '2024-01-21'"
-
-
-@query("d15_predict", _TRAIN + " SELECT p.station_id, p.fuel, p.date, round(coalesce(a.effect, 0) + coalesce(b.effect, 0), 6) AS predicted, ((a.effect IS NOT NULL)::INT + (b.effect IS NOT NULL)::INT) / 2.0::DOUBLE AS coverage" + _TEST)
-def predict(t):
-    p = t.panel()
-    effects = R.backfit(p.filter("date < '2024-01-21'"), "relative", "fuel", PANELS, 2, "station_id")
-    out = R.predict(p.filter("date >= '2024-01-21'"), effects, "fuel", list(PANELS))
-    return out.select("station_id", "fuel", "date", F.round("predicted", 6).alias("predicted"), "coverage")
-
-
-@query("d17_holdout", _TRAIN + ", g AS (SELECT p.fuel, relative, coalesce(a.effect, 0) + coalesce(b.effect, 0) AS guess" + _TEST + ") SELECT fuel, count(*) AS n, round(avg(abs(relative)), 5) AS mae_baseline, round(avg(abs(relative - guess)), 5) AS mae, round(sqrt(avg((relative - guess) * (relative - guess))), 5) AS rmse FROM g GROUP BY ALL")
-def holdout(t):
-    return _validated(t.panel(), "2024-01-21", list(PANELS)).drop("split")
-
-
-def _validated(panel, split: str, factors: list[str]):
-    train, test = panel.filter(F.col("date") < split), panel.filter(F.col("date") >= split)
-    effects = R.backfit(train, "relative", "fuel", {f: PANELS[f] for f in factors}, 2, "station_id")
-    out = R.predict(test, effects, "fuel", factors) if factors else test.withColumn("predicted", F.lit(0.0))
-    e = F.col("relative") - F.col("predicted")
-    return out.groupBy("fuel").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("relative")), 5).alias("mae_baseline"), F.round(F.avg(F.abs(e)), 5).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"), F.lit(split).alias("split"))
-
-
-@query("d18_regimes")
-def regimes(t):
-    """The hold-out test at three splits of time."""
-    parts = [_validated(t.panel(), s, list(PANELS)) for s in ("2024-01-11", "2024-01-16", "2024-01-21")]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-@query("d19_ablation")
-def ablation(t):
-    """The hold-out test with the first 0, 1, 2 factors."""
-    parts = [_validated(t.panel(), "2024-01-21", list(PANELS)[:k]).withColumn("factors", F.lit(k)) for k in range(len(PANELS) + 1)]
-    return parts[0].union(parts[1]).union(parts[2])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fuelgrid.functions import scalars as S
+from fuelgrid.operators import series as T
 
 from .registry import query
 
@@ -62,9 +63,9 @@ def effective_date(t):
     return t.orders.select("o_orderkey", S.effective_date(status, F.to_date("o_orderdate")).alias("effective"))
 
 
-@query("x1_text_key", r"SELECT conv_id, turn, trim(regexp_replace(strip_accents(lower(substr(text, 1, 60))), '\s+', ' ', 'g')) AS key, trim(regexp_replace(strip_accents(lower(role)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM conversations")
+@query("x1_text_key", r"SELECT conv_id, turn, trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '\s+', ' ', 'g')) AS key, trim(regexp_replace(strip_accents(lower(role)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM conversations")
 def text_key(t):
-    return t.conversations.select("conv_id", "turn", S.text_key(F.replace(F.substring("text", 1, 60), F.lit("ß"), F.lit("ß"))).alias("key"), S.slug(F.col("role")).alias("slug"))
+    return t.conversations.select("conv_id", "turn", S.text_key(F.col("text")).alias("key"), S.slug(F.col("role")).alias("slug"))
 
 
 @query("f3_price", "WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 1750.0::DOUBLE WHEN o_orderkey % 4 = 1 THEN 1.849::DOUBLE WHEN o_orderkey % 4 = 2 THEN 9.0::DOUBLE END AS p FROM orders), y AS (SELECT o_orderkey, CASE WHEN p > 20 THEN p / 1000 ELSE p END AS p FROM x) SELECT o_orderkey, CASE WHEN p BETWEEN 0.2 AND 5 THEN p END AS price FROM y")
@@ -83,9 +84,9 @@ def postcode(t):
 
 @query("x4_french_month", "SELECT o_orderkey, make_date(year(o_orderdate), month(o_orderdate), 1) AS month, (o_orderkey % 1000)::DOUBLE / 100 AS number FROM orders")
 def french_month(t):
-    names = F.array(*[F.lit(x) for x in ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")])
+    names = F.array(*[F.lit(x) for x in ("jan", "Fév.", "mars", "avr.", "MAI", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")])
     d = F.col("o_orderdate")
-    token = F.concat(F.element_at(names, F.month(d)), F.lit("-"), F.year(d).cast("string"))
+    token = F.concat(F.element_at(names, F.month(d)), F.when(F.dayofmonth(d) % 3 == 0, " ").when(F.dayofmonth(d) % 3 == 1, "-").otherwise(""), F.year(d).cast("string"))
     number = F.replace(((F.col("o_orderkey") % 1000) / 100).cast("string"), F.lit("."), F.lit(","))
     return t.orders.select("o_orderkey", S.french_month(token).alias("month"), S.decimal_comma(number).alias("number"))
 
@@ -102,8 +103,53 @@ def links(t):
     return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
 
 
-@query("f15_confidence", "SELECT c_custkey, CASE WHEN c_custkey % 150 >= 100 THEN 'HIGH' WHEN c_custkey % 150 >= 30 THEN 'MEDIUM' WHEN c_custkey % 150 >= 10 THEN 'LOW' ELSE 'INSUFFICIENT' END AS confidence, CASE WHEN c_custkey % 150 < 10 THEN 'INSUFFICIENT' WHEN c_custkey % 150 < 30 THEN 'LOW' WHEN c_custkey % 3 = 0 THEN 'LOW' ELSE 'MEDIUM' END AS least, CASE WHEN c_acctbal IS NULL THEN 'grey' WHEN c_acctbal <= -4 THEN 'darkgreen' WHEN c_acctbal <= -1 THEN 'green' WHEN c_acctbal <= 1 THEN 'beige' WHEN c_acctbal <= 4 THEN 'orange' ELSE 'red' END AS colour FROM customer")
+@query("f15_confidence", """SELECT c_custkey, CASE WHEN c_custkey % 150 >= 100 THEN 'HIGH' WHEN c_custkey % 150 >= 30 THEN 'MEDIUM' WHEN c_custkey % 150 >= 10 THEN 'LOW' ELSE 'INSUFFICIENT' END AS confidence,
+CASE WHEN c_custkey % 150 < 10 THEN 'INSUFFICIENT' WHEN c_custkey % 150 < 30 THEN 'LOW' WHEN c_custkey % 3 = 0 THEN 'LOW' ELSE 'MEDIUM' END AS least, CASE WHEN c_custkey % 24 >= 18 THEN 'HIGH' WHEN c_custkey % 24 >= 12 THEN 'MEDIUM' WHEN c_custkey % 24 >= 6 THEN 'LOW' ELSE 'INSUFFICIENT' END AS months_confidence,
+CASE WHEN c_custkey % 24 < 12 THEN 'PROVISIONAL' WHEN c_acctbal / 400 > 15 THEN 'VERY_HIGH' WHEN c_acctbal / 400 > 10 THEN 'HIGH' WHEN c_acctbal / 400 > 5 THEN 'ELEVATED' ELSE 'NORMAL' END AS status FROM customer""")
 def confidence(t):
-    own = S.unit_confidence(F.col("c_custkey") % 150)
+    own, months = S.unit_confidence(F.col("c_custkey") % 150), F.col("c_custkey") % 24
     other = F.when(F.col("c_custkey") % 3 == 0, "LOW").otherwise("MEDIUM")
-    return t.customer.select("c_custkey", own.alias("confidence"), S.least_confidence(own, other).alias("least"), S.colour(F.col("c_acctbal")).alias("colour"))
+    return t.customer.select("c_custkey", own.alias("confidence"), S.least_confidence(own, other).alias("least"), S.months_confidence(months).alias("months_confidence"), S.bias_status(F.col("c_acctbal") / 400, months).alias("status"))
+
+
+@query("x19_colour", """SELECT c_custkey, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN '#9e9e9e' WHEN x <= -5 THEN '#1a9850' WHEN x <= 0 THEN '#91cf60' WHEN x <= 5 THEN '#ffffbf' WHEN x <= 10 THEN '#fdae61' WHEN x <= 20 THEN '#f46d43' ELSE '#d73027' END AS colour
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'inf'::DOUBLE WHEN c_custkey % 11 = 0 THEN 'nan'::DOUBLE WHEN c_custkey % 13 = 0 THEN 5.0::DOUBLE ELSE c_acctbal / 300 END AS x FROM customer)""")
+def colour(t):
+    k = F.col("c_custkey")
+    x = F.when(k % 7 == 0, float("inf")).when(k % 11 == 0, float("nan")).when(k % 13 == 0, 5.0).otherwise(F.col("c_acctbal") / 300)
+    return t.customer.select("c_custkey", S.colour(x).alias("colour"))
+
+
+_REGION = "CASE " + " ".join(f"WHEN d IN ({', '.join(repr(x) for x in v.split())}) THEN '{k}'" for k, v in S.REGIONS.items()) + " ELSE 'UNKNOWN' END"
+
+
+@query("x7_region", f"SELECT c_custkey, d AS department, {_REGION} AS region, {_REGION} IN ('11', '24', '27', '28', '32', '44', '52', '53', '75', '76', '84', '93') AS mainland FROM (SELECT c_custkey, lpad((c_custkey % 99)::VARCHAR, 2, '0') AS d FROM customer)")
+def region(t):
+    d = F.lpad((F.col("c_custkey") % 99).cast("string"), 2, "0")
+    return t.customer.select("c_custkey", d.alias("department"), S.region_of(d).alias("region"), S.region_of(d).isin(*S.REGIONS).alias("mainland"))
+
+
+@query("f2_domain", "SELECT l_orderkey, l_linenumber, l_extendedprice / 20000 AS price FROM lineitem WHERE l_extendedprice / 20000 BETWEEN 0.5 AND 4.0 AND l_discount > 0")
+def domain(t):
+    x = S.missing(F.when(F.col("l_discount") > 0, F.col("l_extendedprice") / 20000).otherwise(float("nan")))
+    return t.lineitem.select("l_orderkey", "l_linenumber", x.alias("price")).na.drop(subset=["price"]).filter(F.col("price").between(0.5, 4.0))
+
+
+@query("x9_html", r"SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS safe, printf('%.1f', page_id * 2 / 4.0) AS fixed FROM pages")
+def html(t):
+    return t.pages.select("page_id", S.html(F.col("html")).alias("safe"), S.fixed(F.col("page_id") * 2 / 4, 1).alias("fixed"))
+
+
+@query("k6_map_box", "SELECT c_custkey, (40 + c_custkey % 14) BETWEEN 41 AND 52 AND (c_custkey % 20 - 8) BETWEEN -6 AND 10 AS on_map FROM customer")
+def map_box(t):
+    k = F.col("c_custkey")
+    return t.customer.select("c_custkey", S.on_map((40 + k % 14).cast("double"), (k % 20 - 8).cast("double")).alias("on_map"))
+
+
+@query("a17_calendars", """WITH o AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), x AS (SELECT d, d + ((o.d - DATE '1990-01-01') % 70)::INT AS e FROM o)
+SELECT d, len(list_filter(generate_series(d, e, INTERVAL 1 DAY), lambda x: isodow(x) = 5))::BIGINT AS fridays, len(list_filter(generate_series(d, e, INTERVAL 1 DAY), lambda x: day(x) = 1))::BIGINT AS month_starts, len(list_distinct(list_transform(generate_series(d, e, INTERVAL 1 DAY), lambda x: last_day(x::DATE))))::BIGINT AS month_ends FROM x""")
+def calendars(t):
+    d = t.orders.select(F.to_date("o_orderdate").alias("d")).distinct()
+    e = F.date_add("d", (F.datediff("d", F.lit("1990-01-01").cast("date")) % 70).cast("int"))
+    size = lambda c: F.size(c).cast("long")
+    return d.select("d", size(T.fridays(F.col("d"), e)).alias("fridays"), size(T.month_starts(F.col("d"), e)).alias("month_starts"), size(T.month_ends(F.col("d"), e)).alias("month_ends"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fuelgrid.operators import geo, series as T
 
-from .adapters import DAILY, LOG, LONG, MONTHLY, SNAPS, STATIONS
+from .adapters import ANCHORS, DAILY, LOG, LONG, MONTHLY, SNAPS, STATIONS
 from .registry import query
 
 _FULL = f"WITH {DAILY}, ends AS (SELECT fuel, min(date) AS a, max(date) AS b FROM daily GROUP BY 1), every AS (SELECT fuel, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM ends), dense AS (SELECT every.fuel, every.date, value FROM every LEFT JOIN daily USING (fuel, date))"
@@ -62,7 +62,7 @@ def rebased(t):
     return T.rebased(t.daily(), ["fuel"], "date", "value", "index").select("fuel", "date", F.round("index", 6).alias("index"))
 
 
-_ASOF = f"WITH {DAILY}, weekly AS (SELECT DISTINCT event_type AS fuel, date_trunc('week', ts)::DATE AS week FROM events)"
+_ASOF = f"WITH {DAILY}, weekly AS (SELECT DISTINCT event_type || '-' || (user_id % 20) AS fuel, date_trunc('week', ts)::DATE AS week FROM events)"
 
 
 @query("j4_asof", _ASOF + " SELECT weekly.fuel, week, date, value FROM weekly ASOF LEFT JOIN daily ON weekly.fuel = daily.fuel AND week >= date")
@@ -77,19 +77,19 @@ def asof_tolerance(t):
 
 
 def _weekly(t):
-    return t.events.select(F.col("event_type").alias("fuel"), F.to_date(F.date_trunc("week", "ts")).alias("week")).distinct()
+    return t.daily().select("fuel", F.to_date(F.date_trunc("week", "date")).alias("week")).distinct()
 
 
-@query("j6_anchored", f"""WITH {MONTHLY}, t AS (SELECT DISTINCT o_orderstatus AS fuel, last_day(o_orderdate::DATE) AS day FROM orders), proxy AS (SELECT o_orderstatus AS fuel, o_orderdate::DATE AS d, max(o_totalprice) AS p FROM orders WHERE day(o_orderdate) % 3 = 0 GROUP BY ALL),
-anchors AS (SELECT * FROM monthly WHERE date > DATE '1995-03-31'), f AS (SELECT fuel, min(date) AS date, arg_min(quote, date) AS quote FROM anchors GROUP BY 1),
+@query("j6_anchored", f"""WITH {ANCHORS}, t AS (SELECT DISTINCT o_orderstatus AS fuel, last_day(o_orderdate::DATE) AS day FROM orders), proxy AS (SELECT o_orderstatus AS fuel, o_orderdate::DATE AS d, max(o_totalprice) AS p FROM orders GROUP BY ALL),
+f AS (SELECT fuel, min(date) AS date, arg_min(quote, date) AS quote FROM anchors GROUP BY 1),
 a AS (SELECT t.fuel, day, own.quote AS own, before.date AS bd, before.quote AS bq, f.date AS fd, f.quote AS fq FROM t LEFT JOIN anchors own ON own.fuel = t.fuel AND own.date = day ASOF LEFT JOIN anchors before ON before.fuel = t.fuel AND day >= before.date LEFT JOIN f ON f.fuel = t.fuel),
 b AS (SELECT *, coalesce(bd, fd) AS anchor_date, coalesce(bq, fq) AS q FROM a), c AS (SELECT b.*, p1.p AS p1 FROM b ASOF LEFT JOIN proxy p1 ON p1.fuel = b.fuel AND day >= p1.d), e AS (SELECT c.*, p2.p AS p2 FROM c ASOF LEFT JOIN proxy p2 ON p2.fuel = c.fuel AND anchor_date >= p2.d)
 SELECT fuel, day, anchor_date, round(coalesce(own, q * p1 / p2), 4) AS quote, CASE WHEN coalesce(own, q * p1 / p2) IS NULL THEN 'UNAVAILABLE' WHEN own IS NOT NULL THEN 'SAME_MONTH' WHEN bd IS NOT NULL THEN 'ANCHORED' ELSE 'BACKCAST' END AS quote_source FROM e""")
 def anchored(t):
     fuel = F.col("o_orderstatus").alias("fuel")
     targets = t.orders.select(fuel, F.last_day(F.to_date("o_orderdate")).alias("day")).distinct()
-    proxy = t.orders.filter("day(o_orderdate) % 3 = 0").groupBy(fuel, F.to_date("o_orderdate").alias("proxy_date")).agg(F.max("o_totalprice").alias("proxy"))
-    return T.anchored(targets, t.monthly().filter("date > '1995-03-31'"), proxy, ["fuel"], "day").withColumn("quote", F.round("quote", 4))
+    proxy = t.orders.groupBy(fuel, F.to_date("o_orderdate").alias("proxy_date")).agg(F.max("o_totalprice").alias("proxy"))
+    return T.anchored(targets, t.anchors(), proxy, ["fuel"], "day").withColumn("quote", F.round("quote", 4))
 
 
 @query("j7_effective", "SELECT o_orderkey, CASE WHEN o_orderdate::DATE <= DATE '1997-12-31' THEN 0.10::DOUBLE WHEN o_orderdate::DATE <= DATE '1999-12-31' THEN 0.20::DOUBLE ELSE 0.30::DOUBLE END AS vat FROM orders")
@@ -99,15 +99,6 @@ def effective(t):
     return T.effective(t.orders.withColumn("day", F.to_date("o_orderdate")), tax, [], "day").select("o_orderkey", "vat")
 
 
-@query("j12_overrides", "SELECT c_custkey, CASE WHEN c_custkey % 100 = 0 THEN 'BY_ID' WHEN c_nationkey IN (3, 7) THEN 'BY_CITY' ELSE 'MAINLAND' END AS class FROM customer")
-def overrides(t):
-    by_id = t.customer.filter("c_custkey % 100 = 0").select("c_custkey", F.lit("BY_ID").alias("_id"))
-    by_city = t.spark.createDataFrame([(3, "BY_CITY"), (7, "BY_CITY"), (7, "LATER")], "c_nationkey int, _city string").withColumn("_n", F.monotonically_increasing_id())
-    by_city = by_city.groupBy("c_nationkey").agg(F.min_by("_city", "_n").alias("_city"))
-    out = t.customer.join(by_city, "c_nationkey", "left").join(by_id, "c_custkey", "left")
-    return out.select("c_custkey", F.coalesce("_id", "_city", F.lit("MAINLAND")).alias("class"))
-
-
 @query("j13_split", "WITH d AS (SELECT DISTINCT l_shipdate::DATE AS d FROM lineitem), last AS (SELECT d FROM d ORDER BY d DESC LIMIT 90) SELECT CASE WHEN l_shipdate::DATE IN (SELECT d FROM last) THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM lineitem GROUP BY ALL")
 def split(t):
     df = t.lineitem.withColumn("d", F.to_date("l_shipdate"))
@@ -138,13 +129,16 @@ def latest(t):
     return T.latest(t.log(), ["station_id", "fuel"], ["updated_at"])
 
 
-@query("d28_chained_index", f"""WITH {SNAPS}, dates AS (SELECT fuel, date, dense_rank() OVER (PARTITION BY fuel ORDER BY date) AS k FROM (SELECT DISTINCT fuel, date FROM snaps)), now AS (SELECT snaps.*, k FROM snaps JOIN dates USING (fuel, date)),
-m AS (SELECT a.fuel, a.k, count(*) AS n_matched, median(a.price) / median(b.price) AS ratio, median(a.price / b.price) AS ratios FROM now a JOIN now b ON a.fuel = b.fuel AND a.station_id = b.station_id AND a.k = b.k + 1 WHERE b.price > 0 GROUP BY ALL),
-g AS (SELECT fuel, date, coalesce(n_matched, 0) AS n_matched, CASE WHEN n_matched >= 30 THEN ratio ELSE ratios END AS growth, CASE WHEN n_matched IS NULL THEN NULL WHEN n_matched >= 30 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM dates LEFT JOIN m USING (fuel, k))
-SELECT fuel, date, n_matched, round(growth, 6) AS growth, confidence, round(100 * product(coalesce(growth, 1)) OVER (PARTITION BY fuel ORDER BY date), 4) AS index FROM g""")
+@query("d28_chained_index", f"""WITH {SNAPS}, d AS (SELECT fuel, date, median(price) AS median, count(DISTINCT station_id) AS n_units, row_number() OVER (PARTITION BY fuel ORDER BY date) AS k FROM snaps GROUP BY fuel, date),
+e AS (SELECT *, lag(median) OVER w AS was, lag(n_units) OVER w AS n_was, lag(date) OVER w AS before FROM d WINDOW w AS (PARTITION BY fuel ORDER BY date)),
+m AS (SELECT e.fuel, e.date, count(*) AS n, median(a.price / b.price) AS ratio FROM e JOIN snaps a ON a.fuel = e.fuel AND a.date = e.date JOIN snaps b ON b.fuel = e.fuel AND b.date = e.before AND b.station_id = a.station_id WHERE b.price > 0 GROUP BY ALL),
+f AS (SELECT e.*, CASE WHEN k > 1 THEN coalesce(n, 0) END AS n_matched, ratio FROM e LEFT JOIN m ON e.fuel = m.fuel AND e.date = m.date),
+g AS (SELECT *, n_matched::DOUBLE / greatest(1, least(n_units, n_was)) AS matched_share, CASE WHEN k = 1 THEN 1.0::DOUBLE WHEN n_matched >= 30 THEN ratio WHEN was > 0 THEN median / was ELSE 1.0::DOUBLE END AS growth FROM f)
+SELECT fuel, date, median, round(100 * product(growth) OVER (PARTITION BY fuel ORDER BY date), 4) AS index, round(100 * (growth - 1), 6) AS change_pct, n_units, n_matched, matched_share,
+CASE WHEN k = 1 THEN 'BASE' WHEN n_matched >= 30 THEN 'MATCHED_STATIONS' ELSE 'MEDIAN_FALLBACK' END AS method, CASE WHEN k = 1 THEN 'HIGH' WHEN n_matched < 30 THEN 'LOW' WHEN matched_share >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM g""")
 def chained_index(t):
     df = T.chained_index(T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30"), "fuel", "station_id", "date", "price")
-    return df.withColumns({"growth": F.round("growth", 6), "index": F.round("index", 4)})
+    return df.withColumns({"change_pct": F.round("change_pct", 6), "index": F.round("index", 4)})
 
 
 _PAIRS = f"""WITH {STATIONS}, pairs AS MATERIALIZED (SELECT a.fuel, a.id, b.id AS other, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km, b.excess AS v
@@ -154,13 +148,3 @@ FROM stations a JOIN stations b ON a.fuel = b.fuel AND a.id <> b.id)"""
 @query("j9_competition", _PAIRS + " SELECT fuel, id, round(min(km), 6) AS nearest_km, count_if(km <= 5) AS within_5, count_if(km <= 20) AS within_20, count_if(km <= 50) AS within_50 FROM pairs GROUP BY ALL")
 def competition(t):
     return geo.competition(t.stations(), "fuel", (5, 20, 50)).withColumn("nearest_km", F.round("nearest_km", 6))
-
-
-@query("j10_peers", _PAIRS + """, c AS (SELECT fuel, id, count_if(km <= 20) AS a, count_if(km <= 50) AS b, count_if(km <= 100) AS c FROM pairs GROUP BY ALL),
-r AS (SELECT fuel, id, CASE WHEN a >= 4 THEN 20.0::DOUBLE WHEN b >= 4 THEN 50.0::DOUBLE WHEN c >= 4 THEN 100.0::DOUBLE END AS radius_km FROM c),
-p AS (SELECT pairs.*, radius_km, row_number() OVER (PARTITION BY pairs.fuel, pairs.id ORDER BY km, other) AS k FROM pairs JOIN r ON pairs.fuel = r.fuel AND pairs.id = r.id),
-s AS (SELECT fuel, id, any_value(radius_km) AS radius_km, count(*) AS n_peers, median(v) AS peer_median, mad(v) AS m FROM p WHERE CASE WHEN radius_km IS NULL THEN k <= 4 ELSE km <= radius_km END GROUP BY ALL)
-SELECT s.fuel, s.id, CASE WHEN radius_km IS NULL THEN 'NEAREST_N' ELSE 'RADIUS' END AS method, radius_km, n_peers, peer_median, round(excess - peer_median, 6) AS excess, round((excess - peer_median) / greatest(1.4826 * m, 2.0), 4) AS score FROM s JOIN stations USING (fuel, id) WHERE n_peers >= 4""")
-def peers(t):
-    df = geo.peer_scores(t.stations(), "fuel", "excess", 4, (20, 50, 100))
-    return df.withColumns({"excess": F.round("excess", 6), "score": F.round("score", 4)})

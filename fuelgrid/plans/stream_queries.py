@@ -1,69 +1,40 @@
-"""Composites of several operators, and streams, over the test tables."""
+"""Streams over the test tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fuelgrid.functions import scalars as S
 from fuelgrid.operators import robust as R
-from fuelgrid.operators import series as T
 from fuelgrid.streaming import prices
 
-from .adapters import LOG, MONTHLY, SNAPS
+from .adapters import LOG, log_stream
 from .registry import query
 
 
-@query("d27_monthly_backtest", f"""WITH {MONTHLY}, observed AS (SELECT o_orderstatus AS fuel, last_day(o_orderdate::DATE) AS date, median(o_totalprice) * 1.1 AS observed FROM orders GROUP BY ALL),
-j AS (SELECT fuel, date, observed, quote FROM observed JOIN monthly USING (fuel, date)), m AS (SELECT *, observed / 1.2 - 0.6 - quote AS margin FROM j),
-n AS (SELECT *, CASE WHEN count(margin) OVER w >= 3 THEN median(margin) OVER w ELSE 100.0::DOUBLE END AS normal FROM m WINDOW w AS (PARTITION BY fuel ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))
-SELECT fuel, date, round(normal, 6) AS normal, round((quote + normal + 0.6) * 1.2, 6) AS fair, round(observed - (quote + normal + 0.6) * 1.2, 6) AS residual FROM n""")
-def monthly_backtest(t):
-    """Each month's observed price against one built of its quote and the margin usual in the months before."""
-    observed = t.orders.groupBy(F.col("o_orderstatus").alias("fuel"), F.last_day(F.to_date("o_orderdate")).alias("date")).agg((F.median("o_totalprice") * 1.1).alias("observed"))
-    df = observed.join(t.monthly(), ["fuel", "date"]).withColumn("margin", S.implied_margin(F.col("observed"), F.col("quote"), F.lit(0.6), F.lit(0.2)))
-    df = T.lagged_median(df, ["fuel"], "date", "margin", "normal", otherwise=F.lit(100.0))
-    fair = S.fair_price(F.col("quote"), F.col("normal"), F.lit(0.6), F.lit(0.2))
-    return df.select("fuel", "date", F.round("normal", 6).alias("normal"), F.round(fair, 6).alias("fair"), F.round(F.col("observed") - fair, 6).alias("residual"))
+def _plain(df, *times):
+    return df.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
 
 
-@query("d4_station_scores", f"""WITH {SNAPS}, a AS (SELECT *, price - 50.0::DOUBLE AS spread FROM snaps WHERE date = DATE '2024-01-30'), b AS (SELECT *, median(spread) OVER (PARTITION BY fuel) AS m FROM a), c AS (SELECT *, 1.4826 * median(abs(spread - m)) OVER (PARTITION BY fuel) AS s FROM b),
-d AS (SELECT *, CASE WHEN s > 0 THEN (spread - m) / s ELSE 0.0::DOUBLE END AS z FROM c) SELECT station_id, fuel, spread, round(z, 6) AS z, CASE WHEN z <= 2 THEN 'NORMAL' WHEN z <= 3 THEN 'HIGH' ELSE 'VERY_HIGH' END AS flag FROM d""")
-def station_scores(t):
-    df = T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30").filter("date = '2024-01-30'")
-    df = R.robust_z(df.withColumn("spread", F.col("price") - 50.0), "spread", ["fuel"])
-    return df.select("station_id", "fuel", "spread", F.round("z", 6).alias("z"), S.binned(F.col("z"), [2, 3], ["NORMAL", "HIGH", "VERY_HIGH"]).alias("flag"))
-
-
-@query("d23_bridge", f"""WITH {MONTHLY}, b AS (SELECT o_orderstatus AS fuel, o_orderdate::DATE AS day, max(o_totalprice) AS brent FROM orders GROUP BY ALL), x AS (SELECT b.*, date, quote FROM b ASOF JOIN monthly m ON b.fuel = m.fuel AND day >= date),
-y AS (SELECT x.*, b2.brent AS base FROM x ASOF JOIN b b2 ON x.fuel = b2.fuel AND date >= b2.day) SELECT fuel, day, round(quote * pow(brent / base, 0.8::DOUBLE), 4) AS quote FROM y""")
-def bridge(t):
-    """Quotes carried past the last anchor by a power of the crude price's ratio."""
-    brent = t.orders.groupBy(F.col("o_orderstatus").alias("fuel"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("brent"))
-    df = T.asof(brent, t.monthly(), ["fuel"], "day", "date")
-    df = T.asof(df, brent.select("fuel", F.col("day").alias("base_day"), F.col("brent").alias("base")), ["fuel"], "date", "base_day")
-    return df.filter("date IS NOT NULL AND base IS NOT NULL").select("fuel", "day", F.round(F.col("quote") * F.pow(F.col("brent") / F.col("base"), 0.8), 4).alias("quote"))
-
-
-@query("d33_tension", f"""WITH {SNAPS}, o AS (SELECT fuel, date, median(price) AS observed, count(*) AS n FROM snaps GROUP BY ALL), f AS (SELECT event_type AS fuel, ts::DATE AS date, median(value) AS fair FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
-j AS (SELECT o.fuel, o.date, observed, n, fair FROM o LEFT JOIN f USING (fuel, date)) SELECT fuel, date, n, observed - fair AS tension, round(100 * fair / first_value(fair IGNORE NULLS) OVER (PARTITION BY fuel ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS fair_index FROM j""")
-def tension(t):
-    df = T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30").groupBy("fuel", "date").agg(F.median("price").alias("observed"), F.count("*").alias("n"))
-    fair = t.events.filter("event_id % 2 = 0").groupBy(F.col("event_type").alias("fuel"), F.to_date("ts").alias("date")).agg(F.median("value").alias("fair"))
-    df = T.rebased(df.join(fair, ["fuel", "date"], "left"), ["fuel"], "date", "fair", "fair_index")
-    return df.select("fuel", "date", "n", (F.col("observed") - F.col("fair")).alias("tension"), F.round("fair_index", 6).alias("fair_index"))
+@query("s1_stream_latest", f"WITH {LOG} SELECT station_id, fuel, max(updated_at) AS updated_at, arg_max(price, (updated_at, price)) AS price FROM log GROUP BY ALL")
+def stream_latest(t):
+    return _plain(prices.run(prices.latest(log_stream(t)), "complete"), "updated_at")
 
 
-@query("d30_anomaly_rate", f"WITH {LOG}, a AS (SELECT *, median(price) OVER (PARTITION BY fuel) AS m FROM log), b AS (SELECT *, 1.4826 * median(abs(price - m)) OVER (PARTITION BY fuel) AS s FROM a) SELECT fuel, updated_at::DATE AS date, count(*) AS n, count_if((price - m) / s > 1) AS hits, count_if((price - m) / s > 1)::DOUBLE / count(*) AS rate FROM b GROUP BY ALL")
-def anomaly_rate(t):
-    df = R.robust_z(t.log(), "price", ["fuel"]).withColumn("date", F.to_date("updated_at"))
-    return R.conditional_rate(df, ["fuel", "date"], F.col("z") > 1, F.lit(True))
+@query("s2_stream_windows", "SELECT event_type AS fuel, date_trunc('day', ts) AS start, count(*) AS n, max(value) AS highest, min(value) AS lowest FROM events GROUP BY ALL")
+def stream_windows(t):
+    return _plain(prices.run(prices.windows(log_stream(t), "1 day"), "complete"), "start")
 
 
-@query("s1_stream_latest", f"WITH {LOG} SELECT station_id, fuel, max(updated_at) AS updated_at, arg_max(price, updated_at) AS price FROM log GROUP BY ALL")
-def stream_latest(t):
-    return prices.run(prices.latest(prices.read(t.spark, f"{t.folder}/events.parquet")), "complete").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+@query("s3_stream_sliding", "WITH e AS (SELECT event_type AS fuel, value, date_trunc('day', ts) - to_days(k) AS start FROM events, (SELECT unnest([0, 1]) AS k)) SELECT fuel, start, count(*) AS n, max(value) AS highest, min(value) AS lowest FROM e GROUP BY ALL")
+def stream_sliding(t):
+    return _plain(prices.run(prices.windows(log_stream(t), "2 days", slide="1 day"), "complete"), "start")
 
 
-@query("s2_stream_windows", "SELECT event_type AS fuel, date_trunc('day', ts) AS start, count(*) AS n, max(value) AS highest, min(value) AS lowest FROM events GROUP BY ALL")
-def stream_windows(t):
-    return prices.run(prices.windows(prices.read(t.spark, f"{t.folder}/events.parquet"), "1 day"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+@query("s4_stream_scores", """WITH f AS (SELECT event_type AS fuel, avg(value) AS fair_price FROM events GROUP BY ALL), s AS (SELECT user_id AS station_id, event_type AS fuel, ts AS updated_at, value AS price, fair_price, value - fair_price AS spread FROM events JOIN f ON event_type = fuel),
+m AS (SELECT *, median(spread) OVER (PARTITION BY fuel) AS m FROM s), d AS (SELECT *, 1.4826 * median(abs(spread - m)) OVER (PARTITION BY fuel) AS d FROM m) SELECT station_id, fuel, updated_at, price, round(spread, 6) AS spread, round(CASE WHEN d > 0 THEN (spread - m) / d ELSE 0.0::DOUBLE END, 6) AS z FROM d""")
+def stream_scores(t):
+    log = t.log()
+    fair = log.groupBy("fuel").agg(F.avg("price").alias("fair_price"))
+    spread = R.joined(log, fair, ["fuel"], fair_price="fair_price").withColumn("spread", F.col("price") - F.col("fair_price"))
+    got = prices.run(prices.scored(log_stream(t), R.mad(spread, "spread", ["fuel"]), fair), "append")
+    return _plain(got, "updated_at").select("station_id", "fuel", "updated_at", "price", F.round("spread", 6).alias("spread"), F.round("z", 6).alias("z"))

@@ -1,32 +1,36 @@
-"""Structured Streaming forms of the price log's operators. On a stream that ended they equal the batch forms."""
+"""Structured Streaming forms of the price log's operators. On a stream that ended they equal the batch forms.
+
+A log has station_id, fuel, updated_at (timestamp) and price. Rows without a time can't be placed: watermarks drop them.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from fuelgrid.operators import robust as R
+from fuelgrid.storage import shared_dir
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of (station_id, fuel, updated_at, price) from the files of a folder, or from one file."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    is_file = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).limit(1).count() == 1 if name.endswith(".parquet") else False
-    df = raw.option("pathGlobFilter", name).parquet(folder) if is_file else raw.parquet(path)
-    return df.select(F.col("user_id").alias("station_id"), F.col("event_type").alias("fuel"), F.col("ts").cast("timestamp").alias("updated_at"), F.col("value").alias("price"))
+def read(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_a_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a folder, as they come."""
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return (raw.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else raw).parquet(folder)
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The last price of each station and fuel; a state of one row for each."""
-    return log.groupBy("station_id", "fuel").agg(F.max("updated_at").alias("updated_at"), F.max_by("price", "updated_at").alias("price"))
+    """The last price of each station and fuel, of several at one time the greatest; a state of one row for each."""
+    return log.groupBy("station_id", "fuel").agg(F.max("updated_at").alias("updated_at"), F.max_by("price", F.struct("updated_at", "price")).alias("price"))
 
 
-def windows(log: DataFrame, width: str, late: str = "1 day") -> DataFrame:
-    """Counts and extremes of tumbling windows; rows later than ``late`` are left out where the mode drops state."""
-    df = log.withWatermark("updated_at", late).groupBy("fuel", F.window("updated_at", width).alias("w"))
+def windows(log: DataFrame, width: str, late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts and extremes of windows that tumble, or start every ``slide``; rows later than ``late`` are left out where
+    the mode drops state."""
+    df = log.withWatermark("updated_at", late).groupBy("fuel", F.window("updated_at", width, slide or width).alias("w"))
     return df.agg(F.count("*").alias("n"), F.max("price").alias("highest"), F.min("price").alias("lowest")).select("fuel", F.col("w.start").alias("start"), "n", "highest", "lowest")
 
 
@@ -40,16 +44,53 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> Da
     return df.agg(F.count("*").alias("n")).select("station_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def scored(log: DataFrame, groups: DataFrame, fair: DataFrame) -> DataFrame:
+    """Each price as it comes, against static tables: the fair price of its fuel (fuel, fair_price), and the median and
+    MAD of its fuel's spread (fuel, median, mad), as robust.mad gives them."""
+    df = R.joined(R.joined(log, fair, ["fuel"], fair_price="fair_price"), groups, ["fuel"], _m="median", _d="mad")
+    df = df.withColumn("spread", F.col("price") - F.col("fair_price"))
+    scale = R.MAD_TO_SIGMA * F.col("_d")
+    return df.withColumn("z", F.when(scale > 0, (F.col("spread") - F.col("_m")) / scale).otherwise(0.0)).drop("_m", "_d")
+
+
+def stale(log: DataFrame, days: int, late: str = "1 day") -> DataFrame:
+    """(station_id, fuel, updated_at, price) once for each spell of ``days`` without a change: a timer on each station and
+    fuel, in event time, goes off when the watermark passes it. A state of one row for each."""
+    wait = days * 86_400_000
+    ids = {f.name: f.dataType.simpleString() for f in log.select("station_id", "fuel").schema}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at, price = state.get
+            state.remove()
+            yield pd.DataFrame({"station_id": [key[0]], "fuel": [key[1]], "updated_at": [pd.Timestamp(at, unit="us")], "price": [price]})
+            return
+        last = state.get if state.exists else (-(1 << 62), 0.0)
+        for b in batches:
+            for at, price in zip(b["updated_at"].astype("datetime64[us]").astype("int64"), b["price"]):
+                last = max(last, (int(at), float(price)))
+        state.update(last)
+        state.setTimeoutTimestamp(max(last[0] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    grouped = log.withWatermark("updated_at", late).groupBy("station_id", "fuel")
+    out = f"station_id {ids['station_id']}, fuel {ids['fuel']}, updated_at timestamp, price double"
+    return grouped.applyInPandasWithState(run, out, "at long, price double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and returns its result. The last batch's result replaces the earlier ones in a
-    table of the shared folder, so it survives the loss of any executor."""
+    """Runs a stream over what there is and returns its result, a table of the shared folder, so it survives the loss of
+    any executor. Each batch is written under its own number: one that is tried again replaces itself."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    place = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    place, done = shared_dir(spark), []
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        done.append(number)
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    kept = [max(done)] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{place}/out/batch={k}" for k in kept])
+

@@ -65,10 +65,75 @@ def test_effective_dates_need_exactly_one_row(spark):
         series.effective(df, two, [], "d").collect()
 
 
-def test_index_without_enough_matches_uses_ratios(spark):
-    rows = [("g", dt.date(2026, 1, 1), "a", 1.0), ("g", dt.date(2026, 1, 1), "b", 2.0), ("g", dt.date(2026, 1, 2), "a", 1.1), ("g", dt.date(2026, 1, 2), "b", 2.2), ("g", dt.date(2026, 1, 2), "new", 9.0)]
-    last = series.chained_index(spark.createDataFrame(rows, "f string, d date, u string, p double"), "f", "u", "d", "p").orderBy("d").collect()[-1]
-    assert last["index"] == pytest.approx(110) and last.n_matched == 2 and last.confidence == "LOW"
+def _index(spark, least, prices):
+    rows = [("g", dt.date(2026, 1, d), u, p) for d, day in enumerate(prices, 1) for u, p in day.items()]
+    df = spark.createDataFrame(rows, "f string, d date, u string, p double")
+    return series.chained_index(df, "f", "u", "d", "p", least=least).orderBy("d").collect()
+
+
+def test_index_follows_the_matched_stations_and_not_entrants(spark):
+    first, last = _index(spark, 2, [{"a": 1.0, "b": 2.0}, {"a": 1.1, "b": 2.2, "new": 9.0}])
+    assert (first["index"], first.method, first.confidence, first.change_pct, first.n_matched) == (100, "BASE", "HIGH", 0, None)
+    assert last["index"] == pytest.approx(110) and last.n_matched == 2 and last.matched_share == 1
+    assert (last.method, last.confidence, last.n_units) == ("MATCHED_STATIONS", "HIGH", 3)
+
+
+def test_index_takes_the_median_of_ratios_and_not_the_ratio_of_medians(spark):
+    was = {f"s{k}": 1.0 + k for k in range(40)}
+    now = {u: p * (2 if k < 15 else 1) for k, (u, p) in enumerate(was.items())}
+    assert _index(spark, 30, [was, now])[-1]["index"] == pytest.approx(100)
+
+
+def test_index_with_few_matches_falls_back_on_the_medians_of_all(spark):
+    last = _index(spark, 30, [{"a": 1.0, "b": 2.0}, {"a": 1.1, "b": 2.2, "new": 9.0}])[-1]
+    assert last["index"] == pytest.approx(100 * 2.2 / 1.5) and (last.method, last.confidence) == ("MEDIAN_FALLBACK", "LOW")
+    wide = _index(spark, 2, [{"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}, {"a": 1.0, "b": 1.0, "x": 1.0, "y": 1.0}])[-1]
+    assert wide.matched_share == 0.5 and wide.confidence == "MEDIUM"
+
+
+def test_neighbours_are_found_over_the_date_line_and_near_the_poles(spark):
+    pts = [("f", 1, 10.0, 179.9), ("f", 2, 10.0, -179.9), ("f", 3, 89.9, 0.0), ("f", 4, 89.9, 180.0), ("f", 5, 70.0, 20.0), ("f", 6, 70.0, 20.5), ("f", 7, -90.0, 33.0)]
+    got = {r.id: r for r in geo.competition(spark.createDataFrame(pts, "fuel string, id long, lat double, lon double"), "fuel").collect()}
+    assert got[1].within_50 == got[2].within_50 == got[3].within_50 == got[4].within_50 == got[5].within_20 == 1
+    assert got[7].nearest_km > 8000 and got[7].within_50 == 0
+
+
+def test_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    pts = [("f", k, max(-90.0, min(90.0, rng.gauss(80, 12))), rng.uniform(-180, 180)) for k in range(300)]
+    df = spark.createDataFrame(pts, "fuel string, id long, lat double, lon double")
+    for radius in (50.0, 900.0, 12000.0):
+        got = {(r.id, r.other) for r in geo.pairs(df, df, "fuel", radius).collect()}
+        cross = df.alias("a").crossJoin(df.alias("b")).filter("a.id <> b.id")
+        km = S.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
+        assert got == {tuple(r) for r in cross.filter(km <= radius).select("a.id", "b.id").collect()}
+
+
+def test_others_stats_equal_brute_force(spark):
+    import statistics as st
+
+    rows = [("a", float(x)) for x in (3, 1, 1, 9, 4)] + [("b", float(x)) for x in (5, 5, 2, 8)] + [("c", 7.0), ("c", None), ("d", 1.0), ("d", 2.0)]
+    got = robust.others_stats(spark.createDataFrame(rows, "k string, x double"), "x", ["k"]).collect()
+    for r in got:
+        others = [x for k, x in rows if k == r.k and x is not None]
+        others.remove(r.x)
+        assert r.n_others == len(others)
+        if others:
+            m = st.median(others)
+            assert (r.others_median, r.others_mad) == (m, st.median(abs(x - m) for x in others))
+        else:
+            assert r.others_median is None
+
+
+def test_columns_of_the_input_stay_whatever_their_names(spark):
+    df = spark.createDataFrame([("a", 1.0, 5, 6, 7), (None, 2.0, 5, 6, 7), (None, 4.0, 5, 6, 7)], "k string, x double, _median int, _mad int, _some int")
+    out = robust.trimmed(robust.robust_z(df, "x", ["k"]), "z", 1.0, ["k"])
+    assert {(r._median, r._mad, r._some) for r in out.collect()} == {(5, 6, 7)} and out.count() == 3
+    left = spark.createDataFrame([("g", dt.date(2026, 1, 3), 1, 2, 3)], "k string, d date, t int, side int, l int")
+    right = spark.createDataFrame([("g", dt.date(2026, 1, 1), 9)], "k string, r date, v int")
+    assert tuple(series.asof(left, right, ["k"], "d", "r").first()) == ("g", dt.date(2026, 1, 3), 1, 2, 3, dt.date(2026, 1, 1), 9)
 
 
 def test_nearest_is_found_however_far(spark):
@@ -99,9 +164,32 @@ def test_operators_take_empty_tables(spark):
     assert math.isclose(robust.error_metrics(df, "x", "lat", ["fuel"]).count(), 0)
 
 
+EVENTS = "station_id long, fuel string, updated_at timestamp, price double"
+
+
+def _at(day, hour=0, minute=0):
+    return dt.datetime(2024, 1, day, hour, minute)
+
+
+def _stream(spark, tmp_path, *batches):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    return prices.read(spark, f"{tmp_path}/in", EVENTS, files_a_batch=1)
+
+
 def test_streams_drop_repeats_and_find_sessions(spark, tmp_path):
-    rows = [(1, 7, "c", dt.datetime(2024, 1, 1, 0, m), 1.0) for m in (0, 0, 10)] + [(1, 7, "c", dt.datetime(2024, 1, 1, 9), 2.0)]
-    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/e.parquet")
-    read = lambda: prices.read(spark, f"{tmp_path}/e.parquet")
-    assert prices.run(prices.unrepeated(read()), "append").count() == 3
-    assert sorted(r.n for r in prices.run(prices.sessions(read()), "complete").collect()) == [1, 3]
+    log = _stream(spark, tmp_path, [(7, "c", _at(1, 0, m), 1.0) for m in (0, 0, 10)] + [(7, "c", _at(1, 9), 2.0)])
+    assert prices.run(prices.unrepeated(log), "append").count() == 3
+    assert sorted(r.n for r in prices.run(prices.sessions(log), "complete").collect()) == [1, 3]
+
+
+def test_a_timer_tells_stations_that_fell_silent(spark, tmp_path):
+    batches = [[(1, "c", _at(1), 1.0), (2, "c", _at(1), 2.0)], [(2, "c", _at(6), 3.0)], [(2, "c", _at(12), 4.0)], [(2, "c", _at(13), 5.0)], [(2, "c", _at(14), 5.5)]]
+    got = prices.run(prices.stale(_stream(spark, tmp_path, *batches), 7), "append").collect()
+    assert [(r.station_id, r.updated_at, r.price) for r in got] == [(1, _at(1), 1.0)]
+
+
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    got = prices.run(_stream(spark, tmp_path, [(1, "c", _at(1), 1.0)], [(2, "c", _at(2), 1.0)]), "append")
+    assert sorted(r.station_id for r in got.collect()) == [1, 2]
+    assert all("/batch=" in f for f in got.inputFiles())

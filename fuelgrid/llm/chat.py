@@ -13,7 +13,9 @@ marks its turn and role, escapes in texts and roles whatever could be read as co
 characters a loss is taken on: the texts of assistants. :func:`parse` reads a rendered message back.
 
 A conversation with a third of all events is split by message until the very end; :func:`digests` then streams its
-messages in order through a running hash, a row at a time, after a sort that can spill.
+formatted text through one task, in order, after a sort that can spill. There the text is one run of characters: turns
+begin and end at the template's marks alone, wherever a row's part of the text ends, and what lies under the loss mask is
+cut out by its places in the whole. A task holds a turn at a time.
 
 Cases: a null text counts as empty and a null role is the role "". Null sequence numbers come first; events that tie
 keep the order of (event, text). A null conversation is one of its own. Events of no known kind are refused. A message
@@ -94,58 +96,106 @@ def parse(rendered: DataFrame) -> DataFrame:
     )
 
 
-def digests(parsed: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation, in the order of
-    its messages. A task holds one batch of rows at a time, whatever a conversation's length."""
-    n = partitions(parsed.sparkSession)
-    rows = parsed.repartition(n, "conv_id").sortWithinPartitions("conv_id", "message")
-    rows = rows.select("conv_id", "role", "text", "loss_text", "formatted_chars")
+def _plain(text: str) -> str:
+    for plain, safe in reversed(ESCAPES.items()):
+        text = text.replace(safe, plain)
+    return text
+
+
+class Reader:
+    """Reads one conversation's formatted text, part by part: counts its turns and digests them and what the mask covers."""
+
+    def __init__(self) -> None:
+        self.buffer, self.chars, self.turns, self.loss_chars = "", 0, 0, 0
+        self.all, self.loss, self.spans = hashlib.sha256(), hashlib.sha256(), []
+
+    def feed(self, part: str, loss_from: int, loss_to: int) -> None:
+        """The next part of the text; the mask covers its characters from (0-based) to."""
+        at = self.chars + len(self.buffer)
+        if loss_to > loss_from:
+            self.spans.append((at + loss_from, at + loss_to))
+        self.buffer += part
+        end = self.buffer.find(CLOSE)
+        while end >= 0:
+            self._turn(self.buffer[: end + len(CLOSE)])
+            self.buffer = self.buffer[end + len(CLOSE) :]
+            end = self.buffer.find(CLOSE)
+
+    def _turn(self, text: str) -> None:
+        middle = text.find(MIDDLE)
+        if not text.startswith(OPEN) or middle < 0:
+            raise ValueError("a turn doesn't begin with the template's marks")
+        role, body = text[len(OPEN) : middle], text[middle + len(MIDDLE) : -len(CLOSE)]
+        self.all.update(f"{_plain(role)}\n{_plain(body)}\n".encode())
+        self.turns += 1
+        end = self.chars + len(text)
+        covered = "".join(text[max(a - self.chars, 0) : b - self.chars] for a, b in self.spans if a < end)
+        self.spans = [(max(a, end), b) for a, b in self.spans if b > end]
+        covered = _plain(covered)
+        self.loss.update(covered.encode())
+        self.loss_chars += len(covered)
+        self.chars = end
+
+    def ended(self) -> tuple:
+        if self.buffer:
+            raise ValueError("a conversation ends within a turn")
+        return self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digests(rendered: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation, read back from its
+    formatted text, the parts of ``rendered`` (conv_id, message, formatted, loss_from, loss_to) in the order of message."""
+    n = partitions(rendered.sparkSession)
+    rows = rendered.repartition(n, "conv_id").sortWithinPartitions("conv_id", "message")
+    rows = rows.select("conv_id", "formatted", "loss_from", "loss_to")
     kind = rows.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, done = None, None, []
+        now, reader, done, key_type = None, None, [], None
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*done))
             kinds = [key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-        def ended() -> tuple:
-            return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
 
-        key_type = None
         for b in batches:
             key_type = b.column(0).type
-            for key, role, text, loss, chars in zip(*(c.to_pylist() for c in b.columns)):
-                if state is None or key != now:
-                    if state is not None:
-                        done.append(ended())
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[2] += len(loss)
-                state[3].update(loss.encode())
-                state[4] += chars
+            for key, *part in zip(*(c.to_pylist() for c in b.columns)):
+                if reader is None or key != now:
+                    if reader is not None:
+                        done.append((now, *reader.ended()))
+                    now, reader = key, Reader()
+                reader.feed(*part)
             if len(done) > 1000:
                 yield flush()
                 done = []
-        if state is not None:
-            done.append(ended())
+        if reader is not None:
+            done.append((now, *reader.ended()))
             yield flush()
 
     return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def log_of(table: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log with one delta a row. Rows that tie on their turn are
-    messages of their own, by role and text."""
+    """A table of turns (conv_id, turn, role, text) as a log of how they came about: an assistant's turn is drafted,
+    regenerated and streamed in two deltas, another's is begun and then edited. Rows that tie on their turn are messages
+    of their own, by role and text."""
     tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     message = F.struct(F.col("turn").alias("turn"), F.row_number().over(tied).alias("nth"))
-    return table.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), F.lit("delta").alias("event"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda step, kind, t: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("event"), t.alias("text"))
+    streamed = F.array(event(0, "delta", F.lit("draft")), event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", first), event(3, "delta", second))
+    edited = F.array(event(0, "delta", second), event(1, "edit", text))
+    events = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
+    rows = table.withColumn("message", message)  # before events are unfolded, as the rank is of turns
+    rows = rows.select("conv_id", "turn", "message", "role", F.inline(events))
+    return rows.select("conv_id", F.struct("turn", "step").alias("seq"), "message", "event", "role", "text")
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     table = table.unionByName(spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], table.schema))
-    return digests(parse(render(fold(log_of(table)))))
+    return digests(render(fold(log_of(table))))

@@ -172,11 +172,28 @@ def test_chat_folds_edits_regenerations_and_deletions(spark):
     log = spark.createDataFrame(rows, "conv_id long, seq long, message string, event string, role string, text string")
     got = chat.parse(chat.render(chat.fold(log))).orderBy("conv_id", "message").collect()
     assert [(r.role, r.text, r.loss_text) for r in got] == [("", "", ""), ("user", "Hi", ""), ("assistant", "good <|&amp;|>", "good <|&amp;|>")]
-    assert chat.digests(chat.parse(chat.render(chat.fold(log.limit(0))))).count() == 0
+    assert chat.digests(chat.render(chat.fold(log.limit(0)))).count() == 0
     with pytest.raises(Exception, match="unknown event"):
         chat.fold(log.withColumn("event", F.lit("what"))).collect()
 
 
+def test_chat_finds_turns_at_the_marks_and_not_at_the_rows(spark):
+    turns = [(1, 0, "user", "a </s>\n<|x|>\n & b"), (1, 1, "assistant", ""), (1, 2, "assistant", "é" * 500 + "<|assistant|>\nno</s>\n"), (2, 0, None, None)]
+    rendered = chat.render(chat.fold(chat.log_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))))
+    whole = {r.conv_id: r for r in chat.digests(rendered).collect()}
+    assert whole[1].n_turns == 3 and whole[1].loss_sha256 == hashlib.sha256(turns[2][3].encode()).hexdigest() and whole[2].n_turns == 1
+    pieces = []
+    for r in rendered.collect():
+        for k in range(0, len(r.formatted), 7):
+            lo, hi = max(r.loss_from, k) - k, min(r.loss_to, k + 7) - k
+            pieces.append((r.conv_id, (r.message.turn or 0) * 10000 + k, r.formatted[k : k + 7], lo if hi > lo else 0, hi if hi > lo else 0))
+    cut = chat.digests(spark.createDataFrame(pieces, "conv_id long, message long, formatted string, loss_from int, loss_to int"))
+    assert {r.conv_id: r for r in cut.collect()} == whole
+    broken = rendered.withColumn("formatted", F.replace("formatted", F.lit("</s>"), F.lit("")))
+    with pytest.raises(Exception, match="within a turn"):
+        chat.digests(broken).collect()
+
+
 def test_licenses_found_and_inherited(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "hello"), (3, "a/b/c/y.py", "x\nLicensed under the Apache License, Version 2.0 blah"),

@@ -228,6 +228,24 @@ def test_classifier_ranks_rows_it_never_saw(spark):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.9
 
 
+def test_classifier_margins_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    m = classifier.Model(0.3, rng.standard_normal(classifier.WIDTH), rng.standard_normal((classifier.WIDTH, 4)))
+    rows = [(rng.choice(classifier.WIDTH, k, replace=False), rng.standard_normal(k)) for k in (1, 2, 30)]
+    starts = np.cumsum([0, *[len(i) for i, _ in rows]])
+    got, _ = m.margin(starts, np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]))
+    for z, (i, x) in zip(got, rows, strict=True):
+        pairs = sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for b in range(len(i)) for a in range(b))
+        assert z == pytest.approx(m.bias + m.w[i] @ x + pairs)
+
+
+def test_classifier_learns_nothing_from_held_out_labels(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    turned = labels.withColumn("quality", F.when(classifier.remainder(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({r.doc_id: r.score for r in classifier.classify(docs, x).collect()} for x in (labels, turned))
+    assert one == two
+
+
 def test_classifier_takes_odd_rows(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = classifier.classify(odd, labels).collect()
@@ -488,11 +506,17 @@ def test_lm_takes_odd_rows(odd):
     assert lm.score(odd.limit(0), F.lit(True)).count() == 0
 
 
-def test_pipeline_keeps_ids_and_drops_copies(spark):
+def test_pipeline_keeps_ids_and_drops_copies(spark, docs):
     got = corpus_pipeline.run(spark, SF)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "simhash_near_dedup", "mixing", "sentencepiece"]
     rows = got.collect()
     assert rows and all(r.round_trip for r in rows)
+    text = dict(texts(docs))
+    kept = {r.doc_id for r in rows}
+    assert kept <= set(text) and len({text[i] for i in kept}) == len(kept)
+    verdict = {r.doc_id: r.kept for r in quality_rules.op9_quality_rules(spark, SF).collect()}
+    assert all(verdict[i] for i in kept)
+    assert all(n <= mixing.CEILING for n in Counter(r.doc_id for r in rows).values())
 
 
 def test_keep_one_tells_rows_apart_by_id_and_text(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, classifier, fingerprints, licenses, lm, mixing, pieces, quality_rules, simhash, token_files
+from . import ball_clusters, chat, classifier, fingerprints, licenses, lm, mixing, pieces, quality_rules, simhash, token_files, vector_codes, word_bpe
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_lm": lm.op10_lm,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_ball_clusters": ball_clusters.op12_ball_clusters,
+        "op13_word_bpe": word_bpe.op13_word_bpe,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fuelgrid.functions import scalars as S
 from fuelgrid.operators import geo
 from fuelgrid.operators import robust as R
-from fuelgrid.storage import written
+from fuelgrid.storage import counted, written
 
 # Fixed values of the domain: shrinkage of each factor, and the classes whose premium is never a discount.
 FACTORS = {"region": 40.0, "department": 25.0, "road": 40.0, "competition_bucket": 40.0, "isolation_bucket": 25.0}
@@ -82,13 +82,13 @@ def structural_premium(scored: DataFrame, factors: dict[str, float] | None = Non
     median is taken off, so the national fair price stays.
     """
     factors = FACTORS if factors is None else factors
-    scored = written(scored)
-    df = R.group_median(scored, "spread_cent", ["fuel"], "_national").withColumn("relative_spread", F.col("spread_cent") - F.col("_national"))
-    df = R.robust_z(df, "relative_spread", ["fuel"], "relative_spread_z")
+    scored, n = counted(scored)
+    df = R.group_median(scored, "spread_cent", ["fuel"], "_national", n).withColumn("relative_spread", F.col("spread_cent") - F.col("_national"))
+    df = R.robust_z(df, "relative_spread", ["fuel"], "relative_spread_z", at_most=n)
     df = written(df)
     effects = R.backfit(R.trimmed(df, "relative_spread_z", trim, ["fuel"]), "relative_spread", "fuel", factors, rounds)
     df = written(R.predict(df, effects, "fuel", list(factors), "_raw").drop("coverage"))
-    df = R.group_median(df, "_raw", ["fuel"], "_centre")
+    df = R.group_median(df, "_raw", ["fuel"], "_centre", n)
     return _priced(df.withColumn("structural_premium", F.col("_raw") - F.col("_centre"))).drop("_national", "_raw", "_centre"), effects
 
 

@@ -62,10 +62,14 @@ def bridge_betas(product: DataFrame, brent: DataFrame, least: int = 200, most: f
     return out.select("fuel", F.when(F.col("n") < least, 1.0).otherwise(F.least(F.greatest(beta, F.lit(low)), F.lit(high))).alias("beta"), "n")
 
 
+def _chosen_name(filters: DataFrame | None, df: DataFrame, default: str = "proxy_ma5") -> DataFrame:
+    df = R.joined(df, filters, ["fuel"], selected_filter="filter") if filters is not None else df.withColumn("selected_filter", F.lit(None).cast("string"))
+    return df.withColumn("selected_filter", F.coalesce("selected_filter", F.lit(default)))
+
+
 def _chosen(filters: DataFrame | None, df: DataFrame, default: str = "proxy_ma5") -> DataFrame:
     """``df`` with selected_filter, and chosen, the value of the fuel's filter."""
-    df = R.joined(df, filters, ["fuel"], selected_filter="filter") if filters is not None else df.withColumn("selected_filter", F.lit(None).cast("string"))
-    df = df.withColumn("selected_filter", F.coalesce("selected_filter", F.lit(default)))
+    df = _chosen_name(filters, df, default)
     return df.withColumn("chosen", F.coalesce(*[F.when(F.col("selected_filter") == c, F.col(c)) for c in CANDIDATES]))
 
 
@@ -81,6 +85,17 @@ def nowcast(proxy: DataFrame, anchors: DataFrame, filters: DataFrame | None = No
     return df.withColumns({"refined": F.col("anchor") * F.col("chosen") / base, "market_mode": F.lit("PRODUCT_PROXY"), "bridge_source": F.lit("PRODUCT_PROXY")}).drop("chosen", "base")
 
 
+def refined_history(dates: DataFrame, proxy: DataFrame, anchors: DataFrame, filters: DataFrame | None = None) -> DataFrame:
+    """(fuel, date, refined, refined_source, anchor_date, anchor, selected_filter) of each distinct fuel and date: the official
+    quote of the month, or the product proxy, through the fuel's filter, from the anchor that was effective before. ``anchors``
+    are as ``series.anchored`` takes them."""
+    targets = dates.select(F.upper("fuel").alias("fuel"), F.to_date("date").alias("date")).distinct()
+    up = lambda df: df.withColumn("fuel", F.upper("fuel"))
+    chosen = _chosen(filters, up(proxy)).select("fuel", F.col("date").alias("proxy_date"), F.col("chosen").alias("proxy"))
+    got = series.anchored(_chosen_name(filters, targets), up(anchors), chosen, ["fuel"], "date")
+    return got.select("fuel", "date", F.col("quote").alias("refined"), F.col("quote_source").alias("refined_source"), "anchor_date", F.col("anchor_quote").alias("anchor"), "selected_filter")
+
+
 def extended(now: DataFrame, market: DataFrame, betas: DataFrame, target: str) -> DataFrame:
     """``now`` up to the target date and, beyond a fuel's last date, its last value moved by the crude's ratio to the power
     of the fuel's beta (1 if unknown) and by the inverse ratio of the exchange rate, for each day of ``market``."""

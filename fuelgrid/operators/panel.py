@@ -1,8 +1,11 @@
 """The historical panel of station prices, the additive model fitted to it, and the model's validation.
 
 A panel has station_id, fuel, date, relative (cents above the date's national median), robust_score and factor columns.
-A model is three tables: effects, meta (a row for each fuel) and bias (a row for each station and fuel). Null labels are
-UNKNOWN; an empty panel gives empty tables.
+A model is three tables: effects, meta (a row for each fuel) and bias (a row for each station and fuel). Null labels, and
+factors that a table doesn't have, are UNKNOWN; an empty panel gives empty tables.
+
+A panel may hold several folds of rows, told apart by a column, each with its own model: all are fitted in the steps of one,
+and the tables have that column too. So the regimes and the steps of an ablation cost one fit over their rows together.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from fuelgrid.functions import scalars as S
 from fuelgrid.operators import local, series
 from fuelgrid.operators import robust as R
-from fuelgrid.storage import written
+from fuelgrid.storage import counted, written
 
 # Fixed values of the domain: shrinkage of each factor by stations, and the factors that enter the price of each fuel.
 SHRINK = {"region": 80.0, "department": 40.0, "road": 100.0, "competition_bucket": 80.0, "isolation_bucket": 50.0, "accessibility_class": 10.0}
@@ -39,11 +42,12 @@ def monthly_panel(log: DataFrame, start: str, end: str, rules: DataFrame | None
     if rules is not None:
         own = written(snaps.withColumnsRenamed({"fuel": "_fuel"}).withColumns({"fuel": F.concat_ws("|", "_fuel", F.col("date").cast("string")), "id": F.col("station_id")}))
         snaps = local.accessibility(local.with_features(own), rules).drop("fuel", "id").withColumnRenamed("_fuel", "fuel")
-    df = R.group_median(snaps, "price", ["date", "fuel"], "national_median").withColumn("relative", 100 * (F.col("price") - F.col("national_median")))
-    return R.robust_z(df, "relative", ["date", "fuel"], "robust_score", floor)
+    snaps, n = counted(snaps)
+    df = R.group_median(snaps, "price", ["date", "fuel"], "national_median", n).withColumn("relative", 100 * (F.col("price") - F.col("national_median")))
+    return R.robust_z(df, "relative", ["date", "fuel"], "robust_score", floor, n)
 
 
-def stabilized(factor: str, effects: DataFrame, fuel: str = "fuel", least: int = 10) -> DataFrame:
+def stabilized(factor: str, effects: DataFrame, keys: Sequence[str] = ("fuel",), least: int = 10) -> DataFrame:
     """``effects`` (fuel, level, effect, n_units) under the rules of the trade, with provisional_effect and constraint.
 
     Accessibility: the mainland is 0, classes that are hard to reach are 0 at least, and a class of fewer than ``least``
@@ -57,105 +61,111 @@ def stabilized(factor: str, effects: DataFrame, fuel: str = "fuel", least: int =
     df = effects.withColumns({"provisional_effect": e, "constraint": F.lit("NONE")})
     if factor != "road":
         return df
-    base = F.coalesce(F.max(F.when(level == "ROUTE", F.col("effect"))).over(Window.partitionBy(fuel)), F.lit(0.0))  # levels, not rows
-    own, sp95 = F.col("effect") - base, F.col(fuel) == "SP95"
+    base = F.coalesce(F.max(F.when(level == "ROUTE", F.col("effect"))).over(Window.partitionBy(*keys)), F.lit(0.0))  # levels, not rows
+    own, sp95 = F.col("effect") - base, F.col("fuel") == "SP95"
     moved = F.when(level == "ROUTE", 0.0).when(level == "AUTOROUTE", F.greatest(own, F.lit(0.0))).otherwise(own)
     named = F.when(level == "ROUTE", "SP95_ROUTE_REFERENCE_ZERO").when(level == "AUTOROUTE", "SP95_AUTOROUTE_NONNEGATIVE_PREMIUM").otherwise("NONE")
     return df.withColumns({"constraint": F.when(sp95, named).otherwise("NONE"), "effect": F.when(sp95, moved).otherwise(F.col("effect"))})
 
 
 class Model:
-    def __init__(self, effects: DataFrame, meta: DataFrame, bias: DataFrame | None, active: dict[str | None, tuple[str, ...]]):
-        """``active`` names the factors in the price by fuel; None stands for all other fuels."""
-        self.effects, self.meta, self.bias, self.active = effects, meta, bias, active
+    def __init__(self, effects: DataFrame, meta: DataFrame, bias: DataFrame | None, active: dict[str, Column], keys: tuple[str, ...] = ("fuel",)):
+        """``active`` says of each factor, by a condition on the keys, where it is in the price."""
+        self.effects, self.meta, self.bias, self.active, self.keys = effects, meta, bias, active, keys
+
+
+def _by_fuel(table: dict[str, tuple[str, ...]], others: tuple[str, ...]) -> dict[str, Column]:
+    """factor -> where it counts: for the fuels that ``table`` names with it, and with ``others`` for fuels it doesn't name."""
+    fuel = F.col("fuel")
+    out = {}
+    for f in SHRINK:
+        named = fuel.isin([k for k, v in table.items() if f in v])
+        rest = ~fuel.isin(list(table)) & F.lit(f in others)
+        if f in others or any(f in v for v in table.values()):
+            out[f] = F.coalesce(named | rest, F.lit(f in others))
+    return out
 
-    def is_active(self, factor: str) -> Column:
-        fuel, named = F.col("fuel"), [f for f in self.active if f is not None]
-        inside = fuel.isin([f for f in named if factor in self.active[f]]) if named else F.lit(False)
-        return inside | (~fuel.isin(named) & F.lit(factor in self.active[None])) if None in self.active else inside
 
+def _known(df: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """``df`` with all of the factors, UNKNOWN where it has none."""
+    missing = [f for f in factors if f not in df.columns]
+    return df.withColumns({f: F.lit("UNKNOWN") for f in missing}) if missing else df
 
-def _by_factors(active: dict, fuels: Sequence[str | None]) -> dict[tuple[str, ...], list]:
-    out: dict[tuple[str, ...], list] = {}
-    for f in fuels:
-        out.setdefault(tuple(active[f]), []).append(f)
-    return out
 
-
-def fit(panel: DataFrame, factors: Sequence[str] | None = None, rounds: int = 10, trim: float = 4.0, with_bias: bool = True) -> Model:
-    """The model of a panel. Without ``factors``, each fuel has its own active factors, and its diagnostic ones are
-    estimated on what these leave but never enter the price; else all of ``factors`` are active."""
+def fit(panel: DataFrame, factors: Sequence[str] | dict[int, Sequence[str]] | None = None, rounds: int = 10, trim: float = 4.0, with_bias: bool = True, fold: str | None = None) -> Model:
+    """The model of a panel, or of each fold of it. Without ``factors``, each fuel has its own active factors, and its
+    diagnostic ones are estimated on what these leave but never enter the price; else all of ``factors`` are active, or of
+    each fold those that it names for it."""
+    keys = (fold, "fuel") if fold else ("fuel",)
+    extra: dict[str, Column] = {}
     if factors is None:
-        rest = [f for f in SHRINK if f != "accessibility_class" and f in panel.columns]
-        active = {k: tuple(f for f in v if f in panel.columns) for k, v in ACTIVE.items()} | {None: tuple(rest)}
-        extra = {k: tuple(f for f in v if f in panel.columns) for k, v in DIAGNOSTIC.items()} | {None: tuple(f for f in ("accessibility_class",) if f in panel.columns)}
+        rest = tuple(f for f in SHRINK if f != "accessibility_class")
+        active, extra = _by_fuel(ACTIVE, rest), _by_fuel(DIAGNOSTIC, ("accessibility_class",))
+        active, extra = ({f: c for f, c in x.items() if f in panel.columns} for x in (active, extra))
+    elif isinstance(factors, dict):
+        active = {f: F.col(fold).isin([k for k, v in factors.items() if f in v]) for f in dict.fromkeys(f for v in factors.values() for f in v)}
     else:
-        active, extra = {None: tuple(factors)}, {None: ()}
-    panel = written(panel)
-    train = written(R.trimmed(panel, "robust_score", trim, ["fuel"]))
-    named = [f for f in active if f is not None]
-    of = lambda df, fuels: df.filter(F.col("fuel").isin([f for f in fuels if f is not None]) | (~F.col("fuel").isin(named) if None in fuels and named else F.lit(None in fuels)))
-    effects = None
-    for names, fuels in _by_factors(active, list(active)).items():
-        if not names:
-            continue
-        adjusted = lambda f, e: stabilized(f, e, "g")
-        got = R.backfit(of(train, fuels), "relative", "fuel", {f: SHRINK[f] for f in names}, rounds, "station_id", adjusted)
-        effects = got if effects is None else effects.unionByName(got)
-    if effects is None:
-        empty = "string factor, string level, double effect, long n_obs, long n_units, double provisional_effect, string constraint"
-        shape = ", ".join(f"{c.split()[1]} {c.split()[0]}" for c in empty.split(", "))
-        effects = panel.sparkSession.createDataFrame([], f"fuel {panel.schema['fuel'].dataType.simpleString()}, {shape}")
+        active = {f: F.lit(True) for f in factors}
+    panel = written(_known(panel, list(active)))
+    train = written(R.trimmed(panel, "robust_score", trim, keys))
+    adjust = {f: (lambda e, f=f: stabilized(f, e, keys)) for f in active if f in ("road", "accessibility_class")}
+    effects = R.backfit(train, "relative", keys, {f: SHRINK[f] for f in active}, rounds, "station_id", adjust, active)
+    for c, none in (("provisional_effect", F.col("effect")), ("constraint", F.lit("NONE"))):
+        effects = effects.withColumn(c, F.coalesce(c, none) if c in effects.columns else none)
     effects = effects.withColumn("role", F.lit("ACTIVE"))
-    model = Model(effects, None, None, active)
-    centre = R.group_medians(_summed(train, model), "_sum", ["fuel"]).withColumnRenamed("median", "centre")
-    facts = train.groupBy("fuel").agg(F.min("date").alias("train_start"), F.max("date").alias("train_end"), F.count("*").alias("n_obs"), F.count_distinct("station_id").alias("n_units"), F.count_distinct("date").alias("n_months"))
-    model.meta = written(R.joined(facts, centre, ["fuel"], centre="centre"))
-    left = R.joined(_summed(train, model), model.meta, ["fuel"], _centre="centre")
-    left = left.withColumn("_left", F.col("relative") - (F.col("_sum") - F.col("_centre")))
-    for f in dict.fromkeys(f for v in extra.values() for f in v):
-        rows = of(left, [k for k, v in extra.items() if f in v]).withColumn("level", S.or_unknown(F.col(f)))
-        got = stabilized(f, R.shrunk_effect(rows, F.col("_left"), ["fuel", "level"], SHRINK[f], "station_id").filter("effect IS NOT NULL"))
-        effects = effects.unionByName(got.withColumns({"factor": F.lit(f), "role": F.lit("DIAGNOSTIC_ONLY")}))
+    model = Model(effects, None, None, active, keys)
+    summed, n = counted(_summed(train, model))
+    centre = R.group_medians(summed, "_sum", keys, n)
+    facts = train.groupBy(*keys).agg(F.min("date").alias("train_start"), F.max("date").alias("train_end"), F.count("*").alias("n_obs"), F.count_distinct("station_id").alias("n_units"), F.count_distinct("date").alias("n_months"))
+    model.meta = written(R.joined(facts, centre, keys, centre="median"))
+    if extra:
+        left = R.joined(summed, model.meta, keys, _centre="centre")
+        left = left.withColumn("_left", F.col("relative") - (F.col("_sum") - F.col("_centre")))
+        for f, where in extra.items():
+            rows = left.filter(where).withColumn("level", S.or_unknown(F.col(f)))
+            got = stabilized(f, R.shrunk_effect(rows, F.col("_left"), [*keys, "level"], SHRINK[f], "station_id").filter("effect IS NOT NULL"), keys)
+            effects = effects.unionByName(got.withColumns({"factor": F.lit(f), "role": F.lit("DIAGNOSTIC_ONLY")}))
     sure = S.unit_confidence(F.col("n_units"))
     model.effects = written(effects.withColumn("confidence", sure).withColumn("status", F.when(sure == "INSUFFICIENT", "PROVISIONAL").otherwise("ESTIMATED")))
     if with_bias:
-        out = R.joined(_summed(panel, model), model.meta, ["fuel"], _centre="centre").withColumn("_left", F.col("relative") - (F.col("_sum") - F.col("_centre")))
-        model.bias = lasting_bias(out, "_left")
+        out = R.joined(_summed(panel, model), model.meta, keys, _centre="centre").withColumn("_left", F.col("relative") - (F.col("_sum") - F.col("_centre")))
+        model.bias = lasting_bias(out, "_left", keys=keys)
     return model
 
 
 def _summed(df: DataFrame, model: Model, coverage: bool = False) -> DataFrame:
     """``df`` with _sum, the active effects of each row, and their matches and least confidence."""
-    total, seen, of, ranks = F.lit(0.0), F.lit(0), F.lit(0), []
-    for f in dict.fromkeys(f for v in model.active.values() for f in v):
+    total, seen, of, labels = F.lit(0.0), F.lit(0), F.lit(0), []
+    df = _known(df, list(model.active))
+    for f, on in model.active.items():
         part = model.effects.filter((F.col("factor") == f) & (F.col("role") == "ACTIVE"))
         cols = {f"_e_{f}": "effect"} | ({f"_c_{f}": "confidence"} if coverage else {})
         df = df.withColumn(f"_l_{f}", S.or_unknown(F.col(f)))
-        df = R.joined(df, part.withColumnRenamed("level", f"_l_{f}"), ["fuel", f"_l_{f}"], **cols).drop(f"_l_{f}")
-        on, e = model.is_active(f), F.col(f"_e_{f}")
+        df = R.joined(df, part.withColumnRenamed("level", f"_l_{f}"), [*model.keys, f"_l_{f}"], **cols).drop(f"_l_{f}")
+        e = F.col(f"_e_{f}")
         total = total + F.coalesce(F.when(on, e), F.lit(0.0))
         seen, of = seen + (on & e.isNotNull()).cast("int"), of + on.cast("int")
         if coverage:
-            ranks.append(F.when(on, F.coalesce(F.col(f"_c_{f}"), F.lit("INSUFFICIENT"))))
+            labels.append(F.when(on, F.coalesce(F.col(f"_c_{f}"), F.lit("INSUFFICIENT"))))
     more = {"_sum": total}
     if coverage:
         least = F.lit("INSUFFICIENT")
         for label in ("INSUFFICIENT", "LOW", "MEDIUM", "HIGH")[::-1]:
-            least = F.when(F.array_contains(F.array(*ranks), label), label).otherwise(least) if ranks else least
+            least = F.when(F.array_contains(F.array(*labels), label), label).otherwise(least) if labels else least
         more |= {"coverage": F.coalesce(F.try_divide(seen, of), F.lit(0.0)), "premium_confidence": least}
     return df.withColumns(more).drop(*[c for c in df.columns if c.startswith(("_e_", "_c_"))])
 
 
 def predict(df: DataFrame, model: Model) -> DataFrame:
     """``df`` (fuel, factors) with structural_premium, coverage and premium_confidence, the least of its levels'."""
-    out = R.joined(_summed(df, model, True), model.meta, ["fuel"], _centre="centre")
+    out = R.joined(_summed(df, model, True), model.meta, model.keys, _centre="centre")
     return out.withColumn("structural_premium", F.col("_sum") - F.coalesce("_centre", F.lit(0.0))).drop("_sum", "_centre")
 
 
-def lasting_bias(df: DataFrame, residual: str, shrink: float = 6.0) -> DataFrame:
-    """(fuel, station_id, raw_bias, bias, months, n_obs, confidence, status): what a station keeps above the model."""
-    out = df.groupBy("fuel", "station_id").agg(F.median(residual).alias("raw_bias"), F.count_distinct("date").alias("months"), F.count(residual).alias("n_obs"))
+def lasting_bias(df: DataFrame, residual: str, shrink: float = 6.0, keys: Sequence[str] = ("fuel",)) -> DataFrame:
+    """(keys, station_id, raw_bias, bias, months, n_obs, confidence, status): what a station keeps above the model."""
+    each = [*keys, "station_id"]
+    out = df.groupBy(*each).agg(F.median(residual).alias("raw_bias"), F.count_distinct("date").alias("months"), F.count(residual).alias("n_obs"))  # a row a date
     out = out.withColumn("bias", F.col("raw_bias") * F.col("months") / (F.col("months") + F.lit(shrink)))
     return out.withColumns({"confidence": S.months_confidence(F.col("months")), "status": S.bias_status(F.col("bias"), F.col("months"))})
 
@@ -200,47 +210,42 @@ def errors(test: DataFrame, keys: Sequence[str] = ("fuel",)) -> DataFrame:
 
 def split(panel: DataFrame, test_dates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(train, test) of the fuels that ``test_dates`` (fuel, date) names."""
-    test = panel.join(F.broadcast(test_dates), ["fuel", "date"], "left_semi")  # a few dates for each fuel
-    train = panel.join(F.broadcast(test_dates.select("fuel").distinct()), "fuel", "left_semi").join(F.broadcast(test_dates), ["fuel", "date"], "left_anti")
+    test = panel.join(test_dates, ["fuel", "date"], "left_semi")
+    train = panel.join(test_dates.select("fuel").distinct(), "fuel", "left_semi").join(test_dates, ["fuel", "date"], "left_anti")
     return train, test
 
 
 def validate(panel: DataFrame, months: int = 3, factors: Sequence[str] | None = None, **how) -> DataFrame:
     """The errors on each fuel's last ``months`` dates of a model of those before. Fuels with fewer than four dates
     before are left out."""
-    train, test = split(panel, last_dates(panel, months, 3))
+    panel = written(panel)
+    train, test = split(panel, written(last_dates(panel, months, 3)))
     return errors(predict(test, fit(train, factors, with_bias=False, **how)))
 
 
 def regimes(panel: DataFrame, shock: str, pre: int = 3, onset: int = 4, current: int = 3, **how) -> DataFrame:
-    """The errors on three stretches of time around a shock, each of a model of all that came before."""
-    day = F.lit(shock).cast("date")
-    w = Window.partitionBy("fuel")
+    """The errors on three stretches of time around a shock, each of a model of all that came before; one fit for all."""
+    day, panel = F.lit(shock).cast("date"), written(panel)
+    w = Window.partitionBy("fuel", "post")
     dates = panel.select("fuel", "date").distinct().withColumn("post", F.col("date") >= day)
-    dates = dates.withColumns({"from_end": F.row_number().over(w.partitionBy("fuel", "post").orderBy(F.col("date").desc())), "k": F.row_number().over(w.partitionBy("fuel", "post").orderBy("date")), "n": F.count("*").over(w.partitionBy("fuel", "post"))})
-    parts = {
-        "PRE_SHOCK": dates.filter(~F.col("post") & (F.col("from_end") <= pre) & (F.col("n") > pre)),
-        "SHOCK_ONSET": dates.filter(F.col("post") & (F.col("k") <= onset)),
-        "CURRENT_REGIME": dates.filter(F.col("post") & (F.col("k") > onset) & (F.col("k") <= onset + current)),
-    }
-    out = None
-    for name, chosen in parts.items():
-        first = chosen.groupBy("fuel").agg(F.min("date").alias("first"))
-        rows = R.joined(panel, first, ["fuel"], _first="first")
-        train = rows.filter(F.col("date") < F.col("_first")).drop("_first")
-        known = train.select("fuel").distinct()
-        test = panel.join(F.broadcast(chosen.select("fuel", "date")), ["fuel", "date"], "left_semi").join(known, "fuel", "left_semi")
-        got = errors(predict(test, fit(train, with_bias=False, **how))).withColumn("split", F.lit(name))
-        out = got if out is None else out.union(got)
-    return out
+    dates = dates.withColumns({"from_end": F.row_number().over(w.orderBy(F.col("date").desc())), "k": F.row_number().over(w.orderBy("date")), "n": F.count("*").over(w)})
+    post, k = F.col("post"), F.col("k")
+    named = F.when(~post & (F.col("from_end") <= pre) & (F.col("n") > pre), "PRE_SHOCK").when(post & (k <= onset), "SHOCK_ONSET").when(post & (k <= onset + current), "CURRENT_REGIME")
+    chosen = written(dates.select("fuel", "date", named.alias("split")).filter("split IS NOT NULL"))  # dates, not rows
+    first = chosen.groupBy("fuel", "split").agg(F.min("date").alias("_first"))
+    train = written(panel.join(first, "fuel").filter(F.col("date") < F.col("_first")).drop("_first"))
+    test = panel.join(chosen, ["fuel", "date"]).join(train.select("fuel", "split").distinct(), ["fuel", "split"], "left_semi")
+    return errors(predict(test, fit(train, with_bias=False, fold="split", **how)), ("split", "fuel"))
 
 
 def ablation(panel: DataFrame, order: Sequence[str], months: int = 3, **how) -> DataFrame:
-    """The errors with none of the factors, the first, the first two ... of ``order``."""
-    train, test = split(panel, last_dates(panel, months, 3))
-    train, test = written(train), written(test)
-    out = errors(test.withColumn("structural_premium", F.lit(0.0))).withColumns({"step": F.lit(0), "factors": F.lit("")})
-    for k in range(1, len(order) + 1):
-        got = errors(predict(test, fit(train, order[:k], with_bias=False, **how)))
-        out = out.union(got.withColumns({"step": F.lit(k), "factors": F.lit("+".join(order[:k]))}))
-    return out
+    """The errors with none of the factors, the first, the first two ... of ``order``; one fit for all of these steps."""
+    panel = written(panel)
+    train, test = split(panel, written(last_dates(panel, months, 3)))
+    sets = {k: tuple(order[:k]) for k in range(len(order) + 1)}
+    steps = F.explode(F.array(*map(F.lit, sets))).alias("step")
+    model = fit(train.select("*", steps), sets, with_bias=False, fold="step", **how)
+    test = predict(test.select("*", steps), model)
+    test = test.withColumn("structural_premium", F.when(F.col("step") == 0, 0.0).otherwise(F.col("structural_premium")))
+    names = F.element_at(F.array(*[F.lit("+".join(v)) for v in sets.values()]), F.col("step") + 1)
+    return errors(test, ("step", "fuel")).withColumn("factors", names)

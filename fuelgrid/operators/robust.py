@@ -1,8 +1,7 @@
 """Medians and what is built of them: robust scores, shrunk group effects, backfitting of additive effects.
 
-A median of a few large groups is taken from the counts of each group's different values, which every task forms of its
-own rows first; the table of groups is then joined back, so no task holds a group's rows. A join to such a table is
-Spark's to plan: adaptive execution broadcasts it if its measured size allows, else shuffles and splits skewed keys.
+Medians are those of ``ranks``: exact, and no task holds a large group's rows. The table of groups is then joined back, which
+is Spark's to plan: adaptive execution broadcasts it if its measured size allows, else shuffles and splits skewed keys.
 
 Cases: null keys are a group of their own. Null values have no part in a median and get a null score (0 without a
 floor); a group without values has the median NULL. Columns of the input keep their values whatever their names, but
@@ -11,13 +10,15 @@ for the output's own name, which is overwritten.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuelgrid.functions.scalars import MAD_TO_SIGMA
-from fuelgrid.storage import written
+from fuelgrid.operators import ranks
+from fuelgrid.storage import counted, written
 
 
 def _apart(df: DataFrame, *names: str) -> list[str]:
@@ -31,13 +32,17 @@ def _apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def group_medians(df: DataFrame, value: Column | str, keys: Sequence[str]) -> DataFrame:
-    """(keys, median) of each group, by the counts of its different values."""
-    v = F.col(value) if isinstance(value, str) else value
+def _narrow(df: DataFrame, value: Column | str, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """(k0, k1 ..., v) of ``df``, and the names of the keys."""
+    v = F.col(f"`{value}`") if isinstance(value, str) else value
     names = [f"k{i}" for i in range(len(keys))]
-    counts = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], v.cast("double").alias("v")).groupBy(*names, "v").agg(F.count("*").alias("n"))
-    out = counts.groupBy(*names).agg(F.percentile("v", 0.5, F.col("n")).alias("median"))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "median")
+    return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], v.cast("double").alias("v")), names
+
+
+def group_medians(df: DataFrame, value: Column | str, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
+    """(keys, median) of each group. ``at_most``: rows that there can be, if that is known."""
+    rows, names = _narrow(df, value, keys)
+    return ranks.medians(rows, names, at_most).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "median")
 
 
 def joined(df: DataFrame, groups: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
@@ -51,25 +56,26 @@ def joined(df: DataFrame, groups: DataFrame, keys: Sequence[str], **columns: str
     return df.join(g, on, "left").drop(*right)
 
 
-def group_median(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+def group_median(df: DataFrame, value: str, keys: Sequence[str], out: str, at_most: int | None = None) -> DataFrame:
     """Each row with its group's median."""
-    return joined(df.drop(out) if out in df.columns else df, group_medians(df, value, keys), keys, **{out: "median"})
+    return joined(df.drop(out) if out in df.columns else df, group_medians(df, value, keys, at_most), keys, **{out: "median"})
 
 
-def mad(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+def mad(df: DataFrame, value: str, keys: Sequence[str], at_most: int | None = None) -> DataFrame:
     """(keys, median, mad) of each group."""
-    names = [f"k{i}" for i in range(len(keys))]
-    counts = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], F.col(f"`{value}`").cast("double").alias("v")).groupBy(*names, "v").agg(F.count("*").alias("n"))
-    m = joined(counts, counts.groupBy(*names).agg(F.percentile("v", 0.5, F.col("n")).alias("m")), names, median="m")
-    out = m.groupBy(*names, "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), 0.5, F.col("n")).alias("mad"))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "median", "mad")
+    rows, names = _narrow(df, value, keys)
+    if at_most is None:
+        rows, at_most = counted(rows)
+    away = joined(rows, ranks.medians(rows, names, at_most), names, m="median").withColumn("v", F.abs(F.col("v") - F.col("m")))
+    out = ranks.medians(away, [*names, "m"], at_most)  # a group has one median
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("m").alias("median"), F.col("median").alias("mad"))
 
 
-def robust_z(df: DataFrame, value: str, keys: Sequence[str], out: str = "z", floor: float | None = None) -> DataFrame:
+def robust_z(df: DataFrame, value: str, keys: Sequence[str], out: str = "z", floor: float | None = None, at_most: int | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD). Without ``floor`` a scale of 0 or NULL gives 0, for null values too; with it the
     scale is ``floor`` at least."""
     m, s = _apart(df, "_median", "_mad")
-    df = joined(df, mad(df, value, keys), keys, **{m: "median", s: "mad"})
+    df = joined(df, mad(df, value, keys, at_most), keys, **{m: "median", s: "mad"})
     scale, off = MAD_TO_SIGMA * F.col(s), F.col(f"`{value}`") - F.col(m)
     z = F.when(scale > 0, off / scale).otherwise(0.0) if floor is None else off / F.greatest(scale, F.lit(floor))
     return df.withColumn(out, z).drop(m, s)
@@ -88,42 +94,132 @@ def shrunk_effect(df: DataFrame, value: Column, keys: Sequence[str], shrink: flo
 
     n is the rows with a value or, given a ``unit``, the distinct units; then the median is that of the units' medians.
     """
-    rows = df.withColumn("_v", value)
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], value.cast("double").alias("v"), *([F.col(f"`{unit}`").alias("u")] if unit else []))
     if unit is None:
-        out = rows.groupBy(*keys).agg(F.median("_v").alias("m"), F.count("_v").alias("n_obs"))
-        out = out.withColumn("n_units", F.col("n_obs"))
+        rows, n = counted(rows)
+        sizes = rows.groupBy(*names).agg(F.count("v").alias("n_obs")).withColumn("n_units", F.col("n_obs"))
     else:
-        inner = rows.filter("_v IS NOT NULL").groupBy(*keys, unit).agg(F.median("_v").alias("_u"), F.count("_v").alias("_n"))
-        out = inner.groupBy(*keys).agg(F.median("_u").alias("m"), F.sum("_n").alias("n_obs"), F.count("*").alias("n_units"))
-    return out.withColumn("effect", F.col("m") * F.col("n_units") / (F.col("n_units") + F.lit(float(shrink)))).drop("m")
+        rows, n = counted(rows.filter("v IS NOT NULL").groupBy(*names, "u").agg(F.median("v").alias("v"), F.count("*").alias("n")))  # a unit's own rows are few
+        sizes = rows.groupBy(*names).agg(F.sum("n").alias("n_obs"), F.count("*").alias("n_units"))
+    out = joined(sizes, ranks.medians(rows.select(*names, "v"), names, n), names, m="median")
+    effect = F.col("m") * F.col("n_units") / (F.col("n_units") + F.lit(float(shrink)))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n_obs", "n_units", effect.alias("effect"))
+
 
+#: Levels of all factors and groups that backfitting keeps on the driver; beyond, they are a table that each step joins.
+LEVELS_ON_DRIVER = 20_000
 
-def backfit(df: DataFrame, value: str, group: str, factors: dict[str, float], rounds: int, unit: str | None = None, adjust=None) -> DataFrame:
+
+def _array(values: Sequence[float | None]) -> Column:
+    """A constant array: one object to Spark, so that a step's code is that of the step before."""
+    return F.lit(np.array([0.0 if x is None else x for x in values], np.float64))
+
+
+def backfit(df: DataFrame, value: str, group: str | Sequence[str], factors: dict[str, float], rounds: int, unit: str | None = None, adjust: dict[str, Callable[[DataFrame], DataFrame]] | None = None, active: dict[str, Column] | None = None) -> DataFrame:
     """(group, factor, level, effect, n_obs, n_units): additive effects of each factor on ``value``, by median
     backfitting; a null level is UNKNOWN.
 
     Factors are taken in order and ``factors`` gives each one's shrinkage. A step subtracts the others' effects and
-    re-estimates one factor for all groups in one job. ``adjust`` (factor, effects) may change a step's effects. The rows
-    are written once, and each step's effects, a row for each level, once they are known: so neither the plan nor the
-    driver grows with rounds or levels.
+    re-estimates one factor for all groups at once. Groups may differ in their factors: ``active`` says, by a condition on
+    the group's columns, where a factor counts. So many models, of folds of the data or of sets of factors, are fitted in
+    the steps of one. ``adjust`` may change the effects of a factor, a table (group, level, effect, n_obs, n_units), after
+    each of its steps, and add columns.
+
+    The rows are reduced once to the combinations of levels (and unit) and the counts of their different values. Levels are
+    numbered; their effects, a number each and ``LEVELS_ON_DRIVER`` at most, go out with a step's only job as arrays of
+    constants, so a step joins nothing and reads what is left of the rows once. Where units are given, the rows stand by
+    unit, and a step shuffles nothing but medians of units. Levels beyond what a task may hold are left to ``ranks``.
     """
-    names = {f: f"f{i}" for i, f in enumerate(factors)}
-    unit_col = [F.col(f"`{unit}`").alias("unit")] if unit else []
-    work = written(df.select(F.col(f"`{group}`").alias("g"), F.col(f"`{value}`").cast("double").alias("v"), *unit_col, *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("UNKNOWN")).alias(n) for f, n in names.items()]))
+    keys = [group] if isinstance(group, str) else list(group)
+    adjust, active = adjust or {}, active or {}
+    if not factors or not rounds:
+        return df.select(*[F.col(f"`{k}`") for k in keys]).limit(0).selectExpr("*", "'' factor", "'' level", "0D effect", "0L n_obs", "0L n_units")
+    g, names = [f"g{i}" for i in range(len(keys))], {f: f"f{i}" for i, f in enumerate(factors)}
+    rows = df.filter(F.col(f"`{value}`").isNotNull()).select(
+        *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, g)], F.col(f"`{value}`").cast("double").alias("v"), *([F.col(f"`{unit}`").alias("u")] if unit else []),
+        *[F.when(active.get(f, F.lit(True)), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("UNKNOWN"))).alias(n) for f, n in names.items()],
+    )
+    by = [*g, *names.values(), *(["u"] if unit else []), "v"]
+    work = written(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    every = work.select(*g, "n", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(n).alias("level")) for i, n in enumerate(names.values())])).alias("x"))
+    levels = every.select(*g, "x.f", "x.level", "n").filter("level IS NOT NULL").groupBy(*g, "f", "level").agg(F.sum("n").alias("rows"))
+    table = levels.take(LEVELS_ON_DRIVER + 1)
+    if len(table) > LEVELS_ON_DRIVER:
+        return _backfit_by_tables(work, g, keys, names, factors, rounds, unit, adjust)
+    table = sorted(table, key=lambda r: (r["f"], r["level"], str(r[:-3])))
+    shape = ", ".join(f"{n} {levels.schema[n].dataType.simpleString()}" for n in g)
+    for i, (f, n) in enumerate(names.items()):
+        mine = [r for r in table if r["f"] == i]
+        numbers = df.sparkSession.createDataFrame([(*r[: len(g)], r["level"], k) for k, r in enumerate(mine)], f"{shape}, {n} string, i{i} int")
+        work = joined(work, F.broadcast(numbers), [*g, n], **{f"i{i}": f"i{i}"}).drop(n)  # LEVELS_ON_DRIVER bounds it
+    work = work.select(*[f"i{i}" for i in range(len(names))], *(["u"] if unit else []), "v", "n")
+    work = (work.repartition("u") if unit else work).persist()
+    effects: dict[int, list] = {}
+    n_of: dict[int, list] = {}
+    more: dict[int, list] = {}
+    for _ in range(rounds):
+        for i, (f, shrink) in enumerate(factors.items()):
+            mine = [r for r in table if r["f"] == i]
+            rest = F.col("v")
+            for j, known in effects.items():
+                if j != i:
+                    rest = rest - F.coalesce(F.get(_array(known), F.col(f"i{j}")), F.lit(0.0))
+            left = work.filter(F.col(f"i{i}").isNotNull()).select(F.col(f"i{i}").alias("k"), *(["u"] if unit else []), rest.alias("v"), "n")
+            if unit:
+                left = left.groupBy("k", "u").agg(F.percentile("v", 0.5, F.col("n")).alias("v"), F.sum("n").alias("rows"))
+                sizes = [F.sum("rows").alias("n_obs"), F.count("*").alias("n_units")]
+            else:
+                sizes = [F.sum("n").alias("n_obs"), F.sum("n").alias("n_units")]
+            if max((r["rows"] for r in mine), default=0) <= ranks.WHOLE:
+                middle = F.percentile("v", 0.5) if unit else F.percentile("v", 0.5, F.col("n"))
+                got = left.groupBy("k").agg(middle.alias("m"), *sizes)
+            else:  # each value as often as it counts, ranked without holding a level
+                flat = left.select("k", "v") if unit else left.select("k", "v", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).select("k", "v")
+                got = joined(left.groupBy("k").agg(*sizes), ranks.medians(flat, ["k"]), ["k"], m="median")
+            new, n_new, m_new = [None] * len(mine), [(0, 0)] * len(mine), [{}] * len(mine)
+            for r in got.collect():  # a row for each level
+                new[r["k"]], n_new[r["k"]] = r["m"] * r["n_units"] / (r["n_units"] + float(shrink)), (r["n_obs"], r["n_units"])
+            if f in adjust:
+                own = ", ".join(f"`{c}` {levels.schema[n].dataType.simpleString()}" for c, n in zip(keys, g))
+                frame = df.sparkSession.createDataFrame([(k, *r[: len(g)], r["level"], new[k], *n_new[k]) for k, r in enumerate(mine)], f"_k int, {own}, level string, effect double, n_obs long, n_units long")
+                for r in adjust[f](frame).collect():
+                    new[r["_k"]] = r["effect"]
+                    m_new[r["_k"]] = {c: v for c, v in r.asDict().items() if c not in {"_k", *keys, "level", "effect", "n_obs", "n_units"}}
+            effects[i], n_of[i], more[i] = new, n_new, m_new
+    work.unpersist()
+    extra = list(dict.fromkeys(c for m in more.values() for x in m for c in x))
+    kinds = {c: next("double" if isinstance(x[c], float) else "string" for m in more.values() for x in m if x.get(c) is not None) for c in extra}
+    out, seen = [], dict.fromkeys(range(len(names)), 0)
+    for r in table:
+        i, k = r["f"], seen[r["f"]]
+        seen[i] += 1
+        if effects[i][k] is not None:
+            out.append((*r[: len(g)], list(factors)[i], r["level"], effects[i][k], *n_of[i][k], *[more[i][k].get(c) for c in extra]))
+    own = ", ".join(f"`{c}` {levels.schema[n].dataType.simpleString()}" for c, n in zip(keys, g))
+    return df.sparkSession.createDataFrame(out, f"{own}, factor string, level string, effect double, n_obs long, n_units long" + "".join(f", `{c}` {t}" for c, t in kinds.items()))
+
+
+def _backfit_by_tables(work: DataFrame, g: list[str], keys: list[str], names: dict[str, str], factors: dict[str, float], rounds: int, unit: str | None, adjust: dict) -> DataFrame:
+    """``backfit`` with the levels' effects in tables, written once a step and joined by the others."""
+    work = written(work.withColumn("x", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("n", "x"))
     found: dict[str, DataFrame] = {}
     for _ in range(rounds):
         for f, shrink in factors.items():
-            rows, rest = work, F.col("v")
+            rows, rest = work.filter(F.col(names[f]).isNotNull()), F.col("v")
             for other, effects in found.items():
                 if other != f:
                     e = f"e_{names[other]}"
-                    rows = joined(rows, effects, ["g", names[other]], **{e: "effect"})
+                    rows = joined(rows, effects, [*g, names[other]], **{e: "effect"})
                     rest = rest - F.coalesce(F.col(e), F.lit(0.0))
-            got = shrunk_effect(rows, rest, ["g", names[f]], shrink, "unit" if unit else None).filter("effect IS NOT NULL")
-            found[f] = written((adjust(f, got.withColumnRenamed(names[f], "level")).withColumnRenamed("level", names[f]) if adjust else got).coalesce(1))
+            got = shrunk_effect(rows, rest, [*g, names[f]], shrink, "u" if unit else None).filter("effect IS NOT NULL")
+            if f in adjust:
+                own = got.withColumnsRenamed({**dict(zip(g, keys)), names[f]: "level"})
+                got = adjust[f](own).withColumnsRenamed({**dict(zip(keys, g)), "level": names[f]})
+            found[f] = written(got)
     out = None
     for f, effects in found.items():
-        part = effects.select(F.col("g").alias(group), F.lit(f).alias("factor"), F.col(names[f]).alias("level"), "effect", "n_obs", "n_units", *[c for c in effects.columns if c not in ("g", names[f], "effect", "n_obs", "n_units")])
+        part = effects.withColumnsRenamed({**dict(zip(g, keys)), names[f]: "level"}).withColumn("factor", F.lit(f))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -147,7 +243,8 @@ def error_metrics(df: DataFrame, truth: str, guess: str, keys: Sequence[str] = (
 
 
 def persistent_bias(df: DataFrame, residual: str, unit: str, month: Column, shrink: float = 6.0) -> DataFrame:
-    out = df.groupBy(unit).agg(F.median(residual).alias("raw_bias"), F.count_distinct(month).alias("months"), F.count(residual).alias("n_obs"))
+    out = df.groupBy(unit).agg(F.count_distinct(month).alias("months"), F.count(residual).alias("n_obs"))
+    out = joined(out, group_medians(df, residual, [unit]), [unit], raw_bias="median")
     return out.withColumn("bias", F.col("raw_bias") * F.col("months") / (F.col("months") + shrink))
 
 
@@ -177,37 +274,36 @@ def group_premium(df: DataFrame, value: str, group: str, label: str, reference:
 
 
 def others_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """(``df``, n_others, others_median, others_mad): for each row, of its group without the row itself.
+    """(``df``, n_others, others_median, others_mad): for each row with a value, of its group without the row itself.
 
-    By ranks: without one value, the middle of the others lies at one of three ranks of the whole group. So nothing is
-    paired; a group is sorted, in a window that can spill.
+    Without one value, the middle of the others lies at one of three ranks of the whole group, and those are ``ranks``' to
+    find. So nothing is paired, and no task holds a large group.
     """
-    n, rank, m = _apart(df, "_n", "_rank", "others_median")
-
-    def without(rows: DataFrame, of: str, groups: list[str], out: str) -> DataFrame:
-        """The median of ``of`` of the group's other rows, from values at the ranks around the middle."""
-        w = Window.partitionBy(*groups)
-        rows = rows.withColumns({n: F.count(of).over(w), rank: F.row_number().over(w.orderBy(of))})
-        h = F.when(F.col(n) % 2 == 0, F.col(n) / 2).otherwise((F.col(n) - 1) / 2).cast("int")
-        stats = rows.groupBy(*groups).agg(*[F.max(F.when(F.col(rank) == h + k, F.col(of))).alias(f"r{k}") for k in (0, 1, 2)])
-        got = joined(rows, stats, groups, r0="r0", r1="r1", r2="r2")
-        x = F.col(of)
-        low = F.when(x > F.col("r0"), F.col("r0")).otherwise(F.col("r1"))
-        high = F.when(x > F.col("r1"), F.col("r1")).otherwise(F.col("r2"))
-        middle = F.when(F.col(n) % 2 == 0, low).otherwise((low + high) / 2)
-        return got.withColumn(out, F.when(F.col(n) > 1, middle)).drop("r0", "r1", "r2", rank)
-
-    keys = list(keys)
-    base = without(df.filter(F.col(value).isNotNull()), value, keys, "others_median").withColumnRenamed(n, "n_others").withColumn("n_others", F.col("n_others") - 1)
+    around = lambda n: [F.when(n % 2 == 0, n / 2).otherwise((n - 1) / 2).cast("long") - 1 + k for k in (0, 1, 2)]
+
+    def without(rows: DataFrame, names: list[str], at_most: int) -> DataFrame:
+        """Distinct (names, v, n, middle): the median of the group's other rows, for a row of value v."""
+        got = joined(rows.select(*names, "v").distinct(), ranks.at_ranks(rows, names, around, at_most), names, n="n", r0="r0", r1="r1", r2="r2")
+        low = F.when(F.col("v") > F.col("r0"), F.col("r0")).otherwise(F.col("r1"))
+        high = F.when(F.col("v") > F.col("r1"), F.col("r1")).otherwise(F.col("r2"))
+        middle = F.when(F.col("n") % 2 == 0, low).otherwise((low + high) / 2)
+        return got.select(*names, "v", "n", F.when(F.col("n") > 1, middle).alias("middle"))
+
+    df = df.filter(F.col(f"`{value}`").isNotNull())
+    rows, names = _narrow(df, value, keys)
+    rows, n_rows = counted(rows)
+    base = written(without(rows, names, n_rows))
     # at most three medians a group: each with the deviations of the whole group from it
-    base = written(base)
-    kinds = base.select(*keys, "others_median").distinct()
-    spread = base.select(*keys, F.col(value).alias("x")).join(kinds, keys)
-    spread = without(spread.withColumn("d", F.abs(F.col("x") - F.col("others_median"))), "d", [*keys, "others_median"], "others_mad")
-    names = [f"_found{i}" for i in range(len(keys))]
-    found = spread.select(*[F.col(k).alias(x) for k, x in zip(keys, names)], F.col("others_median").alias("_of"), F.col("x").alias("_x"), "others_mad").distinct()
-    on = [F.col(k) == F.col(x) for k, x in zip(keys, names)] + [F.col("others_median") == F.col("_of"), F.col(value) == F.col("_x")]
-    return base.join(found, on, "left").drop(*names, "_of", "_x")
+    kinds = base.select(*names, F.col("middle").alias("of")).distinct()
+    away = rows.join(kinds.withColumnsRenamed({n: f"{n}_" for n in names}), [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]).drop(*[f"{n}_" for n in names])
+    away = away.withColumn("v", F.abs(F.col("v") - F.col("of"))).filter("of IS NOT NULL")
+    spread = without(away, [*names, "of"], 3 * n_rows).select(*names, F.col("of").alias("middle"), F.col("v").alias("d"), F.col("middle").alias("mad"))
+    base = base.withColumn("d", F.abs(F.col("v") - F.col("middle")))
+    base = joined(base, spread, [*names, "middle", "d"], mad="mad")
+    own = _apart(df, *[f"_key{i}" for i in range(len(keys))], "_v")
+    found = base.select(*[F.col(n).alias(o) for n, o in zip(names, own)], F.col("v").alias(own[-1]), (F.col("n") - 1).alias("n_others"), F.col("middle").alias("others_median"), F.col("mad").alias("others_mad"))
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(o)) for k, o in zip(keys, own)] + [F.col(f"`{value}`").cast("double") == F.col(own[-1])]
+    return df.join(found, on, "left").drop(*own)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,8 @@ Each works by one shuffle on the series' key. None pairs rows of a key with one
 sorted stream that can spill, so keys should be series, not classes.
 
 Cases: null keys are a key; rows without a date come first in their series and never match another's date; an empty
-table gives an empty result; repeated rows stay. Helpers' columns take names that the input doesn't use.
+table gives an empty result; repeated rows stay. Helpers' columns take names that the input doesn't use; a column that has an
+output's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +22,23 @@ def _order(keys: Sequence[str], by: str):
     return Window.partitionBy(*keys).orderBy(by)
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(l, r): each left row, whole, with each right row of its keys, or NULL; null keys meet. A table's columns stay in a
+    struct of their own, so none of their names can clash."""
+    own = lambda df, side: df.select(F.struct("*").alias(side), *[F.col(f"`{k}`").alias(f"{side}{i}") for i, k in enumerate(keys)])
+    a, b = own(left, "l"), own(right, "r")
+    on = F.lit(True)
+    for i in range(len(keys)):
+        on = on & a[f"l{i}"].eqNullSafe(b[f"r{i}"])
+    return a.join(b, on, "left").select("l", "r")
+
+
 def densify(df: DataFrame, keys: Sequence[str], date: str, step: str = "1 day") -> DataFrame:
     """A row for each date from a key's first to its last; other columns are NULL where the input has none."""
-    ends = df.groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    every = ends.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step}"))).alias(date))
-    return every.join(df, [*keys, date], "left")
+    ends = df.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min(f"`{date}`").alias("a"), F.max(f"`{date}`").alias("b"))
+    every = ends.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias(date))
+    both = _beside(every, df, [*keys, date])
+    return both.select(*[F.col("l")[c].alias(c) for c in (*keys, date)], *[F.col("r")[c].alias(c) for c in df.columns if c not in (*keys, date)])
 
 
 def month_ends(first: Column, last: Column) -> Column:
@@ -119,19 +132,21 @@ def snapshots(log: DataFrame, keys: Sequence[str], time: str, every: str, max_ag
     order = Window.partitionBy(*keys).orderBy(time, *([tie] if tie else []))
     day = F.to_date(time)
     stops = [F.coalesce(F.date_sub(F.to_date(F.lead(time).over(order)), 1), F.date_add(day, max_age_days)), F.date_add(day, max_age_days)]
-    df = log.withColumn("_to", F.least(*stops, *([F.lit(last).cast("date")] if last else [])))
-    dates = F.sequence(day, "_to") if every == "day" else F.filter(month_ends(day, F.col("_to")), lambda d: (d >= day) & (d <= F.col("_to")))
-    df = df.filter(F.col("_to") >= day).withColumn("date", F.explode(dates))
+    to = _apart(log, "_to")[0]
+    df = log.withColumn(to, F.least(*stops, *([F.lit(last).cast("date")] if last else [])))
+    dates = F.sequence(day, to) if every == "day" else F.filter(month_ends(day, F.col(to)), lambda d: (d >= day) & (d <= F.col(to)))
+    df = df.filter(F.col(to) >= day).withColumn("date", F.explode(dates))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     df = df.withColumn("age_days", (micros(F.date_add("date", 1)) - 1 - micros(F.col(time))) / 86400e6)
-    return df.filter(F.col("age_days") <= max_age_days).drop("_to")
+    return df.filter(F.col("age_days") <= max_age_days).drop(to)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``; rows that tie are told apart by their other columns, which must sort."""
     rest = [c for c in df.columns if c not in keys]
     by = [*order, *[c for c in rest if c not in order]]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("row")).select(*keys, "row.*")
+    row = _apart(df, "_row")[0]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias(row)).select(*keys, f"{row}.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,11 +158,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def overwritten(df: DataFrame, live: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``df`` with the live values where there are any; source says which."""
-    new = live.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
-    out = df.join(new, list(keys), "left")
-    any_live = F.coalesce(*[F.col(f"_{c}").isNotNull() for c in columns], F.lit(False))
-    out = out.withColumn("source", F.when(any_live, "LIVE").otherwise("HISTORY"))
-    return out.withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in columns}).drop(*[f"_{c}" for c in columns])
+    both, old, new = _beside(df, live.select(*keys, *columns), keys), F.col("l"), F.col("r")
+    any_live = F.coalesce(*[new[c].isNotNull() for c in columns], F.lit(False))
+    rest = [F.coalesce(new[c], old[c]).alias(c) if c in columns else old[c].alias(c) for c in df.columns if c != "source"]
+    return both.select(*rest, F.when(F.coalesce(any_live, F.lit(False)), "LIVE").otherwise("HISTORY").alias("source"))
 
 
 def carried(log: DataFrame, keys: Sequence[str], time: str, start: str, tie: str) -> DataFrame:
@@ -199,24 +213,35 @@ def chained_index(prices: DataFrame, group: str, unit: str, date: str, value: st
 
 
 def anchored(targets: DataFrame, anchors: DataFrame, proxy: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
-    """Targets with a quote from anchors (date, quote) and a proxy series (proxy_date, proxy).
-
-    The anchor of the target's month as it is; else the last anchor before, or else the first, moved by the proxy's
-    ratio between the two dates. quote_source says which.
+    """Targets with anchor_date, anchor_quote, quote and quote_source, from anchors (date, quote) and a proxy series
+    (proxy_date, proxy).
+
+    An anchor is stated for the month of its date; effective_date, if the table has it and it isn't NULL, is the day that
+    its quote holds for. The last anchor stated for the target's month is taken as it is (SAME_MONTH). Else the last that
+    is effective at the target (ANCHORED), or else the first of all (BACKCAST), is moved by the proxy's ratio between the
+    target and the anchor's effective date; days without a proxy value are passed over. Without anchors, a proxy series, or
+    values for the ratio, the quote is NULL (UNAVAILABLE). anchor_date is the effective date.
     """
-    keys = list(keys)
-    month = F.trunc
-    own = latest(anchors.withColumn("_month", month("date", "MM")), [*keys, "_month"], ["date"]).select(*keys, "_month", F.col("quote").alias("_own"))
-    first = anchors.groupBy(*keys).agg(F.min_by(F.struct("date", "quote"), "date").alias("_first"))
-    t = targets.withColumn("_month", month(date, "MM")).join(own, [*keys, "_month"], "left").join(first, keys, "left")
-    a = anchors.select(*keys, F.col("date").alias("_at"), F.col("quote").alias("_quote"))
-    t = asof(t, a, keys, date, "_at")
-    t = t.withColumn("quote_source", F.when(F.col("_own").isNotNull(), "SAME_MONTH").when(F.col("_at").isNotNull(), "ANCHORED").when(F.col("_first").isNotNull(), "BACKCAST").otherwise("UNAVAILABLE"))
-    t = t.withColumns({"anchor_date": F.coalesce("_at", F.col("_first.date")), "_q": F.coalesce("_quote", F.col("_first.quote"))})
-    p = lambda s: proxy.select(*keys, F.col("proxy_date").alias(f"_d{s}"), F.col("proxy").alias(f"_p{s}"))
-    t = asof(t, p(1), keys, date, "_d1")
-    t = asof(t, p(2), keys, "anchor_date", "_d2")
-    moved = F.when((F.col("_p1") > 0) & (F.col("_p2") > 0), F.col("_q") * F.col("_p1") / F.col("_p2"))
-    t = t.withColumn("quote", F.coalesce("_own", moved))
-    t = t.withColumn("quote_source", F.when(F.col("quote").isNull(), "UNAVAILABLE").otherwise(F.col("quote_source")))
-    return t.select(*targets.columns, "anchor_date", "quote", "quote_source")
+    names = [f"k{i}" for i in range(len(keys))]
+    own = lambda df: [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
+    stated = F.to_date("date")
+    holds = F.coalesce(F.to_date("effective_date"), stated) if "effective_date" in anchors.columns else stated
+    a = anchors.select(*own(anchors), F.trunc(stated, "MM").alias("month"), F.struct(holds.alias("at"), stated.alias("stated"), F.col("quote").cast("double").alias("quote")).alias("anchor"))
+    by_month = a.groupBy(*names, "month").agg(F.max("anchor").alias("own"))
+    firsts = a.groupBy(*names).agg(F.min(F.struct("anchor.at", "anchor.stated", "anchor.quote")).alias("first"))
+    past = a.groupBy(*names, F.col("anchor.at").alias("at")).agg(F.max("anchor").alias("past"))
+    p = proxy.select(*own(proxy), F.to_date("proxy_date").alias("p_date"), F.col("proxy").cast("double").alias("p"))
+    there = p.select(*names, F.lit(True).alias("there")).distinct()
+    p = p.filter("p IS NOT NULL")
+    t = targets.select(F.struct("*").alias("row"), *own(targets), F.to_date(F.col(f"`{date}`")).alias("day"))
+    t = joined(t.withColumn("month", F.trunc("day", "MM")), by_month, [*names, "month"], own="own")
+    t = joined(joined(t, firsts, names, first="first"), there, names, there="there")
+    t = asof(t, past, names, "day", "at")
+    t = t.withColumn("anchor", F.when(F.col("there"), F.coalesce("own", "past", "first"))).withColumn("anchor_date", F.col("anchor.at"))
+    t = asof(t, p.withColumnsRenamed({"p_date": "d1", "p": "p1"}), names, "day", "d1")
+    t = asof(t, p.withColumnsRenamed({"p_date": "d2", "p": "p2"}), names, "anchor_date", "d2")
+    same = F.col("there") & F.col("own").isNotNull()
+    quote = F.when(same, F.col("own.quote")).when(F.col("p2") > 0, F.col("anchor.quote") * F.col("p1") / F.col("p2"))
+    source = F.when(same, "SAME_MONTH").when(quote.isNull(), "UNAVAILABLE").when(F.col("past").isNotNull(), "ANCHORED").otherwise("BACKCAST")
+    rest = [F.col("row")[c].alias(c) for c in targets.columns if c not in ("anchor_date", "anchor_quote", "quote", "quote_source")]
+    return t.select(*rest, "anchor_date", F.col("anchor.quote").alias("anchor_quote"), quote.alias("quote"), source.alias("quote_source"))

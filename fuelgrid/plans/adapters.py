@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fuelgrid.storage import counted
+
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
@@ -53,9 +55,9 @@ class Tables:
         """Last price of each station and fuel on each day, its distance to the day's median, and factors."""
         from fuelgrid.operators import robust, series
 
-        df = series.snapshots(self.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30")
-        df = robust.group_median(df, "price", ["date", "fuel"], "m").withColumn("relative", F.col("price") - F.col("m"))
-        df = robust.robust_z(df, "relative", ["date", "fuel"], "robust_score", 1.0)
+        df, n = counted(series.snapshots(self.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30"))
+        df = robust.group_median(df, "price", ["date", "fuel"], "m", n).withColumn("relative", F.col("price") - F.col("m"))
+        df = robust.robust_z(df, "relative", ["date", "fuel"], "robust_score", 1.0, n)
         return df.selectExpr("station_id", "fuel", "date", "price", "relative", "robust_score", "CASE WHEN station_id % 11 > 0 THEN concat('a', station_id % 5) END region", "concat('b', station_id % 3) road", "CASE WHEN station_id % 9 = 0 THEN 'FERRY_ISLAND' ELSE 'MAINLAND' END accessibility_class")
 
 

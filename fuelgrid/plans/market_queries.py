@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fuelgrid.operators import market as M
 from fuelgrid.operators import series as T
 
-from .adapters import MONTHLY, SNAPS
+from .adapters import ANCHORS, MONTHLY, SNAPS
 from .registry import query
 
 FUEL = "o_orderstatus AS fuel"
@@ -105,11 +105,67 @@ def market_snapshot(t):
     return rounded(got.drop("brent_observed", "spot_observed", "eurusd_observed", "bridge_source"), 8)
 
 
-@query("d25_live_market", f"WITH {_EXT}, l AS (SELECT fuel, max(date) AS date FROM ext GROUP BY fuel) SELECT fuel, date, round(refined, 8) AS refined, market_mode FROM ext JOIN l USING (fuel, date)")
+_CHOSEN = """
+best AS (SELECT fuel, arg_min(candidate, (rmse, mae, candidate)) AS filter FROM scores GROUP BY fuel),
+named AS (SELECT p.*, coalesce(filter, 'proxy_ma5') AS selected_filter FROM proxy p LEFT JOIN best USING (fuel)),
+chosen AS (
+  SELECT *, CASE selected_filter WHEN 'proxy' THEN proxy WHEN 'proxy_ma3' THEN proxy_ma3 WHEN 'proxy_ma5' THEN proxy_ma5 ELSE proxy_ma7 END AS chosen
+  FROM named
+)
+"""
+#: The market chain as before, through each fuel's best filter.
+_EXT_CHOSEN = _EXT.replace("FROM proxy p", "FROM chosen p").replace("proxy_ma5, date", "chosen, date").replace("anchor * proxy_ma5", "anchor * chosen").replace(_BRIDGE, f"{_FILTERS}, {_CHOSEN}, {_BRIDGE}")
+_LAST = "l AS (SELECT fuel, max(date) AS date FROM ext GROUP BY fuel)"
+
+
+def _filters(t):
+    return M.best_filters(M.filter_scores(_weekly(t), M.product_proxy(spot(t), fx(t))))
+
+
+@query("d25_live_market", f"WITH {_EXT}, {_LAST} SELECT fuel, date, round(refined, 8) AS refined, market_mode FROM ext JOIN l USING (fuel, date)")
 def live_market(t):
     return rounded(M.live_market(spot(t), brent(t), fx(t), anchors(t), TARGET)[1].select("fuel", "date", "refined", "market_mode"), 8)
 
 
+@query("d25_live_market_filtered", f"WITH {_EXT_CHOSEN}, {_LAST} SELECT fuel, date, round(refined, 8) AS refined, market_mode, anchor_date FROM ext JOIN l USING (fuel, date)")
+def live_market_filtered(t):
+    """The live chain through the filter that each fuel's weekly prices chose."""
+    got = M.live_market(spot(t), brent(t), fx(t), anchors(t), TARGET, _filters(t))[1]
+    return rounded(got.select("fuel", "date", "refined", "market_mode", "anchor_date"), 8)
+
+
+@query("d31_refined_history", f"""
+WITH {_PROXY}, {_FILTERS}, {_CHOSEN}, {ANCHORS},
+dated AS (
+  SELECT fuel, date, quote / 1000000 AS quote, CASE WHEN month(date) % 3 < 2 THEN date + CAST((month(date) % 3) * 40 - 20 AS INTEGER) ELSE date END AS eff
+  FROM anchors
+),
+t AS (SELECT DISTINCT o_orderstatus AS fuel, o_orderdate::DATE AS date FROM orders),
+c AS (
+  SELECT t.*,
+    (SELECT arg_max({{'e': eff, 'q': quote}}, eff) FROM dated d WHERE d.fuel = t.fuel AND date_trunc('month', d.date) = date_trunc('month', t.date)) AS own,
+    (SELECT arg_max({{'e': eff, 'q': quote}}, eff) FROM dated d WHERE d.fuel = t.fuel AND eff <= t.date) AS past,
+    (SELECT arg_min({{'e': eff, 'q': quote}}, eff) FROM dated d WHERE d.fuel = t.fuel) AS first
+  FROM t
+),
+e AS (SELECT *, coalesce(own, past, first) AS a FROM c),
+f AS (
+  SELECT e.*, p1.chosen AS p1, p2.chosen AS p2, coalesce(filter, 'proxy_ma5') AS selected_filter
+  FROM e LEFT JOIN best USING (fuel)
+  ASOF LEFT JOIN chosen p1 ON p1.fuel = e.fuel AND e.date >= p1.date ASOF LEFT JOIN chosen p2 ON p2.fuel = e.fuel AND e.a.e >= p2.date
+),
+g AS (SELECT *, CASE WHEN own IS NOT NULL THEN own.q WHEN p2 > 0 THEN a.q * p1 / p2 END AS refined FROM f)
+SELECT fuel, date, round(refined, 10) AS refined, a.e AS anchor_date, selected_filter,
+  CASE WHEN own IS NOT NULL THEN 'SAME_MONTH' WHEN refined IS NULL THEN 'UNAVAILABLE' WHEN past IS NOT NULL THEN 'ANCHORED' ELSE 'BACKCAST' END AS refined_source
+FROM g
+""")
+def refined_history(t):
+    k = F.month("date") % 3
+    known = t.anchors().withColumns({"quote": F.col("quote") / 1e6, "effective_date": F.when(k < 2, F.date_add("date", (k * 40 - 20).cast("int")))})
+    got = M.refined_history(t.orders.select(F.expr(FUEL), F.expr(DAY)), M.product_proxy(spot(t), fx(t)), known, _filters(t))
+    return rounded(got.drop("anchor"), 10)
+
+
 def _weekly(t):
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
     return t.lineitem.groupBy(F.col("l_linestatus").alias("fuel"), week.alias("date")).agg((F.avg("l_extendedprice") / 30000).alias("htt"))
@@ -123,7 +179,7 @@ def filter_scores(t):
 
 @query("d26_best_filter", f"WITH {_PROXY}, {_FILTERS} SELECT fuel, arg_min(candidate, (rmse, mae, candidate)) AS filter FROM scores GROUP BY fuel")
 def best_filter(t):
-    return M.best_filters(M.filter_scores(_weekly(t), M.product_proxy(spot(t), fx(t))))
+    return _filters(t)
 
 
 _BACK = f"""{MONTHLY}, nat AS (SELECT o_orderstatus AS fuel, last_day(o_orderdate::DATE) AS date, median(o_totalprice) * 1.6 AS ttc, median(o_totalprice) * 1.1 AS htt FROM orders GROUP BY ALL), mar AS (SELECT fuel, date, quote, htt - quote AS margin FROM monthly JOIN nat USING (fuel, date)),

@@ -80,16 +80,48 @@ def _weekly(t):
     return t.daily().select("fuel", F.to_date(F.date_trunc("week", "date")).alias("week")).distinct()
 
 
-@query("j6_anchored", f"""WITH {ANCHORS}, t AS (SELECT DISTINCT o_orderstatus AS fuel, last_day(o_orderdate::DATE) AS day FROM orders), proxy AS (SELECT o_orderstatus AS fuel, o_orderdate::DATE AS d, max(o_totalprice) AS p FROM orders GROUP BY ALL),
-f AS (SELECT fuel, min(date) AS date, arg_min(quote, date) AS quote FROM anchors GROUP BY 1),
-a AS (SELECT t.fuel, day, own.quote AS own, before.date AS bd, before.quote AS bq, f.date AS fd, f.quote AS fq FROM t LEFT JOIN anchors own ON own.fuel = t.fuel AND own.date = day ASOF LEFT JOIN anchors before ON before.fuel = t.fuel AND day >= before.date LEFT JOIN f ON f.fuel = t.fuel),
-b AS (SELECT *, coalesce(bd, fd) AS anchor_date, coalesce(bq, fq) AS q FROM a), c AS (SELECT b.*, p1.p AS p1 FROM b ASOF LEFT JOIN proxy p1 ON p1.fuel = b.fuel AND day >= p1.d), e AS (SELECT c.*, p2.p AS p2 FROM c ASOF LEFT JOIN proxy p2 ON p2.fuel = c.fuel AND anchor_date >= p2.d)
-SELECT fuel, day, anchor_date, round(coalesce(own, q * p1 / p2), 4) AS quote, CASE WHEN coalesce(own, q * p1 / p2) IS NULL THEN 'UNAVAILABLE' WHEN own IS NOT NULL THEN 'SAME_MONTH' WHEN bd IS NOT NULL THEN 'ANCHORED' ELSE 'BACKCAST' END AS quote_source FROM e""")
+_ANCHORED = f"""
+WITH {ANCHORS},
+an AS (
+  SELECT fuel, date, quote, CASE WHEN month(date) % 3 < 2 THEN date + CAST((month(date) % 3) * 40 - 20 AS INTEGER) END AS effective_date FROM anchors
+),
+dated AS (SELECT fuel, date, quote, coalesce(effective_date, date) AS eff FROM an),
+t AS (SELECT DISTINCT o_orderstatus AS fuel, o_orderdate::DATE AS day FROM orders),
+proxy AS (
+  SELECT o_orderstatus AS fuel, o_orderdate::DATE AS d, CASE WHEN day(o_orderdate) % 7 > 0 THEN max(o_totalprice) END AS p
+  FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus, o_orderdate
+),
+c AS (
+  SELECT t.fuel, t.day,
+    (SELECT arg_max({{'e': eff, 'q': quote}}, eff) FROM dated WHERE dated.fuel = t.fuel AND date_trunc('month', dated.date) = date_trunc('month', t.day)) AS own,
+    (SELECT arg_max({{'e': eff, 'q': quote}}, eff) FROM dated WHERE dated.fuel = t.fuel AND eff <= t.day) AS past,
+    (SELECT arg_min({{'e': eff, 'q': quote}}, eff) FROM dated WHERE dated.fuel = t.fuel) AS first
+  FROM t WHERE t.fuel IN (SELECT fuel FROM proxy)
+),
+e AS (SELECT *, coalesce(own, past, first) AS a FROM c),
+known AS (SELECT * FROM proxy WHERE p IS NOT NULL),
+f AS (
+  SELECT e.*, p1.p AS p1, p2.p AS p2
+  FROM e ASOF LEFT JOIN known p1 ON p1.fuel = e.fuel AND e.day >= p1.d ASOF LEFT JOIN known p2 ON p2.fuel = e.fuel AND e.a.e >= p2.d
+),
+g AS (SELECT *, CASE WHEN own IS NOT NULL THEN own.q WHEN p2 > 0 THEN a.q * p1 / p2 END AS quote FROM f)
+SELECT fuel, day, a.e AS anchor_date, a.q AS anchor_quote, round(quote, 4) AS quote,
+  CASE WHEN own IS NOT NULL THEN 'SAME_MONTH' WHEN quote IS NULL THEN 'UNAVAILABLE' WHEN past IS NOT NULL THEN 'ANCHORED' ELSE 'BACKCAST' END AS quote_source
+FROM g
+UNION ALL
+SELECT fuel, day, NULL, NULL, NULL, 'UNAVAILABLE' FROM t WHERE fuel NOT IN (SELECT fuel FROM proxy)
+"""
+
+
+@query("j6_anchored", _ANCHORED)
 def anchored(t):
-    fuel = F.col("o_orderstatus").alias("fuel")
-    targets = t.orders.select(fuel, F.last_day(F.to_date("o_orderdate")).alias("day")).distinct()
-    proxy = t.orders.groupBy(fuel, F.to_date("o_orderdate").alias("proxy_date")).agg(F.max("o_totalprice").alias("proxy"))
-    return T.anchored(targets, t.anchors(), proxy, ["fuel"], "day").withColumn("quote", F.round("quote", 4))
+    """Anchors of which some hold before, some after their month, against a proxy with gaps; one fuel has no proxy."""
+    fuel, day, k = F.col("o_orderstatus").alias("fuel"), F.to_date("o_orderdate"), F.month("date") % 3
+    targets = t.orders.select(fuel, day.alias("day")).distinct()
+    known = t.orders.filter("o_orderstatus <> 'P'").groupBy(fuel, day.alias("proxy_date")).agg(F.max("o_totalprice").alias("p"))
+    proxy = known.withColumn("proxy", F.when(F.dayofmonth("proxy_date") % 7 > 0, F.col("p")))
+    anchors = t.anchors().withColumn("effective_date", F.when(k < 2, F.date_add("date", (k * 40 - 20).cast("int"))))
+    return T.anchored(targets, anchors, proxy, ["fuel"], "day").withColumn("quote", F.round("quote", 4))
 
 
 @query("j7_effective", "SELECT o_orderkey, CASE WHEN o_orderdate::DATE <= DATE '1997-12-31' THEN 0.10::DOUBLE WHEN o_orderdate::DATE <= DATE '1999-12-31' THEN 0.20::DOUBLE ELSE 0.30::DOUBLE END AS vat FROM orders")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _kept: list[tuple[SparkSession, str]] = []
@@ -34,6 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as ``written`` gives it, and its number of rows, which the write itself counts."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def forget() -> None:
     """Deletes the tables written so far. Call it when no result that reads them is needed any more."""
     while _kept:

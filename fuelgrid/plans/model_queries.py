@@ -35,7 +35,7 @@ CASE WHEN c = 'MAINLAND' AND nearest_km >= 15 AND within_20 <= 1 THEN 'ISOLATION
 FROM (SELECT *, CASE WHEN id = 18 THEN 'MAINLAND' WHEN {ferry} THEN 'FERRY_ISLAND' WHEN city = 'KENYA' THEN 'ROAD_CONNECTED_ISLAND' ELSE 'MAINLAND' END AS c, CASE id WHEN 17 THEN 'ISLE_C' WHEN 18 THEN 'MAINLAND' ELSE CASE city WHEN 'FRANCE' THEN 'ISLE_A' WHEN 'PERU' THEN 'ISLE_B' WHEN 'KENYA' THEN 'BRIDGE' ELSE 'MAINLAND' END END AS g FROM {source}))"""
 
 
-def _backfit(source: str, value: str, factors: dict, rounds: int, name: str, unit: str | None = None, done: bool = False, adjust: str = "effect") -> str:
+def _backfit(source: str, value: str, factors: dict, rounds: int, name: str, unit: str | None = None, adjust: dict | None = None) -> str:
     """The steps as a chain of WITH clauses, a table of effects for each; the last are called <name>_<factor>."""
     steps, last = [], {}
     for r in range(rounds):
@@ -46,7 +46,7 @@ def _backfit(source: str, value: str, factors: dict, rounds: int, name: str, uni
             this = f"{name}_{f}" if r == rounds - 1 else f"{name}{r}_{f}"
             inner = f"SELECT p.fuel, coalesce(p.{f}, 'UNKNOWN') AS level, {'p.' + unit + ', ' if unit else ''}{rest} AS v FROM {source} p{joins}"
             mid = f"SELECT fuel, level, {unit}, median(v) AS v, count(v) AS n FROM ({inner}) GROUP BY ALL" if unit else f"SELECT *, 1 AS n FROM ({inner})"
-            steps.append(f"{this} AS MATERIALIZED (SELECT fuel, level, {adjust} AS effect, n_obs, n_units FROM (SELECT fuel, level, median(v) * count(*) / (count(*) + {float(shrink)}) AS effect, sum(n)::BIGINT AS n_obs, count(*) AS n_units FROM ({mid}) GROUP BY ALL))")
+            steps.append(f"{this} AS MATERIALIZED (SELECT fuel, level, {(adjust or {}).get(f, 'effect')} AS effect, n_obs, n_units FROM (SELECT fuel, level, median(v) * count(*) / (count(*) + {float(shrink)}) AS effect, sum(n)::BIGINT AS n_obs, count(*) AS n_units FROM ({mid}) GROUP BY ALL))")
             last[f] = this
     return ", ".join(steps)
 
@@ -190,10 +190,10 @@ FACTORS = {f: P.SHRINK[f] for f in ("region", "road")}
 CLASS = "CASE WHEN n_units < 10 THEN 0.0::DOUBLE WHEN level = 'MAINLAND' THEN 0.0::DOUBLE WHEN level = 'FERRY_ISLAND' THEN greatest(effect, 0.0::DOUBLE) ELSE effect END"
 
 
-def _fit(train: str, name: str, factors=FACTORS, rounds: int = ROUNDS) -> str:
+def _fit(train: str, name: str, factors=FACTORS, rounds: int = ROUNDS, adjust: dict | None = None) -> str:
     """The trimmed rows, the effects and the centre of a model of the table ``train``."""
     trim = f"{name}_t AS (SELECT * FROM {train} WHERE abs(robust_score) <= 4)"
-    steps = f"{trim}, {_backfit(f'{name}_t', 'relative', factors, rounds, name, 'station_id')}" if factors else trim
+    steps = f"{trim}, {_backfit(f'{name}_t', 'relative', factors, rounds, name, 'station_id', adjust)}" if factors else trim
     return f"{steps}, {_summed(f'{name}_t', factors, name, f'{name}_s')}, {name}_c AS (SELECT fuel, median(total) AS centre FROM {name}_s GROUP BY fuel)"
 
 
@@ -271,6 +271,104 @@ def ablation(t):
     return _errors(P.ablation(t.panel(), list(FACTORS), DAYS, rounds=ROUNDS))
 
 
+#: The panel under the trade's fuel names, with all six factors.
+_FULL = """
+full_panel AS (
+  SELECT * EXCLUDE (fuel, road),
+    CASE fuel WHEN 'click' THEN 'SP95' WHEN 'purchase' THEN 'GAZOLE' ELSE fuel END AS fuel,
+    CASE WHEN station_id % 3 = 0 THEN 'AUTOROUTE' ELSE 'ROUTE' END AS road,
+    'd' || (station_id % 7) AS department,
+    CASE station_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS competition_bucket,
+    CASE WHEN station_id % 13 < 4 THEN 'LOCAL' ELSE 'DENSE' END AS isolation_bucket
+  FROM panel
+)
+"""
+
+
+def _full(t):
+    c = F.col("station_id")
+    return t.panel().withColumns({
+        "fuel": F.when(F.col("fuel") == "click", "SP95").when(F.col("fuel") == "purchase", "GAZOLE").otherwise(F.col("fuel")),
+        "road": F.when(c % 3 == 0, "AUTOROUTE").otherwise("ROUTE"), "department": F.concat(F.lit("d"), (c % 7).cast("string")),
+        "competition_bucket": F.when(c % 4 == 0, "LOW").when(c % 4 == 1, "HIGH").otherwise("MEDIUM"), "isolation_bucket": F.when(c % 13 < 4, "LOCAL").otherwise("DENSE"),
+    })
+
+
+_WIDE = {f: P.SHRINK[f] for f in P.ACTIVE["GAZOLE"]}
+_NARROW = {f: P.SHRINK[f] for f in P.ACTIVE["SP95"]}
+
+
+def _diagnostic(name: str, factor: str, out: str) -> str:
+    """What the active factors leave, by ``factor``, before its rules."""
+    return f"""
+{out}_u AS (
+  SELECT s.fuel, coalesce({factor}, 'UNKNOWN') AS level, station_id, median(relative - (total - centre)) AS v, count(*) AS n
+  FROM {name}_s s JOIN {name}_c USING (fuel) GROUP BY ALL
+),
+{out} AS (
+  SELECT fuel, level, median(v) * count(*) / (count(*) + {P.SHRINK[factor]}) AS effect, sum(n)::BIGINT AS n_obs, count(*) AS n_units
+  FROM {out}_u GROUP BY ALL
+)
+"""
+
+
+def _levels(name: str, factors) -> str:
+    return " UNION ALL ".join(f"SELECT fuel, '{f}' AS factor, level, effect, n_obs, n_units, 'ACTIVE' AS role FROM {name}_{f}" for f in factors)
+
+
+@query("d14_production_fit", f"""
+WITH {PANEL}, {_FULL},
+others AS (SELECT * FROM full_panel WHERE fuel <> 'SP95'),
+petrol AS (SELECT * FROM full_panel WHERE fuel = 'SP95'),
+{_fit('others', 'mo', _WIDE, 10)},
+{_fit('petrol', 'mp', _NARROW, 10)},
+{_diagnostic('mo', 'accessibility_class', 'ao')}, {_diagnostic('mp', 'accessibility_class', 'ap')}, {_diagnostic('mp', 'road', 'rp')},
+base AS (SELECT coalesce(max(CASE WHEN level = 'ROUTE' THEN effect END), 0.0) AS base FROM rp),
+roads AS (
+  SELECT fuel, level, n_obs, n_units,
+    CASE level WHEN 'ROUTE' THEN 0.0::DOUBLE WHEN 'AUTOROUTE' THEN greatest(effect - base, 0.0::DOUBLE) ELSE effect - base END AS effect
+  FROM rp, base
+),
+every AS (
+  {_levels('mo', _WIDE)} UNION ALL {_levels('mp', _NARROW)}
+  UNION ALL SELECT fuel, 'accessibility_class', level, {CLASS}, n_obs, n_units, 'DIAGNOSTIC_ONLY' FROM (SELECT * FROM ao UNION ALL SELECT * FROM ap)
+  UNION ALL SELECT fuel, 'road', level, effect, n_obs, n_units, 'DIAGNOSTIC_ONLY' FROM roads
+)
+SELECT fuel, factor, level, round(effect, 6) AS effect, n_obs, n_units, role, {_SURE} AS confidence FROM every
+""")
+def production_fit(t):
+    """Ten rounds, each fuel with its own factors by the domain's defaults, all in one fit."""
+    got = P.fit(_full(t), with_bias=False).effects
+    return got.select("fuel", "factor", "level", F.round("effect", 6).alias("effect"), "n_obs", "n_units", "role", "confidence")
+
+
+_STEPS = [list(P.SHRINK)[:k] for k in range(len(P.SHRINK) + 1)]
+
+
+def _step(k: int) -> str:
+    factors, name = {f: P.SHRINK[f] for f in _STEPS[k]}, f"s{k}"
+    e = "relative - (total - centre)" if factors else "relative"
+    road = f"CASE WHEN fuel <> 'SP95' THEN effect ELSE CASE level WHEN 'ROUTE' THEN 0.0::DOUBLE WHEN 'AUTOROUTE' THEN greatest(effect - {'{0}'}, 0.0::DOUBLE) ELSE effect - {'{0}'} END END"
+    base = "coalesce(max(CASE WHEN level = 'ROUTE' THEN effect END) OVER (PARTITION BY fuel), 0.0)"
+    adjust = {"accessibility_class": CLASS, "road": road.format(base)}
+    return f"""
+{_fit('tr', name, factors, ROUNDS, adjust)},
+{_summed('te', factors, name, f'{name}_p')},
+{name}_e AS (SELECT p.*, {e} AS e FROM {name}_p p JOIN {name}_c USING (fuel))
+"""
+
+
+@query("d19_ablation_six", f"""
+WITH {PANEL.replace('panel AS (', 'panel0 AS (')}, {_FULL.replace('FROM panel', 'FROM panel0').replace('full_panel AS', 'panel AS')},
+{_last(DAYS, 3)},
+{','.join(_step(k) for k in range(len(_STEPS)))}
+{' UNION ALL '.join(f"SELECT {_ERRORS}, {k} AS step, '{'+'.join(fs)}' AS factors FROM s{k}_e GROUP BY fuel" for k, fs in enumerate(_STEPS))}
+""")
+def ablation_six(t):
+    """From none to all six factors, seven models in one fit."""
+    return _errors(P.ablation(_full(t), list(P.SHRINK), DAYS, rounds=ROUNDS))
+
+
 _LIVE = "lv0 AS (SELECT station_id, station_id AS id, fuel, price, 50.0::DOUBLE AS fair_price, region, road, 'X' AS city, 42.0::DOUBLE + (station_id * 7919 % 9000)::DOUBLE / 1000.0::DOUBLE AS lat, -4.0::DOUBLE + (station_id * 104729 % 12000)::DOUBLE / 1000.0::DOUBLE AS lon FROM panel WHERE date = DATE '2024-01-30')"
 
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import aggregate_queries, market_queries, model_queries, scalar_queries, series_queries, stream_queries  # noqa: F401
+    from . import aggregate_queries, market_queries, model_queries, scalar_queries, series_queries, source_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict:

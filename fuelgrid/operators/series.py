@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuelgrid.operators.robust import _apart, group_medians, joined
+from fuelgrid.storage import written
 
 
 def _order(keys: Sequence[str], by: str):
@@ -109,18 +110,29 @@ def effective(df: DataFrame, table: DataFrame, keys: Sequence[str], date: str) -
     """``df`` with the one row of an effective-dated table (effective_from, effective_to or NULL) that holds at its
     date. Fails where none or several do.
 
-    A schedule is a few rows for each key. Its rows are gathered to one row a key, and each date picks among them, so the
-    table is joined by key alone, or, without keys, as one row; no row of ``df`` is ever doubled.
+    A sweep: each row of the table opens at its first day and closes after its last; along a key's days the number of open
+    rows is a running sum, and where it is one, the running exclusive or of their numbers is the open row's. It runs over a
+    key's different days alone, so no schedule, however long, is held or compared with dates, and it may overlap and nest.
     """
+    names = [f"k{i}" for i in range(len(keys))]
+    own = lambda d: [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
     rest = [c for c in table.columns if c not in keys]
-    spans = table.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("spans"))
-    spans_col, found = _apart(df, "_spans", "_found")
-    out = joined(df, spans, keys, **{spans_col: "spans"})
-    day = F.col(f"`{date}`")
-    holds = lambda s: (s["effective_from"] <= day) & (s["effective_to"].isNull() | (s["effective_to"] >= day))
-    out = out.withColumn(found, F.filter(F.coalesce(F.col(spans_col), F.array()), holds)).drop(spans_col)
-    one = F.when(F.size(found) == 1, F.element_at(found, 1)).otherwise(F.raise_error(F.lit("not exactly one effective row")).cast(spans.schema["spans"].dataType.elementType))
-    return out.withColumn(found, one).select(*df.columns, *[F.col(found)[c].alias(c) for c in rest])
+    spans = table.select(*own(table), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("span"), F.monotonically_increasing_id().alias("id"))
+    spans = written(spans)  # so that a row's number stays
+    first, last = F.to_date("span.effective_from"), F.to_date("span.effective_to")
+    spans_on = spans.filter(first.isNotNull() & (last.isNull() | (first <= last)))
+    opens = spans_on.select(*names, first.alias("t"), F.lit(0).alias("side"), F.lit(1).alias("d"), "id")
+    closes = spans_on.filter(last.isNotNull()).select(*names, F.date_add(last, 1).alias("t"), F.lit(0).alias("side"), F.lit(-1).alias("d"), "id")
+    days = df.select(*own(df), F.to_date(F.col(f"`{date}`")).alias("t")).distinct()
+    w = Window.partitionBy(*names).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    swept = opens.union(closes).union(days.select(*names, "t", F.lit(1), F.lit(0), F.lit(0).cast("long")))
+    swept = swept.withColumns({"n": F.sum("d").over(w), "open": F.bit_xor("id").over(w)}).filter("side = 1")
+    one = F.when(F.col("n") == 1, F.col("open")).otherwise(F.raise_error(F.lit("not exactly one effective row")).cast("long"))
+    held = swept.select(*names, "t", one.alias("id")).join(spans.select("id", "span"), "id")
+    found, day = _apart(df, "_found", "_day")
+    at = held.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("t").alias(day), "span")
+    out = joined(df.withColumn(day, F.to_date(F.col(f"`{date}`"))), at, [*keys, day], **{found: "span"})
+    return out.select(*df.columns, *[F.col(found)[c].alias(c) for c in rest])
 
 
 def snapshots(log: DataFrame, keys: Sequence[str], time: str, every: str, max_age_days: int, tie: str | None = None, last: str | None = None) -> DataFrame:

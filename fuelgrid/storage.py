@@ -24,14 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
         base = f"file://{_own_dir[0]}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _kept.append((spark, path))
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in a shared folder: computed once, its lineage cut, safe from lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(f"{path}/t")
-    _kept.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")
 
 
@@ -43,7 +44,7 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def forget() -> None:
-    """Deletes the tables written so far. Call it when no result that reads them is needed any more."""
+    """Deletes the folders given out so far. Call it when no result that reads them is needed any more."""
     while _kept:
         spark, path = _kept.pop()
         place = spark._jvm.org.apache.hadoop.fs.Path(path)

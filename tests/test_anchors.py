@@ -1,6 +1,10 @@
 """Anchored quotes, and the promises of the series operators on null keys and clashing names."""
 
 import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from fuelgrid.operators import market, series
 
@@ -58,3 +62,30 @@ def test_null_keys_are_keys_and_names_may_clash(spark):
     assert series.latest(spark.createDataFrame([("k", 1, 2), ("k", 3, 1)], "row string, t int, v int"), ["row"], ["t"]).collect()[0].v == 1
     log = spark.createDataFrame([("s", dt.datetime(2024, 1, 1, 5), "mine")], "station string, at timestamp, _to string")
     assert {(r._to, r.date.day) for r in series.snapshots(log, ["station"], "at", "day", 2).collect()} == {("mine", 1), ("mine", 2)}
+
+
+def test_effective_rows_may_nest_and_overlap_elsewhere(spark):
+    rnd = random.Random(1)
+    spans = []
+    for k in (None, "x", "y"):
+        for _ in range(40):
+            a = rnd.randint(0, 300)
+            spans.append((k, D(2024, 1, 1) + dt.timedelta(a), None if rnd.random() < 0.03 else D(2024, 1, 1) + dt.timedelta(a + rnd.randint(-2, 40)), len(spans)))
+    days = [D(2024, 1, 1) + dt.timedelta(n) for n in range(350)]
+    holding = {(k, d): [v for s, a, b, v in spans if s == k and a <= d and (b is None or b >= d)] for k in (None, "x", "y") for d in days}
+    fine = [(k, d) for (k, d), v in holding.items() if len(v) == 1]
+    table = spark.createDataFrame(spans, "key string, effective_from date, effective_to date, v int")
+    df = spark.createDataFrame(fine * 2, "key string, day date")
+    got = series.effective(df, table, ["key"], "day").collect()
+    assert len(got) == 2 * len(fine) and all([r.v] == holding[r.key, r.day] for r in got) and len(fine) > 20
+    for wanted in (0, 2):
+        bad = next(x for x, v in holding.items() if len(v) == wanted)
+        with pytest.raises(Exception, match="not exactly one effective row"):
+            series.effective(spark.createDataFrame([bad], df.schema), table, ["key"], "day").collect()
+
+
+def test_a_long_schedule_is_swept(spark):
+    table = spark.range(60_000).select(F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 60_000).cast("int")).alias("effective_from"), F.col("id").alias("v"))
+    table = table.withColumn("effective_to", F.col("effective_from"))
+    df = spark.createDataFrame([(D(1900, 1, 1),), (D(2000, 1, 1),)], "day date")
+    assert {r.v for r in series.effective(df, table, [], "day").collect()} == {0, (D(2000, 1, 1) - D(1900, 1, 1)).days}

@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fuelgrid.storage import shared_dir, written  # noqa: F401  what the operators write, storage.forget() deletes
+
 #: A word is a run of anything but these six ASCII characters.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new, empty-to-be folder that driver and executors all see.
-
-    The cluster names its place in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one
-    process (tests) is a local temporary folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
-        base = f"file://{_own_dir[0]}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,6 +23,18 @@ class Tables:
         """A log over years, with ties: station_id, fuel, updated_at, price, tie."""
         return self.orders.selectExpr("o_custkey station_id", "o_orderstatus fuel", "o_orderdate updated_at", "o_totalprice price", "o_orderkey tie")
 
+    def last_day(self) -> str | None:
+        """The date of the log's last change."""
+        return self._day("ts", F.max)
+
+    def _day(self, column: str, of, table: str = "events") -> str | None:
+        day = getattr(self, table).agg(of(F.to_date(column))).first()[0]
+        return day and str(day)
+
+    def months(self) -> tuple[str | None, str | None]:
+        """The first and the last month's end of the long log."""
+        return self._day(F.last_day("o_orderdate"), F.min, "orders"), self._day(F.last_day("o_orderdate"), F.max, "orders")
+
     def daily(self) -> DataFrame:
         """A daily series for each kind of event and group of users, with the gaps that it has: fuel, date, value."""
         fuel = F.concat_ws("-", "event_type", F.pmod("user_id", F.lit(20)).cast("string"))
@@ -55,7 +67,7 @@ class Tables:
         """Last price of each station and fuel on each day, its distance to the day's median, and factors."""
         from fuelgrid.operators import robust, series
 
-        df, n = counted(series.snapshots(self.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30"))
+        df, n = counted(series.snapshots(self.log(), ["station_id", "fuel"], "updated_at", "day", 3, last=self.last_day()))
         df = robust.group_median(df, "price", ["date", "fuel"], "m", n).withColumn("relative", F.col("price") - F.col("m"))
         df = robust.robust_z(df, "relative", ["date", "fuel"], "robust_score", 1.0, n)
         return df.selectExpr("station_id", "fuel", "date", "price", "relative", "robust_score", "CASE WHEN station_id % 11 > 0 THEN concat('a', station_id % 5) END region", "concat('b', station_id % 3) road", "CASE WHEN station_id % 9 = 0 THEN 'FERRY_ISLAND' ELSE 'MAINLAND' END accessibility_class")
@@ -80,7 +92,7 @@ STATIONS = """stations AS (SELECT c_custkey AS id, c_mktsegment AS fuel, 42.0::D
   -4.0::DOUBLE + (c_custkey * 104729 % 12000)::DOUBLE / 1000.0::DOUBLE AS lon, 'r' || n_regionkey AS region, 'd' || c_nationkey AS department,
   CASE WHEN c_custkey % 10 = 0 THEN 'AUTOROUTE' ELSE 'ROUTE' END AS road, c_acctbal / 1000.0::DOUBLE AS excess FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 #: The last price at each day's end, if three days old at most, by comparing each day with each price.
-SNAPS = f"""{LOG}, days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS date),
+SNAPS = f"""{LOG}, days AS (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS date),
 snaps AS (SELECT station_id, fuel, date, arg_max(price, updated_at) AS price, max(updated_at) AS updated_at FROM log JOIN days ON updated_at < date + INTERVAL 1 DAY GROUP BY 1, 2, 3
   HAVING (epoch_us((date + INTERVAL 1 DAY)::TIMESTAMP) - 1 - epoch_us(max(updated_at)))::DOUBLE / 86400000000.0 <= 3)"""
 PANEL = f"""{SNAPS}, rel AS (SELECT station_id, fuel, date, price, price - median(price) OVER (PARTITION BY date, fuel) AS relative FROM snaps),

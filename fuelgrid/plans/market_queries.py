@@ -214,7 +214,7 @@ _SURE = "CASE WHEN fair IS NULL THEN 'UNAVAILABLE' WHEN quote_source = 'SAME_MON
 
 
 def _snaps(t):
-    return T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30")
+    return T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last=t.last_day())
 
 
 def _fair(t):
@@ -233,11 +233,11 @@ def fair_series(t):
 
 
 @query("d33_tension", f"""WITH {_FAIR}, o AS (SELECT fuel, date, median(price) AS median, count(*) AS n FROM snaps GROUP BY ALL), an AS (SELECT fuel, date, 100.0::DOUBLE * n / (n + 1) AS anomaly_pct FROM o),
-j AS (SELECT o.fuel, o.date, n, median, anomaly_pct, CASE WHEN o.date = DATE '2024-01-30' THEN 60.0::DOUBLE ELSE fair END AS fair, CASE WHEN o.date = DATE '2024-01-30' THEN 'LIVE' ELSE quote_source END AS quote_source, CASE WHEN o.date = DATE '2024-01-30' THEN 'HIGH' ELSE {_SURE} END AS sure, CASE WHEN o.date = DATE '2024-01-30' THEN 50.0::DOUBLE ELSE quote END AS quote FROM o LEFT JOIN fs USING (fuel, date) LEFT JOIN an USING (fuel, date))
+j AS (SELECT o.fuel, o.date, n, median, anomaly_pct, CASE WHEN o.date = (SELECT max(ts)::DATE FROM events) THEN 60.0::DOUBLE ELSE fair END AS fair, CASE WHEN o.date = (SELECT max(ts)::DATE FROM events) THEN 'LIVE' ELSE quote_source END AS quote_source, CASE WHEN o.date = (SELECT max(ts)::DATE FROM events) THEN 'HIGH' ELSE {_SURE} END AS sure, CASE WHEN o.date = (SELECT max(ts)::DATE FROM events) THEN 50.0::DOUBLE ELSE quote END AS quote FROM o LEFT JOIN fs USING (fuel, date) LEFT JOIN an USING (fuel, date))
 SELECT fuel, date, n, anomaly_pct, quote, quote_source, sure AS fair_confidence, round(100 * (median - fair), 4) AS tension_cent, round(100 * fair / first_value(fair IGNORE NULLS) OVER (PARTITION BY fuel ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS fair_index FROM j""")
 def tension(t):
     observed = _snaps(t).groupBy("fuel", "date").agg(F.median("price").alias("median"), F.count("*").alias("n"))
     anomaly = observed.select("fuel", "date", (100.0 * F.col("n") / (F.col("n") + 1)).alias("anomaly_pct"))
-    live = observed.select("fuel").distinct().select("fuel", F.lit("2024-01-30").cast("date").alias("date"), F.lit(60.0).alias("fair_price"), F.lit(50.0).alias("refined"))
+    live = observed.select("fuel").distinct().select("fuel", F.lit(t.last_day()).cast("date").alias("date"), F.lit(60.0).alias("fair_price"), F.lit(50.0).alias("refined"))
     df = M.combined(observed, _fair(t), anomaly, live.select("fuel", "date", "fair_price"), live.select("fuel", "date", "refined"))
     return df.select("fuel", "date", "n", "anomaly_pct", "quote", "quote_source", "fair_confidence", F.round("tension_cent", 4).alias("tension_cent"), F.round("fair_index", 4).alias("fair_index"))

@@ -86,7 +86,7 @@ def station_scores(t):
 
 @query("d5_history_scores", f"WITH {SNAPS}, f AS (SELECT upper(event_type) AS fuel, ts::DATE AS date, avg(value) AS fair FROM events GROUP BY ALL), a AS (SELECT station_id, upper(s.fuel) AS fuel, s.date, station_id % 3 AS road, price - fair AS spread FROM snaps s JOIN f ON upper(s.fuel) = f.fuel AND s.date = f.date), b AS (SELECT *, median(spread) OVER (PARTITION BY date, fuel, road) AS m FROM a), c AS (SELECT *, 1.4826 * median(abs(spread - m)) OVER (PARTITION BY date, fuel, road) AS s FROM b) SELECT station_id, fuel, date, road, round(100 * spread, 5) AS spread_cent, round(CASE WHEN s > 0 THEN (spread - m) / s ELSE 0.0::DOUBLE END, 5) AS anomaly_z FROM c")
 def history_scores(t):
-    snaps = T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30").select("station_id", "fuel", "date", "price", (F.col("station_id") % 3).alias("road"))
+    snaps = T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last=t.last_day()).select("station_id", "fuel", "date", "price", (F.col("station_id") % 3).alias("road"))
     fair = t.events.groupBy(F.col("event_type").alias("fuel"), F.to_date("ts").alias("date")).agg(F.avg("value").alias("fair_price"))
     return rounded(L.score_history(snaps, fair).select("station_id", "fuel", "date", "road", "spread_cent", "anomaly_z"), 5)
 
@@ -165,7 +165,7 @@ def map_rows(t):
 
 
 _LOG12 = """lg AS (SELECT o_custkey AS station_id, o_custkey AS id, o_orderstatus AS fuel, o_orderdate AS updated_at, 0.4::DOUBLE + (o_totalprice % 400) / 100 AS price, o_orderkey AS tie, lpad((o_custkey * 37 % 96000)::VARCHAR, 5, '0') AS cp, 42.0::DOUBLE + (o_custkey * 7919 % 9000)::DOUBLE / 1000.0::DOUBLE AS lat, -4.0::DOUBLE + (o_custkey * 104729 % 12000)::DOUBLE / 1000.0::DOUBLE AS lon, CASE o_custkey % 9 WHEN 0 THEN 'FRANCE' WHEN 1 THEN 'PERU' ELSE 'X' END AS city FROM orders),
-ok AS (SELECT * FROM lg WHERE price BETWEEN 0.5 AND 4.0), en AS (SELECT unnest(generate_series(DATE '1998-01-01', DATE '1999-12-01', INTERVAL 1 MONTH))::DATE AS a), ends AS (SELECT last_day(a) AS date FROM en),
+ok AS (SELECT * FROM lg WHERE price BETWEEN 0.5 AND 4.0), en AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT max(o_orderdate) FROM orders), INTERVAL 1 MONTH))::DATE AS a), ends AS (SELECT last_day(a) AS date FROM en),
 sn AS (SELECT unnest(r), date FROM (SELECT station_id AS si, fuel AS fu, date, arg_max(ok, (updated_at, tie)) AS r FROM ok JOIN ends ON updated_at < date + INTERVAL 1 DAY AND updated_at >= date - INTERVAL 40 DAY GROUP BY ALL)),
 sy AS (SELECT * FROM sn WHERE (epoch_us((date + INTERVAL 1 DAY)::TIMESTAMP) - 1 - epoch_us(updated_at))::DOUBLE / 86400000000.0 <= 30)"""
 
@@ -177,7 +177,7 @@ def panel(t):
         "price": 0.4 + (F.col("price") % 400) / 100, "cp": F.lpad((c * 37 % 96000).cast("string"), 5, "0"), "lat": 42.0 + (c * 7919 % 9000) / 1000, "lon": -4.0 + (c * 104729 % 12000) / 1000,
         "city": F.when(c % 9 == 0, "FRANCE").when(c % 9 == 1, "PERU").otherwise("X"),
     })
-    got = P.monthly_panel(log, "1998-01-31", "1999-12-31", t.rules(), tie="tie")
+    got = P.monthly_panel(log, *t.months(), t.rules(), tie="tie")
     return got.select("station_id", "fuel", "date", F.round("relative", 6).alias("relative"), F.round("robust_score", 6).alias("robust_score"), "department", "competition_bucket", "isolation_bucket", "accessibility_class")
 
 
@@ -369,13 +369,13 @@ def ablation_six(t):
     return _errors(P.ablation(_full(t), list(P.SHRINK), DAYS, rounds=ROUNDS))
 
 
-_LIVE = "lv0 AS (SELECT station_id, station_id AS id, fuel, price, 50.0::DOUBLE AS fair_price, region, road, 'X' AS city, 42.0::DOUBLE + (station_id * 7919 % 9000)::DOUBLE / 1000.0::DOUBLE AS lat, -4.0::DOUBLE + (station_id * 104729 % 12000)::DOUBLE / 1000.0::DOUBLE AS lon FROM panel WHERE date = DATE '2024-01-30')"
+_LIVE = "lv0 AS (SELECT station_id, station_id AS id, fuel, price, 50.0::DOUBLE AS fair_price, region, road, 'X' AS city, 42.0::DOUBLE + (station_id * 7919 % 9000)::DOUBLE / 1000.0::DOUBLE AS lat, -4.0::DOUBLE + (station_id * 104729 % 12000)::DOUBLE / 1000.0::DOUBLE AS lon FROM panel WHERE date = (SELECT max(ts)::DATE FROM events))"
 
 
 @query("d16_apply", f"WITH {_MODEL}, {_summed('panel', FACTORS, 'md', 'bs_s')}, {_BIAS}, {_LIVE}, {_features('lv0', 'ft')}, {_access('ft', 'ac')}, {_summed('ac', FACTORS, 'md', 'lv1')}, lv AS (SELECT lv1.*, total - centre AS premium, 100 * (price - fair_price - (total - centre) / 100) AS local_residual FROM lv1 JOIN md_c USING (fuel)), {_peers('lv', 'local_residual', 'pr')} SELECT pr.fuel, pr.id, pr.accessibility_class, round(premium, 6) AS structural_premium, round(local_residual, 4) AS local_residual, round(raw * months / (months + 6.0), 6) AS bias, method, n_peers, round(score, 3) AS score, {FLAG} AS local_flag FROM pr LEFT JOIN bs ON pr.fuel = bs.fuel AND pr.id = bs.station_id")
 def apply(t):
     c = F.col("station_id")
-    live = t.panel().filter("date = '2024-01-30'").select("station_id", c.alias("id"), "fuel", "price", F.lit(50.0).alias("fair_price"), "region", "road", F.lit("X").alias("city"), (42.0 + (c * 7919 % 9000) / 1000).alias("lat"), (-4.0 + (c * 104729 % 12000) / 1000).alias("lon"))
+    live = t.panel().filter(F.col("date") == F.lit(t.last_day()).cast("date")).select("station_id", c.alias("id"), "fuel", "price", F.lit(50.0).alias("fair_price"), "region", "road", F.lit("X").alias("city"), (42.0 + (c * 7919 % 9000) / 1000).alias("lat"), (-4.0 + (c * 104729 % 12000) / 1000).alias("lon"))
     got = P.apply(live, _model(t), t.rules(), **HOW)
     return got.select("fuel", "id", "accessibility_class", F.round("structural_premium", 6).alias("structural_premium"), F.round("local_residual", 4).alias("local_residual"), F.round("bias", 6).alias("bias"), "method", "n_peers", F.round("score", 3).alias("score"), "local_flag")
 

@@ -46,7 +46,7 @@ def log_return(t):
 
 @query("w10_snapshots", f"WITH {SNAPS} SELECT * FROM snaps")
 def snapshots(t):
-    return T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30").select("station_id", "fuel", "date", "price", "updated_at")
+    return T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last=t.last_day()).select("station_id", "fuel", "date", "price", "updated_at")
 
 
 @query("w10_month_ends", f"""WITH {LONG}, ends AS (SELECT DISTINCT last_day(updated_at::DATE) AS date FROM long_log), e AS (SELECT DISTINCT station_id, fuel FROM long_log)
@@ -169,7 +169,7 @@ g AS (SELECT *, n_matched::DOUBLE / greatest(1, least(n_units, n_was)) AS matche
 SELECT fuel, date, median, round(100 * product(growth) OVER (PARTITION BY fuel ORDER BY date), 4) AS index, round(100 * (growth - 1), 6) AS change_pct, n_units, n_matched, matched_share,
 CASE WHEN k = 1 THEN 'BASE' WHEN n_matched >= 30 THEN 'MATCHED_STATIONS' ELSE 'MEDIAN_FALLBACK' END AS method, CASE WHEN k = 1 THEN 'HIGH' WHEN n_matched < 30 THEN 'LOW' WHEN matched_share >= 0.7 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM g""")
 def chained_index(t):
-    df = T.chained_index(T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last="2024-01-30"), "fuel", "station_id", "date", "price")
+    df = T.chained_index(T.snapshots(t.log(), ["station_id", "fuel"], "updated_at", "day", 3, last=t.last_day()), "fuel", "station_id", "date", "price")
     return df.withColumns({"change_pct": F.round("change_pct", 6), "index": F.round("index", 4)})
 
 

@@ -38,3 +38,31 @@ def stream_scores(t):
     spread = R.joined(log, fair, ["fuel"], fair_price="fair_price").withColumn("spread", F.col("price") - F.col("fair_price"))
     got = prices.run(prices.scored(log_stream(t), R.mad(spread, "spread", ["fuel"]), fair), "append")
     return _plain(got, "updated_at").select("station_id", "fuel", "updated_at", "price", F.round("spread", 6).alias("spread"), F.round("z", 6).alias("z"))
+
+
+@query("s5_stream_sessions", """
+WITH e AS (
+  SELECT user_id AS station_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 12 HOUR, true)::INT AS fresh
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY station_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT station_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY station_id, k
+""")
+def stream_sessions(t):
+    return _plain(prices.run(prices.sessions(log_stream(t), "12 hours"), "complete"), "start", "end")
+
+
+@query("s6_stream_unrepeated", "SELECT DISTINCT user_id AS station_id, event_type AS fuel, ts AS updated_at, value AS price FROM events")
+def stream_unrepeated(t):
+    """Each change twice on the stream, once in the result."""
+    return _plain(prices.run(prices.unrepeated(log_stream(t).union(log_stream(t))), "append"), "updated_at")
+
+
+@query("s7_stream_quantiles", """
+SELECT event_type AS fuel, date_trunc('day', ts) AS start, count(*) AS n,
+  quantile_disc(value, 0.1) AS p10, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90
+FROM events GROUP BY ALL
+""")
+def stream_quantiles(t):
+    got = _plain(prices.run(prices.window_quantiles(log_stream(t), "1 day"), "complete"), "start")
+    return got.select("fuel", "start", "n", *[F.get("quantiles", k).alias(f"p{q}") for k, q in enumerate((10, 50, 90))])

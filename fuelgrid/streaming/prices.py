@@ -5,7 +5,7 @@ A log has station_id, fuel, updated_at (timestamp) and price. Rows without a tim
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +34,13 @@ def windows(log: DataFrame, width: str, late: str = "1 day", slide: str | None =
     return df.agg(F.count("*").alias("n"), F.max("price").alias("highest"), F.min("price").alias("lowest")).select("fuel", F.col("w.start").alias("start"), "n", "highest", "lowest")
 
 
+def window_quantiles(log: DataFrame, width: str, shares: Sequence[float] = (0.1, 0.5, 0.9), accuracy: int = 10_000, late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """(fuel, start, n, quantiles) of windows, from mergeable sketches: a window's state is of a size that ``accuracy``
+    bounds, whatever comes. A quantile's rank is off by n / ``accuracy`` at most; windows of fewer rows are exact."""
+    df = log.withWatermark("updated_at", late).groupBy("fuel", F.window("updated_at", width, slide or width).alias("w"))
+    return df.agg(F.count("*").alias("n"), F.percentile_approx("price", list(shares), accuracy).alias("quantiles")).select("fuel", F.col("w.start").alias("start"), "n", "quantiles")
+
+
 def unrepeated(log: DataFrame, late: str = "1 day") -> DataFrame:
     """Change events once each, if a repetition comes within ``late``."""
     return log.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["station_id", "fuel", "updated_at", "price"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fuelgrid.functions import scalars as S
@@ -74,6 +74,21 @@ class Model:
         self.effects, self.meta, self.bias, self.active, self.keys = effects, meta, bias, active, keys
 
 
+def save(model: Model, folder: str, version: int) -> None:
+    """Adds a version of a model to a folder. Its meta table comes last, so a version that is seen is whole."""
+    for table, df in (("effects", model.effects), ("meta", model.meta)):
+        df.write.mode("overwrite").parquet(f"{folder}/{table}/version={version}")
+
+
+def load(spark: SparkSession, folder: str) -> tuple[int, Model]:
+    """The newest version in a folder, and its model: what it needs to predict for the fuels that it was fitted to."""
+    meta = spark.read.parquet(f"{folder}/meta")
+    version = meta.agg(F.max("version")).first()[0]
+    effects, meta = spark.read.parquet(f"{folder}/effects/version={version}"), meta.filter(F.col("version") == version).drop("version")
+    used = effects.filter("role = 'ACTIVE'").groupBy("factor").agg(F.collect_set("fuel").alias("fuels")).collect()  # a row for each factor
+    return version, Model(effects, meta, None, {r["factor"]: F.col("fuel").isin(r["fuels"]) for r in sorted(used)})
+
+
 def _by_fuel(table: dict[str, tuple[str, ...]], others: tuple[str, ...]) -> dict[str, Column]:
     """factor -> where it counts: for the fuels that ``table`` names with it, and with ``others`` for fuels it doesn't name."""
     fuel = F.col("fuel")

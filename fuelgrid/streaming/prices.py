@@ -5,13 +5,14 @@ A log has station_id, fuel, updated_at (timestamp) and price. Rows without a tim
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fuelgrid.operators import panel
 from fuelgrid.operators import robust as R
 from fuelgrid.storage import shared_dir
 
@@ -84,20 +85,29 @@ def stale(log: DataFrame, days: int, late: str = "1 day") -> DataFrame:
     return grouped.applyInPandasWithState(run, out, "at long, price double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
+def by_model(batch: DataFrame, folder: str) -> DataFrame:
+    """A batch (fuel, factors) with structural_premium, coverage and premium_confidence by the newest model of ``folder``, and
+    model_version. Each batch looks for it anew, so a model that is written meanwhile serves from the next batch on."""
+    version, model = panel.load(batch.sparkSession, folder)
+    return panel.predict(batch, model).withColumn("model_version", F.lit(version))
+
+
+def run(stream: DataFrame, mode: str, each: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """Runs a stream over what there is and returns its result, a table of the shared folder, so it survives the loss of
-    any executor. Each batch is written under its own number: one that is tried again replaces itself."""
+    any executor. ``each`` may turn a batch's rows into others. Each batch is written under its own number: one that is
+    tried again replaces itself."""
     spark = stream.sparkSession
     place, done = shared_dir(spark), []
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        each(batch).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
         done.append(number)
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    empty = each(spark.createDataFrame([], stream.schema))
     if not done:
-        return spark.createDataFrame([], stream.schema)
+        return empty
     kept = [max(done)] if mode == "complete" else sorted(set(done))
-    return spark.read.schema(stream.schema).parquet(*[f"{place}/out/batch={k}" for k in kept])
+    return spark.read.schema(empty.schema).parquet(*[f"{place}/out/batch={k}" for k in kept])
 

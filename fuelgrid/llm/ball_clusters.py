@@ -227,3 +227,38 @@ def op12_ball_clusters(spark, sf_dir: str) -> DataFrame:
     table = [(r["cluster"], fits(int(r["all"])), fits(sum(int(x["all"]) for x in sums)), hashed[r["cluster"]]) for r in sums]
     known = spark.createDataFrame(table, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(known), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _round_sql(k: int) -> str:
+    """The assignment to the centroids of a round, and their means."""
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d
+  FROM (SELECT r, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{k}) GROUP BY r
+),
+s{k} AS (
+  SELECT k, i, ((t - ((t % n + n) % n)) // n)::BIGINT AS m
+  FROM (
+    SELECT k, i, sum(x)::HUGEINT AS t, count(*) AS n
+    FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept JOIN a{k} USING (r)) GROUP BY k, i
+  )
+),
+c{k + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{k} LEFT JOIN (SELECT k, list(m ORDER BY i) AS m FROM s{k} GROUP BY k) USING (k)
+)"""
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = {WIDTH}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT v, sha256('{SEED}:' || vec_id::VARCHAR) AS h FROM kept ORDER BY h, v LIMIT {CENTROIDS})
+),
+{",".join(_round_sql(k) for k in range(ROUNDS + 1))}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN kept USING (r) JOIN c{ROUNDS} USING (k)
+"""

@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_mixing": mixing.OP4_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op12_ball_clusters": ball_clusters.OP12_SQL}

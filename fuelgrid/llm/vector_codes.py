@@ -164,3 +164,34 @@ def op11_vector_codes(spark, sf_dir: str) -> DataFrame:
     total = F.broadcast(total) if total.count() <= BROADCAST_LABELS else total
     out = coded.join(total, F.col("label").eqNullSafe(F.col("of")))
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def _round_sql(k: int, size: int = 4) -> str:
+    """The assignment to the codebooks of a round, and their entries' means."""
+    d = " + ".join(f"(x[{j}] - c[{j}]) * (x[{j}] - c[{j}])" for j in range(1, size + 1))
+    sums = ", ".join(f"sum(x[{j}])::HUGEINT AS t{j}" for j in range(1, size + 1))
+    means = ", ".join(f"((t{j} - ((t{j} % n + n) % n)) // n)::BIGINT" for j in range(1, size + 1))
+    return f"""
+a{k} AS MATERIALIZED (SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, {d} AS d FROM part JOIN b{k} USING (p)) GROUP BY r, p),
+b{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c
+  FROM b{k} LEFT JOIN (SELECT p, e, [{means}] AS m FROM (SELECT p, e, count(*) AS n, {sums} FROM part JOIN a{k} USING (r, p) GROUP BY p, e)) USING (p, e)
+)"""
+
+
+#: For vectors of 64 components, as the table has them.
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64
+),
+part AS MATERIALIZED (SELECT r, p, v[4 * p + 1 : 4 * p + 4] AS x FROM kept, range({PARTS}) t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, x AS c FROM part JOIN (SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept) USING (r) WHERE e < {ENTRIES}
+),
+{",".join(_round_sql(k) for k in range(ROUNDS + 1))},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{ROUNDS}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""

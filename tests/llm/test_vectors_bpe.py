@@ -199,3 +199,17 @@ def test_word_bpe_takes_odd_rows(spark, library):
     texts = sorted(r.text for r in word_bpe.decode(got, BPE).collect())
     assert texts == sorted(library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for _, t, _ in rows)
     assert word_bpe.digests(word_bpe.encode(df.limit(0), BPE), BPE).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_ball_clusters"])
+def test_vector_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from fuelgrid.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())

@@ -26,11 +26,16 @@ partitions, as counts are sums of whole numbers, lessons are fixed by the words
 Spark does the corpus work. Documents are dealt to blocks; a block asks for the counts of its different rows of
 tokens by hashes, in sorted lists cut into cells of the hash range; a cell adds up what all blocks bring and
 answers each of them, in the order that it was asked. Hashes have as many bits as make one row of tokens in a thousand
-share its hash with another, whatever the corpus's size (``SPARE_BITS`` more than count its tokens). Cells and blocks
+share its hash with another, whatever the corpus's size (``SPARE_BITS`` more than count its tokens). A row's count is
+bounded by those of the shorter rows inside it, so a shared hash never gives a share above 1, and to a row of known tokens
+at most what these are counted together; below that bound one row in a thousand may still count what is another's. Cells and blocks
 are of bounded size and their numbers follow the input; a frequent word is one number for each block. Only the spelling's tables, of a fixed size (``SLOTS``), and its
 weights reach the driver, and are broadcast.
 
-Cases: a null or empty text is the end alone. Repeated rows score alike, and come into one block. A null id isn't held
+Of the token, the bits that are mixed online are the choices of its source; only words that no source knows are spelt by the
+bits of their bytes, whose tables and weights are learned from the corpus and stay as they are within a text.
+
+Cases: a null or empty text is the end alone. Repeated rows score alike, in whatever blocks they are. A null id isn't held
 out. Without documents to learn from, counts and predictors are empty and every bit of a spelling costs about one bit.
 Texts of any length are scored whole and adapt from end to end. An empty table gives an empty result. Further columns
 are ignored.
@@ -556,22 +561,25 @@ def contexts(size: np.ndarray, doc: np.ndarray, hashes: list[np.ndarray], counts
     share, seen = np.empty((4, n_tokens), np.float32), np.empty((4, n_tokens), np.float32)
     seen[2] = np.arange(n_tokens, dtype=np.int32) - begin[doc]
     seen[3] = np.maximum(n - size * learn, 0)[doc]
-    known = np.zeros(n_tokens, np.int8)
+    known, most, prior = np.zeros(n_tokens, np.int8), None, None  # counts of the row without its first token, or its last
     for kind, (h, c) in enumerate(zip(hashes, counts)):
         _, which, own, earlier = ranked(h, doc)
         others = c[which] - own * mine  # what the other documents teach
         now = others + earlier
+        if kind:  # what a shared hash adds beyond the counts of the rows inside this one is not this row's
+            now = np.minimum(now, np.minimum(most, prior))
         known += ((now > 0) << (kind + 1) if kind else others > 0).astype(np.int8)
         if kind == 0:
             whole, ends = c[which], spelt[which]
             share[3], share[2] = others, earlier
             known += (earlier > 0).astype(np.int8) << 1
             # every document ends once: the end before its first token is known as often as there are other documents
-            seen[1] = before(now, others[begin + size - 1])
+            seen[1] = prior = before(now, others[begin + size - 1])
         else:
             share[2 - kind] = now
             if kind == 1:
-                seen[0] = before(now, 0)
+                seen[0], prior = before(now, 0), before(now, now[begin])  # nothing is known before a text's first token
+        most = now
     share /= np.maximum(seen, 1)
     hashed = before(hashes[0], xxhash.xxh64_intdigest(b"") >> (64 - bits)) & np.uint64(HASHED - 1)
     return (size, share, seen, before(known, 0), hashed.astype(np.int8), ends), whole
@@ -617,7 +625,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{text_col}`").alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.spark_partition_id()), F.lit(blocks)).alias("block"),  # equal rows of different tasks part
     ).repartition(max(partitions(spark), blocks), "block")
     answers = asked(rows, cells, bits).union(spelt_cells(spelt, cells, bits)).groupBy("cell").applyInArrow(answered, ANSWERS)
     kind = rows.schema["id"].dataType.simpleString()

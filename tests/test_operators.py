@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fuelgrid.functions import scalars as S
+from fuelgrid import storage
 from fuelgrid.operators import geo, robust, series
 from fuelgrid.streaming import prices
 
@@ -193,3 +194,16 @@ def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     got = prices.run(_stream(spark, tmp_path, [(1, "c", _at(1), 1.0)], [(2, "c", _at(2), 1.0)]), "append")
     assert sorted(r.station_id for r in got.collect()) == [1, 2]
     assert all("/batch=" in f for f in got.inputFiles())
+
+
+def test_tables_of_points_are_not_broadcast(spark):
+    pts = storage.written(spark.range(20_000).selectExpr("'E5' fuel", "id", "45D + id % 10 / 10 lat", "5D + id % 7 / 10 lon", "CAST(id % 9 AS DOUBLE) x"))
+    for df in (geo.pairs(pts, pts, "fuel", 5), geo.competition(pts, "fuel"), geo.peer_scores(pts.filter("id < 500"), "fuel", "x")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_at_one_place_count_each_other(spark):
+    rows = [("E5", 1, 45.0, 5.0), ("E5", 2, 45.0, 5.0), ("E5", 3, 45.0, 5.02), ("E5", None, 45.0, 5.0), ("E10", 4, 45.0, 5.0), ("E5", 5, None, 5.0), ("E5", 6, -45.0, 0.0)]
+    got = {r.id: (r.nearest_km, r.within_2, r.within_50) for r in geo.competition(spark.createDataFrame(rows, "fuel string, id long, lat double, lon double"), "fuel").collect()}
+    assert got[1] == got[2] == (0, 2, 2) and got[3][1:] == (2, 2) and got[3][0] == pytest.approx(1.57, abs=0.01)
+    assert got[None] == (None, 0, 0) and got[4] == (None, 0, 0) and got[5] == (None, None, None) and got[6][0] > 9000

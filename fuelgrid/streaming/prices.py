@@ -6,9 +6,10 @@ A log has station_id, fuel, updated_at (timestamp) and price. Rows without a tim
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,6 +43,23 @@ def window_quantiles(log: DataFrame, width: str, shares: Sequence[float] = (0.1,
     return df.agg(F.count("*").alias("n"), F.percentile_approx("price", list(shares), accuracy).alias("quantiles")).select("fuel", F.col("w.start").alias("start"), "n", "quantiles")
 
 
+def window_values(log: DataFrame, width: str, late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """(fuel, start, price, c): how often windows have each price. State is a row for each, dealt by all three."""
+    df = log.withWatermark("updated_at", late).groupBy("fuel", F.window("updated_at", width, slide or width).alias("w"), "price")
+    return df.agg(F.count("*").alias("c")).select("fuel", F.col("w.start").alias("start"), "price", "c")
+
+
+def exact_quantiles(values: DataFrame, shares: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """(fuel, start, n, quantiles) of ``window_values``: the least price that this share of the window's prices doesn't
+    exceed. Null prices count in n alone."""
+    w, c = Window.partitionBy("fuel", "start"), F.when(F.col("price").isNotNull(), F.col("c"))
+    df = values.withColumns({"known": F.sum(c).over(w), "upto": F.sum(c).over(w.orderBy("price"))})  # spills; one window's different prices
+    parts = [Fraction(str(q)) for q in shares]
+    ranks = [F.greatest(F.ceil(F.col("known") * p.numerator / F.lit(p.denominator)), F.lit(1)) for p in parts]
+    found = [F.min(F.when(F.col("price").isNotNull() & (F.col("upto") >= r), F.struct("price"))).getField("price") for r in ranks]
+    return df.groupBy("fuel", "start").agg(F.sum("c").alias("n"), F.array(*found).alias("quantiles"))
+
+
 def unrepeated(log: DataFrame, late: str = "1 day") -> DataFrame:
     """Change events once each, if a repetition comes within ``late``."""
     return log.withWatermark("updated_at", late).dropDuplicatesWithinWatermark(["station_id", "fuel", "updated_at", "price"])

@@ -207,3 +207,14 @@ def test_points_at_one_place_count_each_other(spark):
     got = {r.id: (r.nearest_km, r.within_2, r.within_50) for r in geo.competition(spark.createDataFrame(rows, "fuel string, id long, lat double, lon double"), "fuel").collect()}
     assert got[1] == got[2] == (0, 2, 2) and got[3][1:] == (2, 2) and got[3][0] == pytest.approx(1.57, abs=0.01)
     assert got[None] == (None, 0, 0) and got[4] == (None, 0, 0) and got[5] == (None, None, None) and got[6][0] > 9000
+
+
+def test_quantiles_of_large_windows_are_exact(spark, tmp_path):
+    from fuelgrid.plans.adapters import Tables
+    from fuelgrid.plans.stream_queries import stream_quantiles
+
+    n = 60_001
+    rows = spark.range(n).selectExpr("id event_id", "TIMESTAMP_NTZ '2024-01-01 12:00:00' ts", "id user_id", "'a' event_type", f"CAST(id * 7919 % {n} AS DOUBLE) value", "'' props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = stream_quantiles(Tables(spark, str(tmp_path))).collect()
+    assert (got.n, got.p10, got.p50, got.p90) == (n, 6000, 30000, 54000)

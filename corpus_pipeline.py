@@ -23,8 +23,9 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates: five-word shingles, similarity 0.8."""
-    return simhash.keep_one(docs, classes=shingles.near_duplicates)
+    """One document, that of the least id, of each class of near-duplicates. Links are those of SimHash, three-word shingles
+    within two bits, and, since it finds few pairs of lower similarity, of five-word shingles whose similarity is 0.8."""
+    return simhash.keep_one(docs, classes=simhash.merged(simhash.near_duplicates, shingles.near_duplicates))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

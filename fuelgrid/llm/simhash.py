@@ -117,6 +117,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints.fp == classes["of"]).select(id_col, "fp", "component_id")
 
 
+def merged(*methods: Callable[[DataFrame, str, str], DataFrame]) -> Callable[[DataFrame, str, str], DataFrame]:
+    """Classes that follow the links of all ``methods``: (id, component_id) of each row, rows told apart by id."""
+
+    def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        found = [written(m(docs, id_col, text_col).select(id_col, "component_id")) for m in methods]
+        ids = [f.select(F.col("component_id").alias("a"), F.col(id_col).alias("b")).filter("a <> b").distinct() for f in found]
+        edges = ids[0]
+        for more in ids[1:]:
+            edges = edges.union(more)
+        roots = written(components(edges.distinct()))
+        out = found[0].select(id_col).join(roots, F.col(id_col) == roots["node"], "left")
+        return out.select(id_col, F.coalesce("root", id_col).alias("component_id"))
+
+    return classes
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """One row of ``docs``, whole, of each class that ``classes`` finds: that of the least id, then text hash.
 

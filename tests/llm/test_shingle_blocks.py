@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from fuelgrid.llm import shingles
 
 
@@ -64,3 +66,25 @@ def test_blocks_lose_no_similar_pair():
     found = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     similar = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard(sets[a], sets[b]) >= 0.8}
     assert similar <= found and len(found) == len(i) and len(found) < 2 * len(similar) + 50
+
+
+def test_the_pipeline_follows_links_of_both_methods(spark):
+    import corpus_pipeline
+    from fuelgrid.llm import simhash
+
+    # c's shingles of five words are b's, a's SimHash is b's: three in one class; d stays
+    words = [f"w{k}" for k in range(40)]
+    b, c = " ".join(words), " ".join(words + ["end"])
+    a = " ".join(words * 3)
+    docs = spark.createDataFrame([(3, a), (2, b), (1, c), (4, "quite another text of other words"), (5, None), (6, "")], "doc_id long, text string")
+    both = lambda *m: {r.doc_id: r.component_id for r in simhash.merged(*m)(docs, "doc_id", "text").collect()}
+    one = lambda df, k, t: df.select(k, F.when(F.col(k) == 3, 2).otherwise(F.col(k)).cast("long").alias("component_id"))
+    two = lambda df, k, t: df.select(k, F.when(F.col(k) == 2, 1).otherwise(F.col(k)).cast("long").alias("component_id"))
+    assert both(one, two) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+    called, plain = [], simhash.near_duplicates
+    simhash.near_duplicates = lambda *x: called.append(1) or plain(*x)
+    try:
+        kept = sorted(r.doc_id for r in corpus_pipeline.deduplicated(spark, docs, "").collect())
+    finally:
+        simhash.near_duplicates = plain
+    assert called and 4 in kept and 1 in kept and 2 not in kept and not {5, 6} <= set(kept)

@@ -122,3 +122,15 @@ def test_a_factor_that_a_table_lacks_is_unknown(spark):
     m = panel.fit(p, ["region", "road"], rounds=1)
     got = panel.predict(p.drop("road"), m).first()
     assert got.coverage == 0.5 and got.premium_confidence == "INSUFFICIENT"
+
+
+def test_rows_of_large_groups_are_never_broadcast(spark, monkeypatch):
+    """Equal values make a file that Spark takes for the smaller side, whatever its rows."""
+    from fuelgrid.storage import written
+
+    monkeypatch.setattr(ranks, "WHOLE", 100)
+    rows = written(spark.range(5000).select((F.col("id") % 2).alias("k"), F.lit(0.0).alias("v")))
+    state = rows.groupBy("k").agg(F.count("*").alias("n")).join(rows.groupBy("k").agg(F.max("v").alias("q")), "k")
+    plan = ranks._met(rows, state, ["k"], "inner", "n")._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert {(r.k, r.median) for r in ranks.medians(rows, ["k"]).collect()} == {(0, 0.0), (1, 0.0)}

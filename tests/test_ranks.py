@@ -134,3 +134,29 @@ def test_rows_of_large_groups_are_never_broadcast(spark, monkeypatch):
     plan = ranks._met(rows, state, ["k"], "inner", "n")._jdf.queryExecution().sparkPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
     assert {(r.k, r.median) for r in ranks.medians(rows, ["k"]).collect()} == {(0, 0.0), (1, 0.0)}
+
+
+def test_trimming_deals_no_rows_by_group(spark):
+    """There are a few fuels only, so rows dealt by fuel would be a few tasks' whatever their number."""
+    from fuelgrid.storage import written
+
+    df = written(spark.range(20000).select((F.col("id") % 5).alias("fuel"), F.rand(1).alias("score")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        plan = R.trimmed(df, "score", 0.5, ["fuel"])._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_in_several_folds_are_fitted_as_if_repeated(spark):
+    from tests.test_models import _panel
+
+    p = _panel(spark, 6, 12)
+    folds = F.when(F.col("date") < "2025-04-01", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    sets = {0: ("region",), 1: ("region", "road")}
+    spread = panel.fit(p, sets, 2, with_bias=False, fold="fold", folds=folds)
+    repeated = panel.fit(p.withColumn("fold", F.explode(folds)), sets, 2, with_bias=False, fold="fold")
+    key = lambda df: sorted(tuple(r) for r in df.select("fold", *[c for c in df.columns if c != "fold"]).collect())
+    assert key(spread.effects) == key(repeated.effects) and key(spread.meta) == key(repeated.meta)

@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,18 @@ def schema(length: int, vocabulary: int) -> pa.Schema:
 INDEX = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64()})
 
 
+class Seen(dict):
+    """Units and their numbers; one that is asked for the first time gets the next, and is noted as fresh."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.fresh.append(unit)
+        return n
+
+
 class Encoder:
     """Encodes texts unit by unit with the tokenizers library, and remembers the units it has met.
 
@@ -63,7 +76,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen = Seen()
         self.flat, self.count, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
@@ -92,7 +105,6 @@ class Encoder:
                 raise ValueError("an id crosses two units; this tokenizer doesn't cut before spaces")
             ends.append(np.diff(last + 1, prepend=0))
             ids.append(got)
-        self.seen.update(zip(fresh, range(len(self.seen), len(self.seen) + len(fresh))))
         self.flat = np.concatenate([self.flat, *ids])
         self.count = np.concatenate([self.count, *ends])
         self.start = np.cumsum(self.count) - self.count
@@ -102,17 +114,22 @@ class Encoder:
             self.forget()
         rows = [self.units(t) for t in texts]
         firsts = [e.ids for e in self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)]
-        fresh = set().union(*(r[1:] for r in rows)) - self.seen.keys()
-        if fresh:
-            self.learn(list(fresh))
-        out = []
-        for r, first in zip(rows, firsts):
-            places = np.fromiter(map(self.seen.__getitem__, r[1:]), np.int64, len(r) - 1)
-            n = self.count[places]
-            ends = np.cumsum(n)
-            pick = np.repeat(self.start[places] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
-            out.append(np.concatenate([np.array(first, np.uint32), self.flat[pick]]))
-        return out
+        last = np.cumsum([len(r) - 1 for r in rows], dtype=np.int64)  # where each text's units end among those of all
+        units = chain.from_iterable(islice(r, 1, None) for r in rows)
+        places = np.fromiter(map(self.seen.__getitem__, units), np.int64, int(last[-1]) if rows else 0)
+        if self.seen.fresh:
+            fresh, self.seen.fresh = self.seen.fresh, []
+            try:
+                self.learn(fresh)
+            except ValueError:
+                self.forget()
+                raise
+        n = self.count[places]
+        ends = np.cumsum(n)
+        pick = np.repeat(self.start[places] - (ends - n), n)
+        pick += np.arange(len(pick))
+        ids, ends = self.flat[pick], np.concatenate([[0], ends])[last]
+        return [np.concatenate([np.array(f, np.uint32), x]) for f, x in zip(firsts, np.split(ids, ends[:-1]))]
 
 
 _encoders: dict[str, Encoder] = {}

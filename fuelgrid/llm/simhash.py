@@ -27,6 +27,8 @@ from .common import only, partitions, written
 
 BROADCAST_IDS, VARIANTS_A_TASK = 2_000_000, 50_000
 SHINGLE, RADIUS, BITS, SEED = 3, 2, 64, 42
+#: Links that a task joins at once.
+CHUNK = 1 << 18
 
 
 def _hashes(text: str | None, width: int) -> list[int]:
@@ -83,26 +85,76 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def _key(x):
+    """What orders as ``x`` does in Spark: nulls first, structs field by field."""
+    if isinstance(x, dict):
+        x = tuple(map(_key, x.values()))
+    return (x is not None, x) if x is not None else (False,)
+
+
+def hung(edges: DataFrame) -> DataFrame:
+    """(a, b), a < b: links that join the same nodes as ``edges`` (a, b), where each node of every ``CHUNK`` links of a task
+    hangs on the least that these join it to. So chains within a task are gone before anything is shuffled."""
+    kind = edges.schema["a"].dataType.simpleString()
+    if any(k in kind for k in ("float", "double", "array", "interval", "map")):  # their order isn't Python's
+        return edges
+
+    def joined(links: pa.Table) -> pa.RecordBatch:
+        nodes = pa.concat_arrays([x for c in ("a", "b") for x in links.column(c).chunks])
+        if pa.types.is_integer(nodes.type):
+            keys = nodes.to_numpy()
+        else:
+            found = [_key(x) for x in nodes.to_pylist()]
+            place = {k: n for n, k in enumerate(sorted(set(found)))}
+            keys = np.array([place[k] for k in found])
+        _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+        a, b = code.reshape(2, -1)
+        root, old = np.arange(len(first)), None
+        while old is None or (root != old).any():
+            old, low = root, np.minimum(root[a], root[b])
+            root = old.copy()
+            np.minimum.at(root, old[a], low)
+            np.minimum.at(root, old[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+        low = np.flatnonzero(root != np.arange(len(root)))
+        return pa.record_batch([nodes.take(pa.array(first[root[low]])), nodes.take(pa.array(first[low]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] * (batch.num_rows > 0)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                yield joined(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node that it is joined to.
+    """(node, root) for every node of ``edges`` (a, b), a < b: root is the least node that it is joined to.
 
-    Alternates two steps until nothing moves: each node's larger neighbours are hung on its least neighbour, then each
-    node's smaller neighbours and itself on the least of them. Every round's links are written to the shared folder.
-    Each step keeps the components, and the number of rounds grows with the logarithm of the nodes.
+    Two steps take turns until each node hangs on one root that hangs on none: a node's larger neighbours are hung on its
+    least one, then its smaller neighbours and itself on the least of these. Between them each task joins what it holds of
+    the links (``hung``), which saves most steps. Every step keeps the components; links are written to the shared folder, and
+    what a step knows of the nodes, one row each, is the result once nothing is left to do.
     """
-    now = written(edges.select("a", "b"))
+    now, large = written(hung(written(edges.select("a", "b")))), True
     while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        down = large.select(F.col("b").alias("a"), F.col("a").alias("b"))  # a's smaller neighbours
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.col("m").alias("x"), "b").union(low.select(F.col("m").alias("x"), F.col("a").alias("b")))
-        new = written(small.filter("x < b").select(F.col("x").alias("a"), "b").distinct())
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            roots = new.select(F.col("b").alias("node"), F.col("a").alias("root"))
-            return roots.union(new.select("a", "a").distinct())
-        now = new
+        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(None).cast(now.schema["a"].dataType).alias("on")), F.struct(F.col("b").alias("node"), F.col("a").alias("on")))
+        nodes = now.select(F.inline(ends)).groupBy("node").agg(F.min("on").alias("low"), F.max("on").alias("high"), (F.count("on") < F.count("*")).alias("holds"))
+        nodes = written(nodes)
+        if nodes.filter("low < high OR (holds AND low IS NOT NULL)").isEmpty():
+            return nodes.select("node", F.coalesce("low", "node").alias("root"))
+        low = nodes.filter("low IS NOT NULL").select("node", "low")
+        if large:
+            met = now.join(low.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("low", "a").alias("a"), "b")
+        else:
+            met = now.join(low.withColumnRenamed("node", "b"), "b").select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))))
+            met = met.filter("a < b")
+        now, large = written(hung(written(met))), not large
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -122,11 +174,11 @@ def merged(*methods: Callable[[DataFrame, str, str], DataFrame]) -> Callable[[Da
 
     def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         found = [written(m(docs, id_col, text_col).select(id_col, "component_id")) for m in methods]
-        ids = [f.select(F.col("component_id").alias("a"), F.col(id_col).alias("b")).filter("a <> b").distinct() for f in found]
+        ids = [f.select(F.col("component_id").alias("a"), F.col(id_col).alias("b")).filter("a <> b") for f in found]
         edges = ids[0]
         for more in ids[1:]:
             edges = edges.union(more)
-        roots = written(components(edges.distinct()))
+        roots = written(components(edges))
         out = found[0].select(id_col).join(roots, F.col(id_col) == roots["node"], "left")
         return out.select(id_col, F.coalesce("root", id_col).alias("component_id"))
 

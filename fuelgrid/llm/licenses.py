@@ -4,7 +4,8 @@ A file's text is cut into passages: its lines, the sentences within them, and ea
 sparse vector over all of its terms, each weighted by its inverse document frequency over all files. Its
 license is that of the template with the greatest cosine, if that is ``THRESHOLD`` or more; a file's is that of its
 best passage. A license file (by name: LICENSE, COPYING ...) gives its license to its directory, and a file without a
-license of its own takes that of the nearest ancestor directory that has one.
+license of its own takes that of the nearest ancestor directory that has one. Where names tell nothing, a file whose
+notice is most of its text can stand for a license file as well (``whole``).
 
 Document frequencies are counted over all texts. Those of the templates' terms, a fixed number, reach the driver; those
 of the passages' other terms stay a table.
@@ -12,8 +13,8 @@ Passages that can't reach the threshold are left out early: those without any of
 ancestors; a directory table is broadcast only up to ``BROADCAST_DIRS`` rows.
 
 Cases: null and empty texts and paths have no license of their own; a null path is in no directory and inherits
-nothing. Equal cosines take the first template by name. Two license files in one directory: the greater cosine, then the
-first path. Repeated rows are each scanned. An empty table gives an empty result. Further columns are ignored.
+nothing. Equal cosines take the first template by name, then the longest passage. Two license files in one directory: one by
+name, then the greater cosine, then the first path. Repeated rows are each scanned. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-THRESHOLD, BROADCAST_DIRS, BROADCAST_TERMS = 0.8, 200_000, 500_000
+THRESHOLD, WHOLE, BROADCAST_DIRS, BROADCAST_TERMS = 0.8, 0.5, 200_000, 500_000
 # Public license identifiers and the wording of their usual notices.
 TEMPLATES = {
     "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
@@ -108,7 +109,8 @@ def anchors(templates: list[tuple[str, dict[str, float]]], threshold: float) ->
 
 
 def notices(files: DataFrame, id_cols: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id columns, license, similarity): the best passage of each row that has one; rows must differ in their ids."""
+    """(id columns, license, similarity, part): the best passage of each row that has one, and the share of the text's
+    characters that it has; rows must differ in their ids."""
     idf = weights(files, text_col)
     templates = vectors(idf)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -117,20 +119,22 @@ def notices(files: DataFrame, id_cols: list[str], text_col: str = "text", thresh
     needed = "(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in anchors(templates, threshold)) + ")(?![a-z0-9])"
     some = lambda c: F.lower(c).rlike(needed)
     passages = F.when(some(text), F.filter(F.concat(lines, pairs), some))
-    df = files.select(*id_cols, F.posexplode(passages).alias("nth", "passage"))
-    df = df.select(*id_cols, "nth", F.explode(_terms_in(F.col("passage"))).alias("term")).groupBy(*id_cols, "nth", "term").agg(F.count("*").alias("n"))
+    df = files.select(*id_cols, F.length(text).alias("chars"), F.posexplode(passages).alias("nth", "passage"))
+    df = df.withColumn("part", F.length("passage") / F.col("chars"))
+    df = df.select(*id_cols, "nth", "part", F.explode(_terms_in(F.col("passage"))).alias("term")).groupBy(*id_cols, "nth", "part", "term").agg(F.count("*").alias("n"))
     spark = files.sparkSession
     df = written(df)
     idfs = written(term_weights(files, df, text_col))
     df = df.join(F.broadcast(idfs) if idfs.count() <= BROADCAST_TERMS else idfs, "term").withColumn("w", F.col("n") * F.col("idf"))
-    sizes = df.groupBy(*id_cols, "nth").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    sizes = df.groupBy(*id_cols, "nth", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     cells = [(k, name, t, w) for k, (name, v) in enumerate(templates) for t, w in sorted(v.items())]
     cells = F.broadcast(spark.createDataFrame(cells, "template int, license string, term string, tw double"))
     dots = df.join(cells, "term").groupBy(*id_cols, "nth", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     key = [dots[c].eqNullSafe(sizes[c]) for c in [*id_cols, "nth"]]
-    cos = dots.join(sizes, key).select(*[dots[c] for c in id_cols], "license", F.round(F.col("dot") / F.col("size"), 9).alias("similarity"))
+    cos = dots.join(sizes, key).select(*[dots[c] for c in id_cols], "license", F.round(F.col("dot") / F.col("size"), 9).alias("similarity"), "part")
     cos = cos.filter(F.col("similarity") >= threshold)
-    return cos.groupBy(*id_cols).agg(F.min_by("license", F.struct(-F.col("similarity"), "license")).alias("license"), F.max("similarity").alias("similarity"))
+    best = F.min(F.struct((-F.col("similarity")).alias("order"), "license", (-F.col("part")).alias("rest"))).alias("best")
+    return cos.groupBy(*id_cols).agg(best, F.max("similarity").alias("similarity")).select(*id_cols, "best.license", "similarity", (-F.col("best.rest")).alias("part"))
 
 
 def directory(path: Column) -> Column:
@@ -144,13 +148,17 @@ def _joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_DIRS else right, on, "left")
 
 
-def inherited(found: DataFrame) -> DataFrame:
-    """``found`` (path, license, similarity ...) with directory, inherited_license and inherited_from."""
+def inherited(found: DataFrame, whole: float | None = None) -> DataFrame:
+    """``found`` (path, license, similarity, part ...) with directory, inherited_license and inherited_from.
+
+    License files are those of such a name and, unless ``whole`` is None, those whose notice has that part of the text or more.
+    """
     df = found.withColumn("directory", directory(F.col("path")))
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    best = Window.partitionBy("directory").orderBy(F.col("similarity").desc(), "path")
-    given = df.filter(name.rlike(LICENSE_FILES) & F.col("license").isNotNull() & F.col("directory").isNotNull())
-    given = given.select("directory", "license", "similarity", "path").withColumn("nth", F.row_number().over(best)).filter("nth = 1")
+    named = F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILES)
+    is_file = named if whole is None else named | (F.col("part") >= whole)
+    best = Window.partitionBy("directory").orderBy(F.col("named").desc(), F.col("similarity").desc(), "path")
+    given = df.filter(is_file & F.col("license").isNotNull() & F.col("directory").isNotNull())
+    given = given.select("directory", "license", "similarity", "path", named.alias("named")).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
     given = given.select(F.col("directory").alias("ancestor"), F.col("license").alias("inherited_license"))
     parts = F.split("directory", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
@@ -161,22 +169,26 @@ def inherited(found: DataFrame) -> DataFrame:
     return _joined(df, near, "directory")
 
 
-def scan(files: DataFrame, id_col: str = "id", text_col: str = "text", path_col: str = "path") -> DataFrame:
-    """(id, path, license, similarity, inherited_license, inherited_from, final_license) for each row of ``files``."""
+def scan(files: DataFrame, id_col: str = "id", text_col: str = "text", path_col: str = "path", whole: float | None = None) -> DataFrame:
+    """(id, path, license, similarity, inherited_license, inherited_from, final_license) for each row of ``files``.
+
+    With ``whole`` a file is a license file by its text too: if its notice has that part of the characters or more.
+    """
     keyed = files.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{path_col}`").alias("path"), F.col(f"`{text_col}`").alias("text"))
     # rows that agree in all three are one file; its number of rows brings them back
     own = notices(keyed.withColumn("text_hash", F.xxhash64("text")), ["id", "path", "text_hash"])
-    own = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("text_hash").alias("_hash"), "license", "similarity")
+    own = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("text_hash").alias("_hash"), "license", "similarity", "part")
     rows = keyed.select("id", "path", F.xxhash64("text").alias("text_hash"))
     met = rows.join(own, rows["id"].eqNullSafe(own["_id"]) & rows["path"].eqNullSafe(own["_path"]) & (rows["text_hash"] == own["_hash"]), "left")
-    out = inherited(met.select("id", "path", "license", "similarity"))
+    out = inherited(met.select("id", "path", "license", "similarity", "part"), whole)
     final = F.coalesce("license", "inherited_license")
     return out.select(F.col("id").alias(id_col), "path", "license", "similarity", "inherited_license", "inherited_from", final.alias("final_license"))
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source/lang/doc_id."""
+    """Documents as files of a tree: source/lang/doc_id. No such name is a license file's, so those documents are that are
+    half notice or more (``WHOLE``); they give their license to their source's documents of that language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     blank = lambda c: F.coalesce(c, F.lit("unknown"))
-    path = F.concat_ws("/", blank(F.col("source")), blank(F.col("lang")), F.col("doc_id").cast("string"))
-    return scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id")
+    path = F.concat_ws("/", blank(F.col("source")), blank(F.col("lang")), blank(F.col("doc_id").cast("string")))
+    return scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id", whole=WHOLE)

@@ -180,7 +180,7 @@ def scan(files: DataFrame, id_col: str = "id", text_col: str = "text", path_col:
     own = own.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("text_hash").alias("_hash"), "license", "similarity", "part")
     rows = keyed.select("id", "path", F.xxhash64("text").alias("text_hash"))
     met = rows.join(own, rows["id"].eqNullSafe(own["_id"]) & rows["path"].eqNullSafe(own["_path"]) & (rows["text_hash"] == own["_hash"]), "left")
-    out = inherited(met.select("id", "path", "license", "similarity", "part"), whole)
+    out = inherited(written(met.select("id", "path", "license", "similarity", "part")), whole)  # it is read three times
     final = F.coalesce("license", "inherited_license")
     return out.select(F.col("id").alias(id_col), "path", "license", "similarity", "inherited_license", "inherited_from", final.alias("final_license"))
 

@@ -265,7 +265,7 @@ def links(sets: DataFrame, docs: DataFrame, text_col: str, width: int = WIDTH, s
     """(a, b), a < b: similar sets that join the same sets as all similar pairs. ``sets`` has a row for each set."""
     rows = sets.select(F.explode("prefix").alias("shingle"), "set", "n")
     heads = rows.groupBy("shingle").agg(F.min(F.struct("set", "n")).alias("r"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    met = written(rows.join(heads, "shingle"))
+    met = written(rows.join(heads.hint("merge"), "shingle"))  # by the sets' file, a few MB where texts are copies, Spark would broadcast all that explode makes of it
     near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
     star = met.filter((F.col("r.set") < F.col("set")) & near(F.col("r.n"), F.col("n"))).select(F.col("r.set").alias("a"), F.col("set").alias("b"))
     star = written(star.distinct())

@@ -88,3 +88,14 @@ def test_the_pipeline_follows_links_of_both_methods(spark):
     finally:
         simhash.near_duplicates = plain
     assert called and 4 in kept and 1 in kept and 2 not in kept and not {5, 6} <= set(kept)
+
+
+def test_what_explode_makes_of_the_sets_is_never_broadcast(spark, monkeypatch):
+    """Spark takes the size of the sets' file for that of their shingles, which are many times as large in memory."""
+    plans, written = [], shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df: plans.append((df.columns, df._jdf.queryExecution().sparkPlan().toString())) or written(df))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "quite another text of other words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    (plan,) = [p for columns, p in plans if columns == ["shingle", "set", "n", "r"]]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
